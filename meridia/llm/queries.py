@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, url_filter, warc
+from . import mixing, near_dedup, substring_dedup, url_filter, warc
 
 RULES = [
     url_filter.Rule("net", "/", "block"),
@@ -21,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, similarity=(80, 100))
+
+
 def op5_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -36,7 +44,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op5_warc_normalise, op7_source_mix, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_minhash_near_dedup, op5_warc_normalise, op7_source_mix, op9_url_filter)}
 
 ORACLES = {
     "op5_warc_normalise": """
