@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, substring_dedup, url_filter, warc
+from . import ann, lm_score, mixing, near_dedup, substring_dedup, url_filter, warc
 
 RULES = [
     url_filter.Rule("net", "/", "block"),
@@ -33,6 +33,15 @@ def op5_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0").select("vec_id"), k=10)
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -44,7 +53,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_minhash_near_dedup, op5_warc_normalise, op7_source_mix, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_minhash_near_dedup, op5_warc_normalise, op6_ann_forest, op8_lm_score, op7_source_mix, op9_url_filter)}
 
 ORACLES = {
     "op5_warc_normalise": """
