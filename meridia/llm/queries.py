@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lm_score, mixing, near_dedup, substring_dedup, url_filter, warc
+from . import ann, decontaminate, lm_score, mixing, near_dedup, quality, secret_scan, substring_dedup, url_filter, warc
 
 RULES = [
     url_filter.Rule("net", "/", "block"),
@@ -25,10 +25,24 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, similarity=(80, 100))
 
 
+def keep_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good documents are of quality and not toxic."""
+    good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
+    return table(spark, sf_dir, "labels").select("doc_id", good.cast("int").alias("label"))
+
+
+def op4_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), keep_labels(spark, sf_dir))
+
+
 def op5_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -53,7 +67,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_minhash_near_dedup, op5_warc_normalise, op6_ann_forest, op8_lm_score, op7_source_mix, op9_url_filter)}
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_minhash_near_dedup, op4_quality_cotraining, op5_warc_normalise, op6_ann_forest, op7_source_mix, op8_lm_score, op9_url_filter, op10_decontaminate)}
 
 ORACLES = {
     "op5_warc_normalise": """
