@@ -1,0 +1,208 @@
+"""Operators on documents: brute-force results, and the odd rows that each must take."""
+
+import random
+
+import brute
+import pytest
+from meridia.llm import decontaminate, lm_score, mixing, near_dedup, quality, secret_scan, substring_dedup
+from pyspark.sql import functions as F
+
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def corpus():
+    rng = random.Random(3)
+    passage = prose(rng, 70)
+    base = [prose(rng, n) for n in (0, 1, 3, 49, 50, 51, 120, 200, 300, 2500)]
+    texts = list(base) + base[3:8]  # exact copies
+    for t in base[5:9]:  # near copies
+        w = t.split()
+        for i in rng.sample(range(len(w)), len(w) // 30 + 1):
+            w[i] = "changed"
+        texts.append("  ".join(w) + "\n")
+    texts += [f"{prose(rng, 30)} {passage} {prose(rng, 40)}" for _ in range(6)]
+    texts += [passage[: len(passage) // 2] + " " + base[7], base[7] + " " + base[7], "\t \n", "A B", "a b"]
+    return list(enumerate(texts))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, "en", "s") for i, t in corpus()], "doc_id long, text string, lang string, source string")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null ids and texts, empty and blank texts, repeated rows, one very long text, and columns named like the operators' own."""
+    rows = [(None, "x y z " * 30, "s"), (1, None, "s"), (2, "", None), (3, " \n ", "s"), (4, "a b c d e f g h " * 20, "s"), (4, "a b c d e f g h " * 20, "s"), (5, "long words here " * 20_000, "t")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for name in ("digest", "n", "key", "size", "h", "anchor", "seed", "label", "component", "tag", "words", "secret", "__id"):
+        frame = frame.withColumn(name, F.lit("clash"))
+    return frame
+
+
+@pytest.fixture(scope="module")
+def empty(odd):
+    return odd.where("false")
+
+
+def test_substring_matches_brute_force(docs):
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got == brute.substring(corpus())
+
+
+def test_substring_spans_and_text_agree(docs):
+    rows = substring_dedup.remove_repeats(docs, with_text=True).where("n_removed > 0 and n_removed < n_words").collect()
+    texts = dict(corpus())
+    assert rows
+    for r in rows:
+        words = texts[r.doc_id].split()
+        gone = {i for s in r.spans for i in range(s.start, s.end)}
+        assert r.kept == " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def test_substring_odd_rows(odd, empty):
+    rows = substring_dedup.remove_repeats(odd).collect()
+    assert len(rows) == 7 and {r.n_removed for r in rows if r.doc_id != 5} == {0}
+    assert substring_dedup.remove_repeats(empty).count() == 0
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_duplicates_match_brute_force(docs, size):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, words=size).collect()}
+    assert got == brute.near(corpus(), size)
+
+
+def test_near_duplicates_chain(spark):
+    """Links in a row: ends that are not similar to each other are one component."""
+    words = [f"c{i}" for i in range(400)]
+    chain = [(i, " ".join(words[12 * i : 12 * i + 150])) for i in range(12)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(chain, "doc_id long, text string"), words=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near(chain, 2)
+    assert {r.component_id for r in got} == {0}
+
+
+def test_near_duplicates_odd_rows(odd, empty):
+    rows = near_dedup.near_duplicates(odd).collect()
+    assert len(rows) == 7
+    assert {(r.doc_id, r.component_id, r.kept) for r in rows} == {(None, None, True), *((i, i, True) for i in range(1, 6))}
+    assert near_dedup.near_duplicates(empty).count() == 0
+
+
+def test_decontamination_finds_copies_and_substitutions(spark):
+    rng = random.Random(5)
+    items = [(i, prose(rng, n)) for i, n in enumerate((16, 20, 30, 45, 6))]
+    docs, want = [], set()
+    for i, t in items[:4]:
+        w = t.split()
+        docs.append((10 + i, f"{prose(rng, 50)} {t.upper()}. {prose(rng, 20)}"))
+        for k in range(0, len(w), 6):
+            w[k] = "other"
+        docs.append((20 + i, f"{prose(rng, 30)} {' '.join(w)} {prose(rng, 20)}"))
+        want |= {(10 + i, i)} | ({(20 + i, i)} if sum(x != "other" for x in w) >= 0.8 * len(w) else set())
+    docs += [(100 + i, prose(rng, 300)) for i in range(20)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+
+
+def test_decontamination_odd_rows(spark, odd, empty):
+    bench = spark.createDataFrame([(1, "a b c d e f g h " * 3), (2, None), (None, "x y z " * 9), (3, "")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(odd, bench).collect()} == {(4, 1)}
+    assert decontaminate.decontaminate(odd, bench).count() == 5
+    assert decontaminate.decontaminate(odd, bench).columns == odd.columns
+    assert decontaminate.overlaps(empty, bench).count() == 0
+    assert decontaminate.overlaps(odd, bench.where("false")).count() == 0
+
+
+def test_secrets(spark, odd, empty):
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = [(1, f'then token = "{key}" and token = "{key}" again'), (2, f"see commit {key} for it"), (3, "api_key: your-placeholder-value-here"), (4, "some words")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = secret_scan.scan(docs).collect()
+    assert {(r.doc_id, r.secret) for r in found if r.is_secret} == {(1, key)}
+    assert {r.doc_id for r in found} >= {1, 2}
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    assert clean[1] == 'then token = "<SECRET>" and token = "<SECRET>" again' and clean[2] == texts[1][1]
+    assert secret_scan.redact(odd).count() == 7 and secret_scan.redact(odd).columns == odd.columns
+    assert secret_scan.scan(empty).count() == 0
+
+
+def test_secret_forest_on_held_out_findings(spark):
+    rows = secret_scan.labelled_findings(spark, 4000).withColumn("held", F.pmod(F.xxhash64("secret"), F.lit(4)) == 0)
+    model = secret_scan.train(rows.where("not held"))
+    right = model.transform(secret_scan.features(rows.where("held"))).agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0]
+    assert right > 0.97
+
+
+def test_quality(spark, odd, empty):
+    rng = random.Random(9)
+    rows = []
+    for i in range(600):
+        t, label = prose(rng, 80), 1
+        if i % 4 == 0:
+            w = t.split()
+            w[5:8] = ["awful", "nasty", "awful"]
+            t, label = " ".join(w), 0
+        rows.append((i, t, "en", f"src{i % 7}", label))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, label int")
+    labels = docs.where("doc_id < 400").select("doc_id", "label")
+    got = quality.classify(docs, labels).join(docs, "doc_id").where("doc_id >= 400")
+    right = got.agg(F.avg((F.col("rejected") == (F.col("label") == 0)).cast("int"))).first()[0]
+    assert right > 0.97
+    assert quality.classify(odd, spark.createDataFrame([(1, None), (None, 1)], "doc_id long, label int")).where("rejected").count() == 0
+    assert quality.keep_accepted(empty, labels).count() == 0
+
+
+def test_mixing_targets_and_takes(spark):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, rng.randint(1, 60)), rng.choice(["a", "b", "b", "b", "b", "b", "c", None])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.source, []).append(r)
+        assert r.taken <= 3 * r.size
+    total = sum(r.size for r in got)
+    assert abs(sum(v[0].target for v in by.values()) - total) < 1e-6 * total
+    for v in by.values():
+        assert abs(sum(r.taken for r in v) - v[0].target) <= 60 and v[0].target <= 3 * v[0].source_size + 1e-9
+    again = {(r.doc_id, r.taken) for r in mixing.mix(docs.repartition(7)).collect()}
+    assert again == {(r.doc_id, r.taken) for r in got}
+
+
+def test_mixing_odd_rows(odd, empty):
+    rows = mixing.mix(odd).collect()
+    assert len(rows) == 7 and all(r.taken <= 3 * r.size for r in rows)
+    assert mixing.mix(empty).count() == 0
+
+
+def test_language_model_matches_formula(spark):
+    from collections import Counter
+    from math import log10
+    from zlib import crc32
+
+    rng = random.Random(4)
+    texts = {i: prose(rng, rng.randint(0, 80)).replace("w1 ", "W1 ") for i in range(150)}
+    got = {r.doc_id: r for r in lm_score.score_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    tokens = {i: [*t.lower().split(), "\n"] for i, t in texts.items()}
+    train = [w for i, w in tokens.items() if crc32(str(i).encode()) % 5 != 1]
+    one = Counter(x for w in train for x in w)
+    two = Counter(p for w in train for p in zip(["^", *w[:-1]], w))
+    n, v = sum(one.values()), len(one)
+    p = lambda x: (one[x] + 0.5) / (n + 0.5 * (v + 1))
+    for i, w in tokens.items():
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(one[x] > 0 for x in w), n, crc32(str(i).encode()) % 5 == 1)
+        assert abs(r.base_score - sum(log10(p(x)) for x in w)) < 1e-9
+        exact = sum(log10((two[c, x] + lm_score.MU * p(x)) / ((len(train) if c == "^" else one[c]) + lm_score.MU)) for c, x in zip(["^", *w[:-1]], w))
+        assert abs(r.score - exact) < 0.02 * len(w)
+
+
+def test_language_model_odd_rows(odd, empty):
+    rows = lm_score.score_documents(odd).collect()
+    assert len(rows) == 7 and all(r.score < 0 for r in rows)
+    assert {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
+    assert lm_score.score_documents(empty).count() == 0
