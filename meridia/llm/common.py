@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,21 +46,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-class WordHashes(dict):
-    """bytes -> 64-bit hash, remembered up to a bound."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.LIMIT:
-            self[word] = value
-        return value
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=U64, count=len(words))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser over unsigned 64-bit integers."""
     x = x ^ (x >> U64(33))
@@ -69,3 +53,73 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> U64(33))
     x = x * U64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> U64(33))
+
+
+_RANDOM = np.random.default_rng(20240601)
+#: A random number for each byte; for the second table capitals count as small letters.
+BYTES = _RANDOM.integers(0, 1 << 64, 256, dtype=U64)
+BYTES_LOWER = BYTES.copy()
+BYTES_LOWER[65:91] = BYTES[97:123]
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
+
+
+class Rolling:
+    """Hashes of any range of a sequence from prefix sums of value * base^i modulo 2^64."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.powers = self.inverses = np.ones(1, U64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.powers) < n:
+            n = max(n, 2 * len(self.powers))
+            for name, b in (("powers", self.base), ("inverses", self.inverse)):
+                steps = np.full(n, b, U64)
+                steps[0] = 1
+                setattr(self, name, np.multiply.accumulate(steps))
+
+    def prefix(self, values: np.ndarray) -> np.ndarray:
+        self._grow(len(values) + 1)
+        out = np.zeros(len(values) + 1, U64)
+        np.cumsum(values * self.powers[: len(values)], out=out[1:])
+        return out
+
+    def of(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix64((prefix[end] - prefix[start]) * self.inverses[start])
+
+
+LETTERS = Rolling(0xC2B2AE3D27D4EB4F)
+CHUNK_BYTES = 1 << 19
+
+
+def word_hashes(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, one after another, and the number of words of each text.
+
+    The words of many texts are hashed together, by rolling hashes over their
+    bytes; null has no words.
+    """
+    parts, counts, at = [], [], 0
+    while at < len(texts):
+        size, end = 0, at
+        while end < len(texts) and (end == at or size + len(texts[end] or b"") <= CHUNK_BYTES):
+            size += len(texts[end] or b"") + 1
+            end += 1
+        chunk = [t or b"" for t in texts[at:end]]
+        data = np.frombuffer(b"\n".join(chunk) + b"\n", np.uint8)
+        edges = np.diff(np.concatenate(([True], SPACE[data])).astype(np.int8))
+        first, last = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+        prefix = LETTERS.prefix((BYTES_LOWER if lower else BYTES)[data])
+        parts.append(LETTERS.of(prefix, first, last))
+        borders = np.cumsum([len(t) + 1 for t in chunk])
+        counts.append(np.diff(np.searchsorted(first, borders), prepend=0))
+        at = end
+    if not parts:
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    return np.concatenate(parts), np.concatenate(counts).astype(np.int64)
+
+
+def split_hashes(texts: list[bytes | None], lower: bool = False) -> list[np.ndarray]:
+    """The hashes of each text by itself."""
+    hashes, counts = word_hashes(texts, lower)
+    return np.split(hashes, np.cumsum(counts)[:-1]) if len(counts) else []

@@ -101,15 +101,23 @@ class EliasFano:
         top = int(self.access(np.array([self.n - 1]))[0])
         live = np.flatnonzero(value <= U64(top))
         part, want = part[live], value[live] & ((ONE << U64(self.bits)) - ONE)
-        spot = np.where(part > 0, _select(self.high, self.zeros, np.maximum(part - 1, 0), U64(0xFFFFFFFFFFFFFFFF)) + 1, 0)
-        while len(live):
-            on = (self.high[spot >> 6] >> (spot & 63).astype(U64)) & ONE == ONE
-            live, part, want, spot = live[on], part[on], want[on], spot[on]
-            low = self._low(spot - part)
-            hit = low == want
-            out[live[hit]] = (spot - part)[hit]
-            go = low < want
-            live, part, want, spot = live[go], part[go], want[go], spot[go] + 1
+        flip = U64(0xFFFFFFFFFFFFFFFF)
+        start = np.where(part > 0, _select(self.high, self.zeros, np.maximum(part - 1, 0), flip) + 1 - part, 0)
+        # values with one high part lie side by side, in the order of their low parts
+        end = _select(self.high, self.zeros, part, flip) - part
+        last = end
+        while True:
+            on = np.flatnonzero(start < end)
+            if not len(on):
+                break
+            middle = (start[on] + end[on]) >> 1
+            low = self._low(middle) < want[on]
+            start[on] = np.where(low, middle + 1, start[on])
+            end = end.copy()
+            end[on] = np.where(low, end[on], middle)
+        at = np.flatnonzero(start < last)
+        at = at[self._low(start[at]) == want[at]]
+        out[live[at]] = start[at]
         return out
 
 

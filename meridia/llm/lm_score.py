@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, materialise, mix64, scratch
+from .common import U64, materialise, mix64, scratch, word_hashes
 from .elias_fano import EliasFano, load, save
 
 MU = 1000.0
@@ -46,19 +46,13 @@ def training(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 != 1
 
 
-def _tokens(column: pa.Array, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of a column, each text closed by END; number of tokens of each text."""
-    parts, counts = [], []
-    end = np.array([END], U64)
-    for body in column.to_pylist():
-        words = (body or b"").lower().split()
-        parts += [known.array(words), end]
-        counts.append(len(words) + 1)
-    return (np.concatenate(parts) if parts else end[:0]), np.array(counts, np.int64)
+    words, counts = word_hashes(column.to_pylist(), lower=True)
+    return np.insert(words, np.cumsum(counts), U64(END)), counts + 1
 
 
 def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordHashes()
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
@@ -68,7 +62,7 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for low in range(0, batch.num_rows, 2000):
-            tokens, _ = _tokens(batch.slice(low, 2000).column(0), known)
+            tokens, _ = _tokens(batch.slice(low, 2000).column(0))
             held.append(np.unique(tokens, return_counts=True))
             size += len(held[-1][0])
             if size > FLUSH:
@@ -143,7 +137,6 @@ class Model:
 
 def _pairs_task(model: Model):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -161,7 +154,7 @@ def _pairs_task(model: Model):
 
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
-                tokens, counts = _tokens(batch.slice(low, 2000).column(0), known)
+                tokens, counts = _tokens(batch.slice(low, 2000).column(0))
                 if len(tokens):
                     context, word, _, _, home = model.pairs(tokens, counts)
                     held.append(((context.astype(U64) << ID_BITS) | word.astype(U64), home))
@@ -236,11 +229,10 @@ def pair_logs(model: Model, context: np.ndarray, word: np.ndarray, home: np.ndar
 
 def _score_task(model: Model):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
-                tokens, counts = _tokens(part.column(2), known)
+                tokens, counts = _tokens(part.column(2))
                 if not len(tokens):
                     continue
                 context, word, c_context, c_word, home = model.pairs(tokens, counts)

@@ -7,16 +7,18 @@ and what may pass is confirmed on the full sets.
 
 A list per single value would hold every document with a frequent word pair.
 Hash space is therefore cut into cells of about 3.5 retained values, and a list
-is kept per cell content.  Two sets at similarity 0.8 agree in a cell with
-probability above 1/3 and have 40 cells, so that they share no list has a
-probability under 1e-6 at the bound itself and far less above it; sets so small
+is kept per cell content of two values or more.  Two sets at similarity 0.8
+agree in such a cell with probability 0.3 or more and have 40 cells; that they
+share fewer than the two lists asked for has a probability of about 1e-5 at the
+bound itself and at the worst set size, and far less above it.  Sets so small
 that they fill fewer cells get several divisions of hash space.  Sizes are classed by powers of two, and a
 set near a class's lower end is listed in the class below as well.
 
 No list is turned into all its pairs.  Members are first held against two hubs
-of their list, and what is confirmed is joined to components.  Only members of
-one list in different components are then held against each other, in long
-lists where they share a second list.
+of their list, and what is confirmed is joined to components.  What is left are
+lists with several components: members of short ones are paired across
+components, and in long ones those outside the list's main component are held
+against that component and against each other in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -30,16 +32,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, materialise, mix64
+from .common import U64, materialise, mix64, split_hashes
 
 CELLS = 40
 PER_CELL = 3.5
 #: Retained values that the union-sketch estimate looks at, and the estimate below which a pair is dropped.
-#: At similarity 0.8, 128 values estimate under 0.5 with a probability below 1e-13.
-SKETCH = 128
-ESTIMATE = 0.5
-#: Lists longer than this are compared only where two members share a second list.
+#: At similarity 0.8, 256 values estimate under 0.65 with a probability of about 1e-8.
+SKETCH = 256
+ESTIMATE = 0.65
+#: Members of lists up to this length are paired one by one, those of longer lists in blocks.
 LONG_LIST = 128
+#: Lists that a pair must share to be looked at.
+SHARED = 2
+#: Documents on either side of a block in which members of long lists are compared.
+GROUP = 512
+#: Bits, at most, of the broadcast map of documents whose sets are needed: 32 MB.
+MOST_BITS = 1 << 28
 
 
 def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
@@ -76,13 +84,16 @@ def cell_keys(values: np.ndarray) -> np.ndarray:
             cell = np.minimum(own // U64(width), U64(cells - 1))
             starts = np.concatenate(([0], np.flatnonzero(cell[1:] != cell[:-1]) + 1))
             content = np.add.reduceat(mix64(own ^ U64(0xA0761D6478BD642F)), starts)
+            if n > 1:  # a lone value may be a word pair of half the corpus
+                full = np.diff(np.append(starts, len(own))) > 1
+                starts, content = starts[full], content[full]
             keys.append(mix64(content ^ mix64(cell[starts] + U64((size_class << 40) + (turn << 20) + 1))))
     return np.unique(np.concatenate(keys)) if keys else values[:0]
 
 
-def _sets_of(column: pa.Array, size: int, known: WordHashes) -> Iterator[np.ndarray]:
-    for body in column.to_pylist():
-        yield shingle_set(known.array((body or b"").lower().split()), size)
+def _sets_of(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    for words in split_hashes(column.to_pylist(), lower=True):
+        yield shingle_set(words, size)
 
 
 def _digest(values: np.ndarray) -> bytes:
@@ -91,12 +102,11 @@ def _digest(values: np.ndarray) -> bytes:
 
 def _keys_task(size: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
                 part = batch.slice(low, 2000)
                 counts, digests, keys = [], [], []
-                for values in _sets_of(part.column(1), size, known):
+                for values in _sets_of(part.column(1), size):
                     counts.append(len(values))
                     digests.append(_digest(values))
                     keys.append(cell_keys(values).view(np.int64))
@@ -107,17 +117,37 @@ def _keys_task(size: int):
     return task
 
 
-def _sets_task(size: int):
+def _bit(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix64(ids.astype(U64)) % U64(bits)).astype(np.int64)
+
+
+def _bitmap(wanted: DataFrame, most: int = MOST_BITS) -> np.ndarray:
+    """A bit for each id, by hash, in at most ``most`` bits: what it lets through without need costs work, not results."""
+    n = wanted.count()
+    bits = min(most, max(1 << 12, 1 << (16 * n).bit_length()))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _bit(batch.column(0).to_numpy(), bits)
+            yield pa.record_batch([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(U64)).view(np.int64))], names=["at", "bits"])
+
+    words = wanted.select("node").mapInArrow(task, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, U64)
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(U64)
+    return out
+
+
+def _sets_task(size: int, bitmap):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        words = bitmap.value
         for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = _bit(ids, len(words) << 6)
+            batch = batch.filter(pa.array((words[at >> 6] >> (at & 63).astype(U64)) & U64(1) == U64(1)))
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
-                digests, sets = [], []
-                for values in _sets_of(part.column(1), size, known):
-                    digests.append(_digest(values))
-                    sets.append(values.astype("<u8").tobytes())
-                yield pa.record_batch([part.column(0), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["node", "digest", "values"])
+                sets = [values.astype("<u8").tobytes() for values in _sets_of(part.column(1), size)]
+                yield pa.record_batch([part.column(0), pa.array([x[: 8 * SKETCH] for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["node", "sketch", "values"])
 
     return task
 
@@ -178,6 +208,61 @@ def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return materialise(joined(likely, F.col("values")).mapInArrow(_exact_task(num, den), "a long, b long"), "near-links")
 
 
+def _face_task(num: int, den: int):
+    """Index and probe rows of one group -> pairs of other components that may be similar enough."""
+
+    def likely(x: np.ndarray, y: np.ndarray) -> bool:
+        if len(x) < SKETCH and len(y) < SKETCH:  # both sets are whole
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            return den * both >= num * (len(x) + len(y) - both)
+        union = np.union1d(x, y)[:SKETCH]
+        both = np.intersect1d(x, y, assume_unique=True)
+        return len(both[both <= union[-1]]) >= ESTIMATE * len(union)
+
+    def compare(table: pa.Table) -> pa.Table:
+        side, node, component = (table.column(c).to_numpy() for c in ("side", "node", "component"))
+        sketches = [np.frombuffer(b, "<u8") for b in table.column("sketch").to_pylist()]
+        index = np.flatnonzero(side == 0)
+        values = np.concatenate([sketches[i] for i in index]) if len(index) else np.zeros(0, U64)
+        owner = np.repeat(np.arange(len(index)), [len(sketches[i]) for i in index])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        sizes = np.array([len(sketches[i]) for i in index])
+        found = []
+        for p in np.flatnonzero(side == 1):
+            q = sketches[p]
+            low, high = np.searchsorted(values, q, "left"), np.searchsorted(values, q, "right")
+            runs = high - low
+            at = np.repeat(low - np.concatenate(([0], np.cumsum(runs)[:-1])), runs) + np.arange(runs.sum())
+            common = np.bincount(owner[at], minlength=len(index))
+            for i in np.flatnonzero((common * 3 >= np.minimum(sizes, len(q))) & (component[index] != component[p])):
+                a, b = int(node[p]), int(node[index[i]])
+                if likely(q, sketches[index[i]]):
+                    found.append((max(a, b), min(a, b)))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+    return compare
+
+
+def _faced(index: DataFrame, probe: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """index, probe (group, node, component) -> a, b: each probe against its group's index, in blocks of bounded size on both sides.
+
+    Pairs are compared where they lie; only those that pass the estimate come out.
+    """
+    n = index.groupBy("group").agg(F.ceil(F.count("*") / GROUP).alias("blocks")).join(probe.groupBy("group").agg(F.ceil(F.count("*") / GROUP).alias("parts")), "group")
+    own = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("long")
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count).cast("long") - 1))
+    left = index.join(n, "group").select("group", "node", "component", own("blocks").alias("block"), every("parts").alias("part"), F.lit(0).alias("side"))
+    right = probe.join(n, "group").select("group", "node", "component", every("blocks").alias("block"), own("parts").alias("part"), F.lit(1).alias("side"))
+    rows = left.unionByName(right).join(sets.select("node", "sketch"), "node")
+    return rows.groupBy("group", "block", "part").applyInArrow(_face_task(num, den), "a long, b long")
+
+
+def _counted(pairs: DataFrame, one: str, two: str, lists=None) -> DataFrame:
+    """Each pair once, the larger id first, with the number of lists in which it met."""
+    return pairs.groupBy(F.greatest(one, two).alias("a"), F.least(one, two).alias("b")).agg((F.count("*") if lists is None else lists).alias("lists"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -188,41 +273,43 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
     with other texts, one of the texts stands for the id in links.
     """
     num, den = similarity
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     listed = materialise(texts.mapInArrow(_keys_task(words), "doc_id long, n long, digest binary, keys array<long>"), "near-keys")
     full = listed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     nodes = full.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    entries = full.select("doc_id", "digest", "keys").join(nodes, [full.doc_id == nodes.node, full.digest == nodes.digest], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
-    # one row per list, whatever its length: how long it is, its smallest member and one that differs from list to list
-    hubs = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("h1"), F.min_by("node", F.xxhash64("node", "key")).alias("h2")).where("n > 1")
-    shared = materialise(entries.join(hubs, "key"), "near-shared")
-    stars = shared.select("node", F.explode(F.array("h1", "h2")).alias("hub")).where("node <> hub")
-    pairs = stars.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-    wanted = shared.select("node").distinct()
-    sets = materialise(
-        texts.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-        .mapInArrow(_sets_task(words), "node long, digest binary, values binary")
-        .join(nodes, ["node", "digest"], "left_semi")
-        .dropDuplicates(["node"])
-        .select("node", F.substring("values", 1, 8 * SKETCH).alias("sketch"), "values"),
-        "near-sets",
-    )
+    entries = full.select("doc_id", "digest", "keys").join(nodes, [full.doc_id == nodes.node, full.digest == nodes.digest], "left_semi").select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
+    lengths = entries.groupBy("key").agg(F.count("*").cast("int").alias("n")).where("n > 1")
+    shared = materialise(entries.join(lengths, "key"), "near-shared")
+    # one row per list, whatever its length: its smallest member and one that differs from list to list
+    hubs = shared.groupBy("key").agg(F.min("node").alias("h1"), F.min_by("node", F.xxhash64("node", "key")).alias("h2"))
+    stars = shared.select("key", "node").join(hubs, "key").select("node", F.explode(F.array_distinct(F.array("h1", "h2"))).alias("hub")).where("node <> hub")
+    pairs = materialise(_counted(stars, "node", "hub").where(F.col("lists") >= SHARED).select("a", "b"), "near-pairs")
+    wanted = materialise(shared.groupBy("node").agg(F.count("*").alias("lists")).where(F.col("lists") >= SHARED).select("node"), "near-wanted")
+    bitmap = spark.sparkContext.broadcast(_bitmap(wanted))
+    sets = materialise(texts.where("doc_id is not null").mapInArrow(_sets_task(words, bitmap), "node long, sketch binary, values binary"), "near-sets")
     links = _confirm(pairs, sets, num, den)
     first = materialise(components(links), "near-components")
-    # lists whose members are not yet one component
-    labelled = shared.join(first, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    split = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    still = materialise(labelled.join(split, "key", "left_semi"), "near-open")
-    short = still.where(F.col("n") <= LONG_LIST).select("key", "node", "component")
-    long_ = still.where(F.col("n") > LONG_LIST)
-    # a member of a long list is listed again under each further list that it is in
-    second = shared.select("node", F.col("key").alias("key2"))
-    finer = long_.join(second, "node").where("key <> key2").select(F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key"), "node", "component").distinct()
-    split2 = finer.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    lists = materialise(short.unionByName(finer.join(split2, "key", "left_semi")), "near-lists")
-    x, y = lists.alias("x"), lists.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    more = _confirm(across.join(pairs, ["a", "b"], "left_anti"), sets, num, den)
+    # lists whose members are not yet one component, with the component that most of their members have
+    labelled = shared.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    main = labelled.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "component")).alias("main"), F.count("*").alias("k"), F.sum("m").alias("size")).where("k > 1")
+    still = materialise(labelled.join(main, "key").select("key", "node", "component", "size", F.col("main.component").alias("main"), (F.col("size") - F.col("main.m")).alias("others")), "near-open")
+    short = still.where(F.col("size") <= LONG_LIST)
+    x, y = short.alias("x"), short.alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))).select(F.col("x.node").alias("node"), F.col("y.node").alias("hub"))
+    across = _counted(met, "node", "hub").where(F.col("lists") >= SHARED).select("a", "b")
+    # in long lists, whoever is not of the main component is held against that component, and against the others that face it
+    others = still.where((F.col("size") > LONG_LIST) & (F.col("component") != F.col("main")))
+    facing = others.select(F.col("main").alias("group"), "node", "component").distinct()
+    members = labelled.select("node", "component").distinct().join(facing.select(F.col("group").alias("component")).distinct(), "component", "left_semi").select(F.col("component").alias("group"), "node", "component")
+    rest = others.where(F.col("others") <= GROUP).select(F.col("main").alias("group"), "node", "component").distinct()
+    # where very many others share a list, those that share a second one
+    finer = others.where(F.col("others") > GROUP).select("key", "node", "component").join(shared.select("node", F.col("key").alias("key2")), "node").where("key <> key2")
+    finer = finer.select(F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("group"), "node", "component").distinct()
+    lone = finer.groupBy("group").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("group")
+    rest = rest.unionByName(finer.join(lone, "group", "left_semi"))
+    faced = _faced(members, facing, sets, num, den).unionByName(_faced(rest, rest, sets, num, den)).distinct()
+    more = _confirm(across.unionByName(faced).distinct().join(pairs, ["a", "b"], "left_anti"), sets, num, den)
     whole = components(links.unionByName(more))
     named = nodes.join(whole, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return listed.join(named, "digest", "left").select(

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, decontaminate, lm_score, mixing, near_dedup, quality, secret_scan, substring_dedup, url_filter, warc
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
 RULES = [
     url_filter.Rule("net", "/", "block"),
     url_filter.Rule("example.net", "/en/", "allow"),
@@ -18,6 +22,10 @@ LISTED_HOSTS = ["cheap-pills.example.com", "spam-farm.example.org"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Python workers that Spark starts must find this package, whatever folder they start in
+    path = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if ROOT not in path.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{ROOT}:{path}".rstrip(":")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

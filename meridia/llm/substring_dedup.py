@@ -29,38 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, materialise, mix64
+from .common import U64, Rolling, materialise, mix64, split_hashes
 
 WINDOW = 50
 GRAM = 12
 LOW32 = U64(0xFFFFFFFF)
 
 
-class Rolling:
-    """Hashes of any word range from prefix sums of word * base^i modulo 2^64."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.powers = self.inverses = np.ones(1, U64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            n = max(n, 2 * len(self.powers))
-            for name, b in (("powers", self.base), ("inverses", self.inverse)):
-                steps = np.full(n, b, U64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-
-    def prefix(self, hashes: np.ndarray) -> np.ndarray:
-        self._grow(len(hashes) + 1)
-        out = np.zeros(len(hashes) + 1, U64)
-        np.cumsum(hashes * self.powers[: len(hashes)], out=out[1:])
-        return out
-
-    def of(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix64((prefix[end] - prefix[start]) * self.inverses[start])
-
-
 GRAMS = Rolling(0x9E3779B97F4A7C15)
 BLOCKS = Rolling(0xD6E8FEB86659FD93)
 
@@ -110,17 +85,17 @@ def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 
 
 def _blocks_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordHashes()
     none = np.zeros(0, np.int64)
     for batch in batches:
         for low in range(0, batch.num_rows, 2000):
             part = batch.slice(low, 2000)
             counts, digests, cols = [], [], ([], [], [], [])
-            for body in part.column(1).to_pylist():
+            bodies = part.column(1).to_pylist()
+            for body, hashes in zip(bodies, split_hashes(bodies)):
                 words = (body or b"").split()
                 counts.append(len(words))
                 digests.append(hashlib.sha256(b" ".join(words)).digest())
-                got = (none,) * 4 if len(words) < WINDOW else parse_blocks(known.array(words))
+                got = (none,) * 4 if len(words) < WINDOW else parse_blocks(hashes)
                 for c, x in zip(cols, got):
                     c.append(_signed(x) if x.dtype == U64 else x)
             yield pa.record_batch(
@@ -131,7 +106,6 @@ def _blocks_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _windows_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text, blocks(tag, anchor, first, last) -> the windows of those blocks."""
-    known = WordHashes()
     for batch in batches:
         for doc, body, blocks in zip(*(c.to_pylist() for c in batch.columns)):
             words = (body or b"").split()
@@ -142,7 +116,7 @@ def _windows_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             at = np.concatenate([np.arange(b["first"], b["last"] + 1) for b in own])
             anchors = np.concatenate([np.full(b["last"] + 1 - b["first"], b["anchor"], np.int64) for b in own])
             yield pa.record_batch(
-                [pa.array(anchors), pa.array(_signed(window_hashes(known.array(words), at))), pa.array(np.full(len(at), doc, np.int64)), pa.array(np.full(len(at), tag, np.int64)), pa.array(at.astype(np.int32))],
+                [pa.array(anchors), pa.array(_signed(window_hashes(split_hashes([body])[0], at))), pa.array(np.full(len(at), doc, np.int64)), pa.array(np.full(len(at), tag, np.int64)), pa.array(at.astype(np.int32))],
                 names=["anchor", "window", "doc_id", "tag", "at"],
             )
 
