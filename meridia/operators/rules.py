@@ -136,19 +136,32 @@ def repeated_media(field: str) -> Column:
     return ~v(field).isin("", "UNAVAILABLE", "UNAPPLICABLE") & any_of([v(f) == v(field) for f in before])
 
 
+def local_findings(pois: DataFrame, prefix: str = "GATE-", key: str = "GlobalID") -> DataFrame:
+    """Findings of the row-local rules whose id starts with the prefix."""
+    rules = [r for r in catalogue() if r.id.startswith(prefix)]
+    found = F.array_compact(F.array(*(F.when(r.fires, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.field).alias("field"))) for r in rules)))
+    return with_fields(pois).select(F.col(key), F.inline(found))
+
+
+def _late(rows: DataFrame, key: str, rule: str, fields: Column) -> DataFrame:
+    return rows.select(F.col(key), F.lit(rule).alias("rule_id"), F.lit("warning").alias("severity"), F.explode(fields).alias("field"))
+
+
+def placeholder_findings(pois: DataFrame, key: str = "GlobalID") -> DataFrame:
+    """Placeholders in text fields; no earlier correction makes or removes one."""
+    return _late(with_fields(pois), key, "GATE-SV1", F.array_compact(F.array(*(F.when(F.lower(v(f)).isin(*S.SENTINELS_VALIDATION), F.lit(f)) for f in S.SENTINEL_FIELDS))))
+
+
+def media_findings(pois: DataFrame, key: str = "GlobalID") -> DataFrame:
+    """URLs that an earlier media field holds, judged on corrected values."""
+    judged = corrections(with_fields(pois).withColumn("_was", F.struct(*(F.col(f) for f in S.MEDIA_FIELDS))))
+    hit = lambda f: (F.col(f"_was.{f}") != "UNAVAILABLE") & (v(f) == "UNAVAILABLE") & _media_repeated_before(f)
+    return _late(judged, key, "GATE-DUP", F.array_compact(F.array(*(F.when(hit(f), F.lit(f)) for f in S.MEDIA_FIELDS[1:]))))
+
+
 def findings(pois: DataFrame, key: str = "GlobalID") -> DataFrame:
-    """One row per finding: key, rule_id, severity, field.  One pass over the table."""
-    rows = with_fields(pois)
-    local = F.array_compact(F.array(*(F.when(r.fires, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.field).alias("field"))) for r in catalogue())))
-    judged = corrections(rows.withColumn("_local", local).withColumn("_was", F.struct(*(F.col(f) for f in S.MEDIA_FIELDS))))
-    # placeholders are judged on corrected values, so on what the last stage turned into UNAVAILABLE before that stage: the original value tells
-    placeholder = [F.when(F.lower(v(f)).isin(*S.SENTINELS_VALIDATION), F.lit(f)) for f in S.SENTINEL_FIELDS]
-    late = rows.select(F.col(key), F.array_compact(F.array(*placeholder)).alias("fields"))
-    media = judged.select(F.col(key), F.array_compact(F.array(*(F.when((F.col(f"_was.{f}") != "UNAVAILABLE") & (v(f) == "UNAVAILABLE") & _media_repeated_before(f), F.lit(f)) for f in S.MEDIA_FIELDS[1:]))).alias("fields"))
-    out = judged.select(F.col(key), F.inline("_local"))
-    for rule, frame in (("GATE-SV1", late), ("GATE-DUP", media)):
-        out = out.unionByName(frame.select(F.col(key), F.lit(rule).alias("rule_id"), F.lit("warning").alias("severity"), F.explode("fields").alias("field")))
-    return out
+    """One row per finding: key, rule_id, severity, field."""
+    return local_findings(pois, key=key).unionByName(placeholder_findings(pois, key)).unionByName(media_findings(pois, key))
 
 
 def _media_repeated_before(field: str) -> Column:

@@ -1,4 +1,8 @@
-"""All queries of the place engine and their SQL."""
+"""All queries of the place engine and their SQL, keyed by operator."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import matching, reports, validation
+
+QUERIES: dict = {**reports.QUERIES, **matching.QUERIES, **validation.QUERIES}
+ORACLES: dict = {**reports.ORACLES, **matching.ORACLES, **validation.ORACLES}

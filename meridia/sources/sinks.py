@@ -13,7 +13,7 @@ HIDDEN = ("created_at", "updated_at", "delivery_date")
 def export_csv(pois: DataFrame, path: str, single_file: bool = False) -> None:
     """Ordered by name, without system times, nulls as ''; one file only where it is asked for."""
     rows = pois.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in pois.columns if c not in HIDDEN)).orderBy(F.asc_nulls_last("Name_EN"))
-    (rows.coalesce(1) if single_file else rows).write.mode("overwrite").option("emptyValue", "").csv(path, header=True)
+    (rows.coalesce(1) if single_file else rows).write.mode("overwrite").option("emptyValue", "").option("escape", '"').csv(path, header=True)
 
 
 def json_rows(pois: DataFrame) -> DataFrame:

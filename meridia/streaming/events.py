@@ -10,7 +10,8 @@ from ..sources.sinks import batch_writer
 
 
 def read_events(spark: SparkSession, folder: str, schema: StructType, glob: str = "*.parquet", files: int = 100) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files).parquet(folder)
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files).parquet(folder)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))  # event time must have a zone
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
