@@ -206,3 +206,20 @@ def test_language_model_odd_rows(odd, empty):
     assert len(rows) == 7 and all(r.score < 0 for r in rows)
     assert {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
     assert lm_score.score_documents(empty).count() == 0
+
+
+def test_near_duplicates_in_long_lists(spark, monkeypatch):
+    """Every list counts as long and blocks hold few documents: the block comparison alone must find the links."""
+    monkeypatch.setattr(near_dedup, "LONG_LIST", 1)
+    monkeypatch.setattr(near_dedup, "GROUP", 3)
+    rng = random.Random(8)
+    base = prose(rng, 120).split()
+    texts = []
+    for _ in range(30):
+        w = list(base)
+        for i in rng.sample(range(len(w)), rng.choice([1, 3, 8, 14])):
+            w[i] = rng.choice(WORDS)
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near(rows, 2)
