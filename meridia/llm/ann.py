@@ -28,9 +28,10 @@ TREES = 4
 #: Rows that the trees are fitted on, at most.
 SAMPLE = 65_536
 LEAF = 512
-MIN_LEAF = 32
+#: Leaves of a tree, about, so that what a query brings back does not grow with the table.
+LEAVES = 64
 #: Share of the rows whose leaves a query visits, summed over trees and divided by their number.
-SHARE = 0.45
+SHARE = 0.35
 BLOCK = 8_192
 
 
@@ -102,12 +103,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _distances(queries: np.ndarray, rows: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and exact distances of somewhat more than the nearest ``keep`` rows of each query."""
+    """Positions and exact distances of the nearest ``keep`` rows of each query, ties to the earlier row."""
     wide = min(len(rows), 2 * keep + 10)
     rough = (rows * rows).sum(1)[None, :] - 2.0 * (queries @ rows.T)
     at = np.argpartition(rough, wide - 1, axis=1)[:, :wide] if wide < len(rows) else np.broadcast_to(np.arange(len(rows)), rough.shape)
+    at = np.sort(at, axis=1)
     step = rows[at] - queries[:, None, :]
-    return at, np.sqrt((step * step).sum(2))
+    far = np.sqrt((step * step).sum(2))
+    best = np.argsort(far, axis=1, kind="stable")[:, :keep]
+    return np.take_along_axis(at, best, 1), np.take_along_axis(far, best, 1)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, trees: int = TREES, share: float = SHARE, sample: int = SAMPLE, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -135,7 +139,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, t
     distinct = materialise(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "ann-rows")
     n = distinct.count()
     fitted = _sampled(distinct, n, sample, seed)
-    forest = spark.sparkContext.broadcast(Forest(fitted, trees, max(MIN_LEAF, LEAF * len(fitted) // max(n, LEAF)) if n > sample else LEAF, seed))
+    forest = spark.sparkContext.broadcast(Forest(fitted, trees, max(LEAF * len(fitted) // max(n, LEAF), len(fitted) // LEAVES, 1) if n > LEAF else LEAF, seed))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,6 +174,8 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, t
             for i in range(batch.num_rows):
                 q, x = _matrix(batch.column("qs")[i].values), _matrix(batch.column("vs")[i].values)
                 names, ids = np.array(batch.column("queries")[i].as_py()), batch.column("idss")[i].as_py()
+                by_id = sorted(range(len(ids)), key=lambda j: ids[j][0])
+                x, ids = x[by_id], [ids[j] for j in by_id]
                 for low in range(0, len(q), 64):
                     at, far = _distances(q[low : low + 64], x, k + 1)
                     owner = np.repeat(names[low : low + 64], at.shape[1])
