@@ -296,11 +296,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
     still = materialise(labelled.join(main, "key").select("key", "node", "component", "size", F.col("main.component").alias("main"), (F.col("size") - F.col("main.m")).alias("others")), "near-open")
     short = still.where(F.col("size") <= LONG_LIST)
     x, y = short.alias("x"), short.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))).select(F.col("x.node").alias("node"), F.col("y.node").alias("hub"))
-    across = _counted(met, "node", "hub").where(F.col("lists") >= SHARED).select("a", "b")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")))
+    swap = F.col("x.node") > F.col("y.node")
+    ends = lambda c: (F.when(swap, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")), F.when(swap, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")))
+    (a, b), (ca, cb) = ends("node"), ends("component")
+    met = met.select(a.alias("a"), b.alias("b"), ca.alias("ca"), cb.alias("cb")).groupBy("a", "b", "ca", "cb").agg(F.count("*").alias("lists")).where(F.col("lists") >= SHARED)
     # in long lists, whoever is not of the main component is held against that component, and against the others that face it
     others = still.where((F.col("size") > LONG_LIST) & (F.col("component") != F.col("main")))
     facing = others.select(F.col("main").alias("group"), "node", "component").distinct()
+    # pairs that the blocks compare need no second look
+    across = met.join(facing.select(F.col("node").alias("a"), F.col("group").alias("cb")), ["a", "cb"], "left_anti").join(facing.select(F.col("node").alias("b"), F.col("group").alias("ca")), ["b", "ca"], "left_anti").select("a", "b")
     members = labelled.select("node", "component").distinct().join(facing.select(F.col("group").alias("component")).distinct(), "component", "left_semi").select(F.col("component").alias("group"), "node", "component")
     rest = others.where(F.col("others") <= GROUP).select(F.col("main").alias("group"), "node", "component").distinct()
     # where very many others share a list, those that share a second one
