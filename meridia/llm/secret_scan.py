@@ -29,6 +29,8 @@ FORMATS = (
 ASSIGNED = r"(?<=(?:password|passwd|secret|token|api_key|apikey|access_key)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?)[^\s\"'<>]{8,200}"
 BARE = r"[0-9A-Za-z+/_=\-]{24,}"
 CANDIDATE = "|".join([*FORMATS, ASSIGNED, BARE])
+#: Stands in every text that holds a candidate, and is searched much faster.
+HINT = r"[0-9A-Za-z+/_=\-]{20}|-----BEGIN |xox[abprs]-|eyJ[0-9A-Za-z_\-]{8}|(?:password|passwd|secret|token|api_key|apikey|access_key)[\"']?[ ]{0,2}[:=]"
 #: Characters of text kept before and behind a candidate.
 BEFORE, BEHIND = 60, 30
 
@@ -52,10 +54,10 @@ VOWELS = "[aeiouyáéíóúàèêîôûäöü]"
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, before, secret, behind for every candidate of every text."""
     text = F.col(text_col)
-    pattern = rf"(?s)(.{{0,{BEFORE}}}?)({CANDIDATE})(?=(.{{0,{BEHIND}}}))"
-    found = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(n) for g, n in ((1, "before"), (2, "secret"), (3, "behind"))))
-    # most texts hold no candidate: a plain search spares them the wider pattern
-    return docs.where(text.rlike(CANDIDATE)).select(F.col(id_col).alias("doc_id"), F.inline(found)).distinct()
+    # what lies between the candidates is one piece more than there are candidates
+    rows = docs.where(text.rlike(HINT)).select(F.col(id_col).alias("doc_id"), F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), F.lit(1)).alias("found"), F.split(text, CANDIDATE).alias("between"))
+    cut = F.transform("found", lambda s, i: F.struct(F.right(F.get("between", i), F.lit(BEFORE)).alias("before"), s.alias("secret"), F.left(F.get("between", i + 1), F.lit(BEHIND)).alias("behind")))
+    return rows.where(F.size("found") > 0).select("doc_id", F.inline(cut)).distinct()
 
 
 def features(found: DataFrame) -> DataFrame:
