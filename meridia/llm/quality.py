@@ -29,6 +29,9 @@ MAX_POOL = 5_000
 VOCABULARY = 1 << 15
 METADATA_BUCKETS = 1 << 10
 ROUNDS = 2
+#: Partitions of the samples, which are small: every step of a fit is a job over them.
+FIT_PARTITIONS = 6
+STEPS = 25
 #: A view labels for the other what it gives this probability or more.
 SURE = 0.97
 
@@ -103,7 +106,7 @@ def _logits(rows: DataFrame) -> DataFrame:
 
 
 def _fit(rows: DataFrame, features: str, strength: float = 1e-2) -> LogisticRegressionModel:
-    return LogisticRegression(featuresCol=features, labelCol="label", regParam=strength, maxIter=60).fit(rows)
+    return LogisticRegression(featuresCol=features, labelCol="label", regParam=strength, maxIter=STEPS).fit(rows)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = ("lang", "source"), rounds: int = ROUNDS) -> CoTrained | None:
@@ -124,8 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(2)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, MAX_POOL / max(n_docs, 1)))
     pool = described(docs.where(draw).join(F.broadcast(chosen.select("__label_id")), docs[id_col] == F.col("__label_id"), "left_anti"), id_col, text_col, known)
     words = CountVectorizer(inputCol="words", outputCol="bag", vocabSize=VOCABULARY, minDF=max(2.0, min(10.0, n_labels / 500)), binary=True).fit(labelled)
-    seen = materialise(_vectors(labelled, words), "quality-seen")
-    unseen = materialise(_vectors(pool, words), "quality-pool")
+    seen = materialise(_vectors(labelled, words).repartition(FIT_PARTITIONS), "quality-seen")
+    unseen = materialise(_vectors(pool, words).repartition(FIT_PARTITIONS), "quality-pool")
     train, held = seen.where("fold > 0"), seen.where("fold = 0")
     if any(part.agg(F.countDistinct("label")).first()[0] < 2 for part in (train, held)):
         train = held = seen
