@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: With a fifth of an item's words replaced at random, one of these masks still fits an item of 16 words or more.
-MASKS = ("1101011", "1011101", "11100101")
-SPAN = max(map(len, MASKS))
+#: However a fifth of an item's words, rounded down, is chosen to be replaced, one of these masks still fits if the item
+#: has 8 words or more: tried for all choices at 8 to 19 words; longer items have ten words in a row with two at most.
+MASKS = ("11111", "111011", "11010011")
+#: Items with fewer words have masks of their own length.
+SHORT = 8
 #: Benchmark seeds that may be broadcast; 24 bytes each.  Beyond, the join shuffles.
 BROADCAST_SEEDS = 500_000
 #: Share of an item's words that must agree at one offset ...
@@ -33,13 +35,23 @@ def token_hashes(text: Column) -> Column:
     return F.coalesce(F.transform(words, lambda w: F.xxhash64(w)), F.array().cast("array<bigint>"))
 
 
-def seeds(rows: DataFrame, keep: list[str], hashes: str) -> DataFrame:
-    """keep..., pos, seed: a row per position and mask, made from shifted copies of the array side by side."""
-    n = F.size(hashes)
-    shifted = F.arrays_zip(*(F.slice(hashes, i + 1, F.greatest(n - SPAN + 1, F.lit(0))).alias(f"s{i}") for i in range(SPAN)))
-    lines = rows.where(n >= SPAN).select(*keep, F.posexplode(shifted).alias("pos", "s"))
-    found = F.array(*(F.xxhash64(F.lit(k), *(F.col(f"s.s{i}") for i, c in enumerate(mask) if c == "1")) for k, mask in enumerate(MASKS)))
-    return lines.select(*keep, "pos", F.explode(found).alias("seed"))
+def short_masks(n: int) -> tuple[str, ...]:
+    """Masks for items of n words, fewer than SHORT: the whole item, or from 5 words on all but any one of its words."""
+    return ("1" * n,) if n < 5 else ("1" * (n - 1), *("1" * i + "0" + "1" * (n - 1 - i) for i in range(1, n - 1)))
+
+
+def seeds(rows: DataFrame, keep: list[str], hashes: str, masks: tuple[str, ...]) -> DataFrame:
+    """keep..., pos, seed: a row per mask and position that it fits, made from shifted copies of the array side by side."""
+    span = max(map(len, masks))
+    # what is shifted past the end is null
+    shifted = F.arrays_zip(*(F.slice(hashes, i + 1, F.size(hashes)).alias(f"s{i}") for i in range(span)))
+    lines = rows.where(F.size(hashes) >= min(map(len, masks))).select(*keep, F.posexplode(shifted).alias("pos", "s"))
+
+    def seed(mask: str) -> Column:
+        fits = F.col(f"s.s{len(mask) - 1}").isNotNull()
+        return F.when(fits, F.xxhash64(F.lit(int(mask, 2)), *(F.col(f"s.s{i}") for i, c in enumerate(mask) if c == "1")))
+
+    return lines.select(*keep, "pos", F.explode(F.array(*map(seed, masks))).alias("seed")).where("seed is not null")
 
 
 def _agreement(doc: Column, item: Column, at: Column) -> tuple[Column, Column]:
@@ -62,20 +74,27 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """Confirmed overlaps: doc_id, item_id, position, matched, item_words, similarity, stretch.
 
     An overlap counts if SIMILARITY of the item's words agree, or STRETCH words in
-    one stretch.  Items and documents with fewer than SPAN words share no seed and
-    are never reported; neither are rows with null ids or texts.  The best offset
-    is kept for each item in each document; repeated ids are judged together.
+    one stretch; any such overlap shares a seed, whatever the length of item or
+    document.  An item without words, and rows with null ids or texts, are never
+    reported.  The best offset is kept for each item in each document; repeated
+    ids are judged together.
     """
     items = materialise(
         benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), token_hashes(F.col(item_text)).alias("item")), "bench-items"
     )
-    keys = materialise(seeds(items, ["item_id"], "item").distinct(), "bench-seeds")
+    n = F.size("item")
+    short = sorted(r[0] for r in items.where(n.between(1, SHORT - 1)).select(n).distinct().collect())  # fewer than SHORT rows
+    keys = seeds(items.where(n >= SHORT), ["item_id"], "item", MASKS)
+    for size in short:
+        keys = keys.unionByName(seeds(items.where(n == size), ["item_id"], "item", short_masks(size)))
+    keys = materialise(keys.distinct(), "bench-seeds")
+    laid = tuple(dict.fromkeys([*MASKS, *(mask for size in short for mask in short_masks(size))]))
     wanted = keys.select(F.col("seed"), F.col("item_id"), F.col("pos").alias("item_pos"))
     if wanted.count() <= BROADCAST_SEEDS:
         wanted = F.broadcast(wanted)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     hits = materialise(
-        seeds(texts.select("doc_id", token_hashes(F.col("text")).alias("doc")), ["doc_id"], "doc")
+        seeds(texts.select("doc_id", token_hashes(F.col("text")).alias("doc")), ["doc_id"], "doc", laid)
         .join(wanted, "seed")
         .select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("at"))
         .distinct(),

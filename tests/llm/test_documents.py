@@ -1,6 +1,7 @@
 """Operators on documents: brute-force results, and the odd rows that each must take."""
 
 import random
+from itertools import combinations
 
 import brute
 import pytest
@@ -108,6 +109,27 @@ def test_decontamination_finds_copies_and_substitutions(spark):
     assert got == want
 
 
+def test_decontamination_leaves_no_substitution_out(spark):
+    """All ways to replace a fifth of an item's words, at all lengths where it is not certain; documents may end with the item."""
+    rng = random.Random(6)
+    items, docs, want = [], [], set()
+    for n in (*range(1, 13), 15, 16):
+        w = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(w)))
+        for gone in combinations(range(n), n // 5):
+            text = " ".join("other" if k in gone else x for k, x in enumerate(w))
+            for t in (text, f"{prose(rng, 3)} {text} {prose(rng, 9)}"):
+                want.add((len(docs), n))
+                docs.append((len(docs), t))
+        kept = " ".join(w[n // 5 :])  # cut off where the document begins
+        want.add((len(docs), n))
+        docs.append((len(docs), kept))
+        if n > 1:
+            docs.append((len(docs), " ".join(w[n // 5 + 1 :])))  # a word too few
+    got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+
+
 def test_decontamination_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, "a b c d e f g h " * 3), (2, None), (None, "x y z " * 9), (3, "")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(odd, bench).collect()} == {(4, 1)}
