@@ -2,12 +2,11 @@
 
 Two logistic models look at a document from different sides: one at the words
 and the make-up of its text, one at its metadata.  In each round each labels
-those documents of an unlabelled pool of which it is sure, for the other to
-learn from.  Both are then calibrated on labelled documents held out from
+those unlabelled documents of which it is sure, for the other to learn from.  Both are then calibrated on labelled documents held out from
 training, and a last model over the two calibrated views scores all documents.
 
-Models are fitted on samples of documented size, chosen by hashes of ids;
-scoring covers every document and runs in one pass over the texts.
+Labelled documents are a sample of documented size, chosen by hashes of ids; all
+unlabelled ones take part in every round.  Scoring runs in one pass over the texts.
 """
 
 from __future__ import annotations
@@ -22,16 +21,15 @@ from pyspark.sql import functions as F
 
 from .common import materialise, word_count
 
-#: Labelled rows and pool rows that models are fitted on, at most (in expectation).
+#: Labelled rows that models are fitted on, at most (in expectation).
 MAX_LABELLED = 20_000
-MAX_POOL = 5_000
 #: Distinct words of the text model, at most.
 VOCABULARY = 1 << 15
 METADATA_BUCKETS = 1 << 10
 ROUNDS = 2
-#: Partitions of the samples, which are small: every step of a fit is a job over them.
+#: Partitions of the labelled sample, which is small: every step of a fit is a job over them.
 FIT_PARTITIONS = 6
-STEPS = 25
+STEPS = 60
 #: A view labels for the other what it gives this probability or more.
 SURE = 0.97
 
@@ -113,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """labels: id and label (1 keep, 0 reject).  None if the labels do not hold both classes."""
     labels = labels.select(F.col(id_col).alias("__label_id"), F.col("label").cast("double").alias("label")).where("__label_id is not null and label is not null").groupBy("__label_id").agg(F.min("label").alias("label"))
     place = F.pmod(F.xxhash64("__label_id"), F.lit(1 << 30))
-    n_labels, n_docs = labels.count(), docs.count()
+    n_labels = labels.count()
     chosen = labels.where(place < int((1 << 30) * min(1.0, MAX_LABELLED / max(n_labels, 1))))
     known = [c for c in metadata if c in docs.columns]
     # the chosen labels are bounded by MAX_LABELLED, so they may be broadcast
@@ -124,11 +122,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     )
     if labelled.agg(F.countDistinct("label")).first()[0] < 2:
         return None
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(2)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, MAX_POOL / max(n_docs, 1)))
-    pool = described(docs.where(draw).join(F.broadcast(chosen.select("__label_id")), docs[id_col] == F.col("__label_id"), "left_anti"), id_col, text_col, known)
+    pool = described(docs.join(F.broadcast(chosen.select("__label_id")), docs[id_col] == F.col("__label_id"), "left_anti"), id_col, text_col, known)
     words = CountVectorizer(inputCol="words", outputCol="bag", vocabSize=VOCABULARY, minDF=max(2.0, min(10.0, n_labels / 500)), binary=True).fit(labelled)
     seen = materialise(_vectors(labelled, words).repartition(FIT_PARTITIONS), "quality-seen")
-    unseen = materialise(_vectors(pool, words).repartition(FIT_PARTITIONS), "quality-pool")
+    unseen = materialise(_vectors(pool, words).select("text_features", "meta_features"), "quality-pool")
     train, held = seen.where("fold > 0"), seen.where("fold = 0")
     if any(part.agg(F.countDistinct("label")).first()[0] < 2 for part in (train, held)):
         train = held = seen

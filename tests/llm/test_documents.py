@@ -193,6 +193,22 @@ def test_quality(spark, odd, empty):
     assert quality.keep_accepted(empty, labels).count() == 0
 
 
+def test_quality_pool_holds_all_unlabelled(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def count_pool(rows, name):
+        if name == "quality-pool":
+            raise Seen(rows.count())
+        return rows
+
+    monkeypatch.setattr(quality, "materialise", count_pool)
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word and w"), F.col("id") % 9).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    with pytest.raises(Seen) as seen:
+        quality.fit(docs, docs.where("doc_id < 100").select("doc_id", (F.col("doc_id") % 2).alias("label")))
+    assert seen.value.args == (11_900,) and quality.STEPS >= 60
+
+
 def test_mixing_targets_and_takes(spark):
     rng = random.Random(2)
     rows = [(i, prose(rng, rng.randint(1, 60)), rng.choice(["a", "b", "b", "b", "b", "b", "c", None])) for i in range(400)]
