@@ -31,7 +31,7 @@ LEAF = 512
 #: Leaves of a tree, about, so that what a query brings back does not grow with the table.
 LEAVES = 64
 #: Share of the rows whose leaves a query visits, summed over trees and divided by their number.
-SHARE = 0.35
+SHARE = 0.45
 BLOCK = 8_192
 
 

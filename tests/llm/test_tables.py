@@ -97,6 +97,13 @@ def test_nearest_recall_order_and_ties(spark):
     assert hit >= 0.9 * 10 * len(rows)
 
 
+def test_search_visits_the_share():
+    x = np.random.default_rng(2).normal(size=(3000, 16))
+    forest = ann.Forest(x, ann.TREES, len(x) // ann.LEAVES, 7)
+    for q in x[::100]:
+        assert sum(forest.shares[leaf] for leaf in forest.search(q, ann.SHARE)) / ann.TREES >= 0.45
+
+
 def test_nearest_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0]), (None, [1.0, 2.0]), (9, [2.0, 0.0]), (9, [2.0, 0.0])]
