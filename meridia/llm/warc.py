@@ -38,22 +38,27 @@ DATE = datetime(2020, 1, 1, tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 MIN_REVISIT = 100
 
 
-def record(kind: str, page_id: int | None, url: str | None, digest: str, size: int, payload: bytes, refers_to: int | None = None) -> bytes:
+def record_id(page_id: int | None, part: int, place: int) -> str:
+    """The page's id, and the place of the record among those written, which no other record has."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{part}:{place}>"
+
+
+def record(kind: str, name: str, url: str | None, digest: str, size: int, payload: bytes, refers_to: str | None = None) -> bytes:
     """A WARC/1.1 record; a revisit keeps the HTTP head, with the length of the full payload, and no payload."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = head if kind == "revisit" else head + payload
     lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", f"WARC-Date: {DATE}",
         "WARC-Target-URI: " + " ".join((url or "").split()), f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {refers_to}"]
     return "\r\n".join(lines).encode("utf-8") + CRLF + CRLF + block + CRLF + CRLF
 
 
 def _page(value: str | None) -> int | None:
-    digits = (value or "").removeprefix("<urn:page:").removesuffix(">")
+    digits = (value or "").removeprefix("<urn:page:").partition(":")[0]
     return int(digits) if digits else None
 
 
@@ -83,23 +88,25 @@ def _put(store: fs.FileSystem, path: str, write) -> None:
 
 
 def write_monolithic(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One single-stream .warc.gz per non-empty task; rows: path, page_id, size, digest."""
+    """One single-stream .warc.gz per non-empty task; rows: path, page_id, size, digest, record (its id)."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
-    schema = pa.schema([("path", pa.string()), ("page_id", pa.int64()), ("size", pa.int64()), ("digest", pa.string())])
+    schema = pa.schema([("path", pa.string()), ("page_id", pa.int64()), ("size", pa.int64()), ("digest", pa.string()), ("record", pa.string())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        name = f"{root}/pages-{TaskContext.get().partitionId():06d}.warc.gz"
-        seen: list[tuple[int | None, int, str]] = []
+        number = TaskContext.get().partitionId()
+        name = f"{root}/pages-{number:06d}.warc.gz"
+        seen: list[tuple[int | None, int, str, str]] = []
 
         def write(out) -> None:
             z = zlib.compressobj(1, zlib.DEFLATED, GZIP)
             for batch in batches:
                 for page, url, body in zip(*(c.to_pylist() for c in batch.columns)):
                     digest = hashlib.sha256(body).hexdigest()
-                    out.write(z.compress(record("response", page, url, digest, len(body), body)))
-                    seen.append((page, len(body), digest))
+                    own = record_id(page, number, len(seen))
+                    out.write(z.compress(record("response", own, url, digest, len(body), body)))
+                    seen.append((page, len(body), digest, own))
             out.write(z.flush())
 
         first = next(iter(batches), None)
@@ -109,9 +116,9 @@ def write_monolithic(pages: DataFrame, folder: str, id_col: str = "page_id", url
         _put(store, name, write)
         for i in range(0, len(seen), 10_000):
             part = seen[i : i + 10_000]
-            yield pa.record_batch([pa.array([name] * len(part)), *map(pa.array, ([x[0] for x in part], [x[1] for x in part], [x[2] for x in part]), schema.types[1:])], schema=schema)
+            yield pa.record_batch([pa.array([name] * len(part)), *map(pa.array, map(list, zip(*part)), schema.types[1:])], schema=schema)
 
-    return rows.mapInArrow(task, "path string, page_id long, size long, digest string")
+    return rows.mapInArrow(task, "path string, page_id long, size long, digest string, record string")
 
 
 def _chain(first, rest):
@@ -147,14 +154,14 @@ def _records(stream) -> Iterator[bytes]:
 
 
 def normalise(files: DataFrame, folder: str) -> DataFrame:
-    """files: path, revisits (array of page_id, refers_to).  One row per file: path of the archive and of its sidecar."""
+    """files: path, revisits (array of record, refers_to).  One row per file: path of the archive and of its sidecar."""
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         for frame in frames:
             for path, revisits in zip(frame["path"], frame["revisits"]):
-                to = {x["page_id"]: x["refers_to"] for x in revisits}
+                to = {x["record"]: x["refers_to"] for x in revisits}
                 name = f"{root}/{os.path.basename(path)}"
                 lines = []
 
@@ -163,13 +170,13 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
                     with store.open_input_stream(path, compression=None) as stream:
                         for raw in _records(stream):
                             headers, block = parse(raw)
-                            page = _page(headers["warc-record-id"])
-                            if page in to:
-                                raw = record("revisit", page, headers.get("warc-target-uri"), headers["warc-payload-digest"].removeprefix("sha256:"), payload_of(block)[0], b"", to[page])
+                            own = headers["warc-record-id"]
+                            if own in to:
+                                raw = record("revisit", own, headers.get("warc-target-uri"), headers["warc-payload-digest"].removeprefix("sha256:"), payload_of(block)[0], b"", to[own])
                             z = zlib.compressobj(LEVEL, zlib.DEFLATED, GZIP)
                             member = z.compress(raw) + z.flush()
                             out.write(member)
-                            lines.append(f"{at} {len(member)} {'' if page is None else page}\n")
+                            lines.append(f"{at} {len(member)} {own}\n")
                             at += len(member)
 
                 _put(store, name, write)
@@ -217,16 +224,18 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     Null html is an empty payload.  Of equal payloads of at least MIN_REVISIT
     bytes the smallest page_id is the response; repeated rows of that page_id
-    are responses too.  A null page_id never becomes a revisit.  An empty table
+    with that payload are responses too.  A page_id that stands again with another
+    payload is judged by that payload.  A null page_id never becomes a revisit.  An empty table
     gives no files and no rows.
     """
     folder = scratch(pages.sparkSession, "warc")
     written = materialise(write_monolithic(pages, f"{folder}/monolithic", id_col, url_col, html_col), "warc-written")
-    first = written.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    repeats = written.where(F.col("size") >= MIN_REVISIT).join(first, "digest").where("page_id > refers_to")
+    large = written.where((F.col("size") >= MIN_REVISIT) & F.col("page_id").isNotNull())
+    first = large.groupBy("digest").agg(F.min(F.struct("page_id", "record")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    repeats = large.join(first.select("digest", "first"), "digest").where("page_id > first.page_id")
     # a file's revisits are no more than its records, which one task wrote
-    revisits = repeats.groupBy("path").agg(F.collect_list(F.struct("page_id", "refers_to")).alias("revisits"))
-    files = written.select("path").distinct().join(revisits, "path", "left").withColumn("revisits", F.coalesce("revisits", F.array().cast("array<struct<page_id:bigint,refers_to:bigint>>")))
+    revisits = repeats.groupBy("path").agg(F.collect_list(F.struct("record", F.col("first.record").alias("refers_to"))).alias("revisits"))
+    files = written.select("path").distinct().join(revisits, "path", "left").withColumn("revisits", F.coalesce("revisits", F.array().cast("array<struct<record:string,refers_to:string>>")))
     parts = max(1, files.count())
     archives = materialise(normalise(files.repartition(parts, "path"), f"{folder}/archives"), "warc-archives")
     return read_back(archives.repartition(parts, "path"), folder)

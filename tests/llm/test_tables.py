@@ -38,6 +38,17 @@ def test_warc_round_trip(spark):
     assert warc.archive_pages(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("files", [1, 2])
+def test_warc_keeps_other_payloads_of_a_repeated_id(spark, files):
+    a, b = "a" * 200, "b" * 200
+    rows = [(1, a), (5, a), (5, b), (6, b), (1, a), (None, b)]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string").repartition(files)
+    got = warc.archive_pages(pages)
+    want = [(1, a, "response", None), (1, a, "response", None), (5, a, "revisit", 1), (5, b, "response", None), (6, b, "revisit", 5), (None, b, "response", None)]
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted([(r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in got.collect()], key=key) == sorted([(i, hashlib.sha256(h.encode()).hexdigest(), k, f) for i, h, k, f in want], key=key)
+
+
 def test_url_filter(spark):
     rules = [url_filter.Rule("net", "/", "block"), url_filter.Rule("example.net", "/en/", "allow"), url_filter.Rule("example.com", "/de/", "block"), url_filter.Rule("org", "/fr/", "allow")]
     rows = [
