@@ -1,30 +1,31 @@
 """Near-duplicate detection with bottom-k sketches from one hash function.
 
-Every shingle has one hash; a document's sketch is what its set retains below a
-bound that follows from the set's size.  Inverted lists of retained values give
-the candidates, the bottom-k of two sketches' union estimates their similarity,
-and what may pass is confirmed on the full sets.
-
-A list per single value would hold every document with a frequent word pair.
-Hash space is therefore cut into cells of about 3.5 retained values, and a list
-is kept per cell content of two values or more.  Two sets at similarity 0.8
-agree in such a cell with probability 0.3 or more and have 40 cells; that they
-share fewer than the two lists asked for has a probability of about 1e-5 at the
-bound itself and at the worst set size, and far less above it.  Sets so small
-that they fill fewer cells get several divisions of hash space.  Sizes are classed by powers of two, and a
-set near a class's lower end is listed in the class below as well.
-
-No list is turned into all its pairs.  Members are first held against two hubs
-of their list, and what is confirmed is joined to components.  What is left are
-lists with several components: members of short ones are paired across
-components, and in long ones those outside the list's main component are held
-against that component and against each other in blocks of bounded size.
+Every shingle has one hash; a document's sketch is its RETAINED smallest hashes.
+Inverted lists of retained values give the candidates, the bottom-k of two
+sketches' union estimates their similarity, and what may pass is confirmed on the
+full sets.
+
+A list of a frequent word pair would hold most documents.  Sketches are therefore
+put in order by the number of documents that retain a value, rarest first, and
+only the first values of each are listed: two sketches that have ``t`` values in
+common, of ``m`` retained, meet MEETINGS times within the first m - t + MEETINGS of
+both.  At similarity
+0.8 two sketches of 64 values have 51 in common on average and fewer than LEAST
+with a probability of about 1e-6; sketches that hold a whole set of up to
+0.8 * RETAINED shingles need 0.8 of it, without exception.  A document with fewer
+values in common with all others together is in no list at all.
+
+No list is turned into all its pairs.  Members are first held against two members
+of their list: the one that shares most of its values with others (of copies of
+one text, that text) and one that differs from list to list.  What is confirmed
+is joined to components.  In lists that are not of one component then, those
+outside the largest component are held against it and against each other, in
+blocks of bounded size and without a row for a pair that fails.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -34,18 +35,18 @@ from pyspark.sql import functions as F
 
 from .common import U64, materialise, mix64, split_hashes
 
-CELLS = 40
-PER_CELL = 3.5
-#: Retained values that the union-sketch estimate looks at, and the estimate below which a pair is dropped.
-#: At similarity 0.8, 256 values estimate under 0.65 with a probability of about 1e-8.
-SKETCH = 256
-ESTIMATE = 0.65
-#: Members of lists up to this length are paired one by one, those of longer lists in blocks.
-LONG_LIST = 128
-#: Lists that a pair must share to be looked at.
-SHARED = 2
-#: Documents on either side of a block in which members of long lists are compared.
+#: Values of a document's sketch, and how many of them two similar documents have in common at least.
+RETAINED = 64
+LEAST = 34
+#: Lists in which two similar documents meet at least.  Between components they meet in one of three ways, as member of
+#: the list's main component and other, the reverse, or as two others; so that in one of these they meet twice.
+MEETINGS = 4
+#: A pair is dropped if its sketches have less than this share of the smaller one in common, by which the bottom of their
+#: union estimates the similarity; at 0.8 that has a probability of about 1e-6.
+ESTIMATE = 0.55
+#: Documents on either side of a block in which members of lists are compared, and rows that a task takes together.
 GROUP = 512
+TOGETHER = 2_048
 #: Bits, at most, of the broadcast map of documents whose sets are needed: 32 MB.
 MOST_BITS = 1 << 28
 
@@ -63,34 +64,6 @@ def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(mix64(out + U64(size)))
 
 
-def cell_keys(values: np.ndarray) -> np.ndarray:
-    """The list keys of a set of sorted hashes."""
-    n = len(values)
-    if n == 0:
-        return values
-    top = n.bit_length() - 1
-    keys = []
-    for size_class in (top, top - 1) if n * 4 <= (5 << top) and top else (top,):
-        middle = (1 << size_class) * sqrt(2)
-        cells = max(1, min(CELLS, round(middle / PER_CELL)))
-        share = min(1.0, cells * PER_CELL / middle)
-        bound = U64(min((1 << 64) - 1, int(share * 2.0**64)))
-        width = max(1, int(bound) // cells)
-        for turn in range(-(-CELLS // cells)):
-            own = values if turn == 0 else np.sort(mix64(values + U64(turn * 0x9E3779B97F4A7C15 % (1 << 64))))
-            own = own[: np.searchsorted(own, bound, side="right")]
-            if len(own) == 0:
-                continue
-            cell = np.minimum(own // U64(width), U64(cells - 1))
-            starts = np.concatenate(([0], np.flatnonzero(cell[1:] != cell[:-1]) + 1))
-            content = np.add.reduceat(mix64(own ^ U64(0xA0761D6478BD642F)), starts)
-            if n > 1:  # a lone value may be a word pair of half the corpus
-                full = np.diff(np.append(starts, len(own))) > 1
-                starts, content = starts[full], content[full]
-            keys.append(mix64(content ^ mix64(cell[starts] + U64((size_class << 40) + (turn << 20) + 1))))
-    return np.unique(np.concatenate(keys)) if keys else values[:0]
-
-
 def _sets_of(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     for words in split_hashes(column.to_pylist(), lower=True):
         yield shingle_set(words, size)
@@ -105,14 +78,14 @@ def _keys_task(size: int):
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
                 part = batch.slice(low, 2000)
-                counts, digests, keys = [], [], []
+                counts, digests, kept = [], [], []
                 for values in _sets_of(part.column(1), size):
                     counts.append(len(values))
                     digests.append(_digest(values))
-                    keys.append(cell_keys(values).view(np.int64))
-                ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-                flat = pa.array(np.concatenate(keys))
-                yield pa.record_batch([part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "n", "digest", "keys"])
+                    kept.append(values[:RETAINED].view(np.int64))
+                ends = np.concatenate(([0], np.cumsum([len(k) for k in kept]))).astype(np.int32)
+                flat = pa.array(np.concatenate(kept))
+                yield pa.record_batch([part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "n", "digest", "retained"])
 
     return task
 
@@ -147,32 +120,7 @@ def _sets_task(size: int, bitmap):
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
                 sets = [values.astype("<u8").tobytes() for values in _sets_of(part.column(1), size)]
-                yield pa.record_batch([part.column(0), pa.array([x[: 8 * SKETCH] for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["node", "sketch", "values"])
-
-    return task
-
-
-def _estimate_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with both sketches -> pairs whose union sketch estimates enough."""
-    for batch in batches:
-        keep = []
-        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-            union = np.union1d(x, y)[:SKETCH]  # the bottom of the union is known up to here
-            both = np.intersect1d(x, y, assume_unique=True)
-            keep.append(len(both[both <= union[-1]]) >= ESTIMATE * len(union) if len(union) else False)
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-
-def _exact_task(num: int, den: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                yield pa.record_batch([part.column(0), pa.array(sets, pa.binary())], names=["node", "values"])
 
     return task
 
@@ -197,70 +145,123 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs(a, b) -> those whose sets reach the similarity: sketches first, then full sets."""
-
-    def joined(p: DataFrame, value) -> DataFrame:
-        one = p.join(sets.select(F.col("node").alias("a"), value.alias("va")), "a")
-        return one.join(sets.select(F.col("node").alias("b"), value.alias("vb")), "b").select("a", "b", "va", "vb")
-
-    likely = materialise(joined(pairs, F.col("sketch")).mapInArrow(_estimate_task, "a long, b long"), "near-likely")
-    return materialise(joined(likely, F.col("values")).mapInArrow(_exact_task(num, den), "a long, b long"), "near-links")
-
-
-def _face_task(num: int, den: int):
-    """Index and probe rows of one group -> pairs of other components that may be similar enough."""
-
-    def likely(x: np.ndarray, y: np.ndarray) -> bool:
-        if len(x) < SKETCH and len(y) < SKETCH:  # both sets are whole
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            return den * both >= num * (len(x) + len(y) - both)
-        union = np.union1d(x, y)[:SKETCH]
-        both = np.intersect1d(x, y, assume_unique=True)
-        return len(both[both <= union[-1]]) >= ESTIMATE * len(union)
-
-    def compare(table: pa.Table) -> pa.Table:
-        side, node, component = (table.column(c).to_numpy() for c in ("side", "node", "component"))
-        sketches = [np.frombuffer(b, "<u8") for b in table.column("sketch").to_pylist()]
-        index = np.flatnonzero(side == 0)
-        values = np.concatenate([sketches[i] for i in index]) if len(index) else np.zeros(0, U64)
-        owner = np.repeat(np.arange(len(index)), [len(sketches[i]) for i in index])
-        order = np.argsort(values, kind="stable")
-        values, owner = values[order], owner[order]
-        sizes = np.array([len(sketches[i]) for i in index])
-        found = []
-        for p in np.flatnonzero(side == 1):
-            q = sketches[p]
-            low, high = np.searchsorted(values, q, "left"), np.searchsorted(values, q, "right")
-            runs = high - low
-            at = np.repeat(low - np.concatenate(([0], np.cumsum(runs)[:-1])), runs) + np.arange(runs.sum())
-            common = np.bincount(owner[at], minlength=len(index))
-            for i in np.flatnonzero((common * 3 >= np.minimum(sizes, len(q))) & (component[index] != component[p])):
-                a, b = int(node[p]), int(node[index[i]])
-                if likely(q, sketches[index[i]]):
-                    found.append((max(a, b), min(a, b)))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
-
-    return compare
-
-
-def _faced(index: DataFrame, probe: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """index, probe (group, node, component) -> a, b: each probe against its group's index, in blocks of bounded size on both sides.
-
-    Pairs are compared where they lie; only those that pass the estimate come out.
-    """
+def _bytes_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = batch.column(1)
+        values = [rows.values[a:b].to_numpy().astype("<i8").tobytes() for a, b in zip(rows.offsets.to_pylist()[:-1], rows.offsets.to_pylist()[1:])]
+        yield pa.record_batch([batch.column(0), pa.array(values, pa.binary())], names=["node", "values"])
+
+
+def _ordered(x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value with the positions at which it stands."""
+    order = np.argsort(x, kind="stable")
+    cuts = np.flatnonzero(np.diff(x[order])) + 1 if len(x) else []
+    for at in np.split(order, cuts):
+        if len(at):
+            yield int(x[at[0]]), at
+
+
+def _common(index: list[np.ndarray], probes: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each probe, how many of its values each index row has."""
+    values = np.concatenate(index)
+    owner = np.repeat(np.arange(len(index)), [len(x) for x in index])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    for q in probes:
+        low, high = np.searchsorted(values, q, "left"), np.searchsorted(values, q, "right")
+        runs = high - low
+        at = np.repeat(low - np.concatenate(([0], np.cumsum(runs)[:-1])), runs) + np.arange(runs.sum())
+        yield np.bincount(owner[at], minlength=len(index))
+
+
+def _blocks(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Positions of index (side 0) and probe (side 1) rows of each block, and the values of all rows."""
+    side = table.column("side").to_numpy()
+    values = [np.frombuffer(b, "<u8") for b in table.column("values").to_pylist()]
+    for _, rows in _ordered(table.column("gid").to_numpy()):
+        index, probe = rows[side[rows] == 0], rows[side[rows] == 1]
+        if len(index) and len(probe):
+            yield index, probe, values
+
+
+def _estimate_task(table: pa.Table) -> pa.Table:
+    """Rows with sketches -> those that have a row of another component on the other side of their block that may be similar enough."""
+    component, keep = table.column("component").to_numpy(), np.zeros(table.num_rows, bool)
+    for index, probe, values in _blocks(table):
+        sizes = np.array([len(values[i]) for i in index])
+        for p, common in zip(probe, _common([values[i] for i in index], (values[p] for p in probe))):
+            near = (common >= ESTIMATE * np.minimum(sizes, len(values[p]))) & (component[index] != component[p])
+            keep[index[near]] = True
+            keep[p] |= near.any()
+    return table.select(["gid", "side", "node", "component"]).filter(pa.array(keep))
+
+
+def _exact_task(num: int, den: int):
+    """Rows with full sets -> links between components, no more than join the rows of each block."""
+
+    def task(table: pa.Table) -> pa.Table:
+        node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+        links = []
+        for index, probe, values in _blocks(table):
+            root = {c: c for c in np.concatenate((component[index], component[probe])).tolist()}
+
+            def find(c: int, root: dict = root) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            sizes = np.array([len(values[i]) for i in index])
+            for p, common in zip(probe, _common([values[i] for i in index], (values[p] for p in probe))):
+                for i in index[(den * common >= num * (sizes + len(values[p]) - common)) & (node[index] != node[p])]:
+                    x, y = find(int(component[i])), find(int(component[p]))
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        links.append((int(node[i]), int(node[p])))
+        return pa.table({"a": pa.array([max(x) for x in links], pa.int64()), "b": pa.array([min(x) for x in links], pa.int64())})
+
+    return task
+
+
+def _faced(index: DataFrame, probe: DataFrame) -> DataFrame:
+    """index, probe (group, node, component) -> gid, side, node, component: each probe and its group's index, in blocks of bounded size on both sides."""
     n = index.groupBy("group").agg(F.ceil(F.count("*") / GROUP).alias("blocks")).join(probe.groupBy("group").agg(F.ceil(F.count("*") / GROUP).alias("parts")), "group")
     own = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("long")
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count).cast("long") - 1))
     left = index.join(n, "group").select("group", "node", "component", own("blocks").alias("block"), every("parts").alias("part"), F.lit(0).alias("side"))
     right = probe.join(n, "group").select("group", "node", "component", every("blocks").alias("block"), own("parts").alias("part"), F.lit(1).alias("side"))
-    rows = left.unionByName(right).join(sets.select("node", "sketch"), "node")
-    return rows.groupBy("group", "block", "part").applyInArrow(_face_task(num, den), "a long, b long")
+    return left.unionByName(right).select(F.xxhash64("group", "block", "part").alias("gid"), "side", "node", "component")
+
 
+def _links(faced: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """faced rows -> a, b: links between components that the full sets confirm, enough to join what is similar.
 
-def _counted(pairs: DataFrame, one: str, two: str, lists=None) -> DataFrame:
-    """Each pair once, the larger id first, with the number of lists in which it met."""
-    return pairs.groupBy(F.greatest(one, two).alias("a"), F.least(one, two).alias("b")).agg((F.count("*") if lists is None else lists).alias("lists"))
+    Both steps compare the rows of a block where they lie: the sketches leave
+    rows that may have a partner, and of those the full sets are fetched, once
+    for each block.  No row is made for a pair that is no link.  Small blocks
+    are taken together.
+    """
+    faced = materialise(faced, "near-faced")
+    rows = faced.join(sketches, "node").select("gid", "side", "node", "component", "values")
+    bucket = F.pmod("gid", F.lit(faced.count() // TOGETHER + 1)).alias("bucket")
+    likely = materialise(rows.select(bucket, "*").groupBy("bucket").applyInArrow(_estimate_task, "gid long, side int, node long, component long"), "near-likely")
+    bitmap = texts.sparkSession.sparkContext.broadcast(_bitmap(likely.select("node").distinct()))
+    sets = texts.where("doc_id is not null").mapInArrow(_sets_task(words, bitmap), "node long, values binary").dropDuplicates(["node"])
+    bucket = F.pmod("gid", F.lit(likely.count() // GROUP + 1)).alias("bucket")
+    rows = likely.join(sets, "node").select(bucket, "gid", "side", "node", "component", "values")
+    return materialise(rows.groupBy("bucket").applyInArrow(_exact_task(num, den), "a long, b long").distinct(), "near-links")
+
+
+def lists_of(nodes: DataFrame, similarity: float) -> DataFrame:
+    """nodes (node, n, retained) -> key, node, known: the lists, with the number of the node's values that others retain too."""
+    entries = nodes.select("node", "n", F.explode("retained").alias("key")).repartition("key")
+    common = entries.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    m = F.least("n", F.lit(RETAINED))
+    least = F.when(F.col("n") <= int(similarity * RETAINED), F.ceil(F.col("n") * F.lit(similarity) - 1e-9)).otherwise(LEAST)
+    # no more than RETAINED values for each node; those that no other retains come first and take places, but need no list
+    own = entries.join(common, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("values"))
+    places = F.least(m - least + MEETINGS, m) - (m - F.size("values"))
+    listed = own.where(places > 0).select("node", F.size("values").alias("known"), F.explode(F.slice("values", F.lit(1), places.cast("int"))).alias("v"))
+    return listed.select(F.col("v.key").alias("key"), "node", "known")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,46 +276,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
     num, den = similarity
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    listed = materialise(texts.mapInArrow(_keys_task(words), "doc_id long, n long, digest binary, keys array<long>"), "near-keys")
+    listed = materialise(texts.mapInArrow(_keys_task(words), "doc_id long, n long, digest binary, retained array<long>"), "near-keys")
     full = listed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     nodes = full.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    entries = full.select("doc_id", "digest", "keys").join(nodes, [full.doc_id == nodes.node, full.digest == nodes.digest], "left_semi").select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
-    lengths = entries.groupBy("key").agg(F.count("*").cast("int").alias("n")).where("n > 1")
-    shared = materialise(entries.join(lengths, "key"), "near-shared")
-    # one row per list, whatever its length: its smallest member and one that differs from list to list
-    hubs = shared.groupBy("key").agg(F.min("node").alias("h1"), F.min_by("node", F.xxhash64("node", "key")).alias("h2"))
+    # equal sets are one node; of rows with one id, the first set stands for it
+    stand = nodes.groupBy("node").agg(F.min("digest").alias("digest"))
+    each = full.join(stand, [full.doc_id == stand.node, full.digest == stand.digest], "left_semi").select(F.col("doc_id").alias("node"), "digest", "n", "retained").dropDuplicates(["node", "digest"]).drop("digest")
+    shared = materialise(lists_of(each, num / den), "near-shared")
+    # one row per list, whatever its length
+    hubs = shared.groupBy("key").agg(F.max(F.struct("known", (-F.col("node")).alias("node"))).alias("first"), F.min_by("node", F.xxhash64("node", "key")).alias("h2"), F.count("*").alias("n")).where("n > 1")
+    hubs = hubs.select("key", (-F.col("first.node")).alias("h1"), "h2")
     stars = shared.select("key", "node").join(hubs, "key").select("node", F.explode(F.array_distinct(F.array("h1", "h2"))).alias("hub")).where("node <> hub")
-    pairs = materialise(_counted(stars, "node", "hub").where(F.col("lists") >= SHARED).select("a", "b"), "near-pairs")
-    wanted = materialise(shared.groupBy("node").agg(F.count("*").alias("lists")).where(F.col("lists") >= SHARED).select("node"), "near-wanted")
-    bitmap = spark.sparkContext.broadcast(_bitmap(wanted))
-    sets = materialise(texts.where("doc_id is not null").mapInArrow(_sets_task(words, bitmap), "node long, sketch binary, values binary"), "near-sets")
-    links = _confirm(pairs, sets, num, den)
+    # of the hubs of its lists, each member is held against the one that it meets in most of them
+    met = stars.groupBy("node", "hub").agg(F.count("*").alias("lists")).where("lists > 1")
+    best = materialise(met.groupBy("node").agg(F.max_by("hub", F.struct("lists", -F.col("hub"))).alias("group")), "near-stars")
+    sketches = materialise(each.select("node", "retained").join(shared.select("node").distinct(), "node", "left_semi").mapInArrow(_bytes_task, "node long, values binary"), "near-sketches")
+    alone = lambda rows: rows.withColumn("component", F.col("node"))
+    links = _links(_faced(alone(best.select("group", F.col("group").alias("node")).distinct()), alone(best.select("group", "node"))), sketches, texts, words, num, den)
     first = materialise(components(links), "near-components")
     # lists whose members are not yet one component, with the component that most of their members have
-    labelled = shared.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    main = labelled.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "component")).alias("main"), F.count("*").alias("k"), F.sum("m").alias("size")).where("k > 1")
-    still = materialise(labelled.join(main, "key").select("key", "node", "component", "size", F.col("main.component").alias("main"), (F.col("size") - F.col("main.m")).alias("others")), "near-open")
-    short = still.where(F.col("size") <= LONG_LIST)
-    x, y = short.alias("x"), short.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")))
-    swap = F.col("x.node") > F.col("y.node")
-    ends = lambda c: (F.when(swap, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")), F.when(swap, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")))
-    (a, b), (ca, cb) = ends("node"), ends("component")
-    met = met.select(a.alias("a"), b.alias("b"), ca.alias("ca"), cb.alias("cb")).groupBy("a", "b", "ca", "cb").agg(F.count("*").alias("lists")).where(F.col("lists") >= SHARED)
-    # in long lists, whoever is not of the main component is held against that component, and against the others that face it
-    others = still.where((F.col("size") > LONG_LIST) & (F.col("component") != F.col("main")))
-    facing = others.select(F.col("main").alias("group"), "node", "component").distinct()
-    # pairs that the blocks compare need no second look
-    across = met.join(facing.select(F.col("node").alias("a"), F.col("group").alias("cb")), ["a", "cb"], "left_anti").join(facing.select(F.col("node").alias("b"), F.col("group").alias("ca")), ["b", "ca"], "left_anti").select("a", "b")
+    labelled = materialise(shared.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "near-labelled")
+    main = labelled.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "component")).alias("main"), F.count("*").alias("k")).where("k > 1")
+    others = materialise(labelled.join(main, "key").select("key", "node", "component", F.col("main.component").alias("main")).where("component <> main"), "near-others")
+    facing = materialise(others.groupBy(F.col("main").alias("group"), "node", "component").agg(F.count("*").alias("lists")).where("lists > 1").drop("lists"), "near-facing")
     members = labelled.select("node", "component").distinct().join(facing.select(F.col("group").alias("component")).distinct(), "component", "left_semi").select(F.col("component").alias("group"), "node", "component")
-    rest = others.where(F.col("others") <= GROUP).select(F.col("main").alias("group"), "node", "component").distinct()
-    # where very many others share a list, those that share a second one
-    finer = others.where(F.col("others") > GROUP).select("key", "node", "component").join(shared.select("node", F.col("key").alias("key2")), "node").where("key <> key2")
-    finer = finer.select(F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("group"), "node", "component").distinct()
-    lone = finer.groupBy("group").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("group")
-    rest = rest.unionByName(finer.join(lone, "group", "left_semi"))
-    faced = _faced(members, facing, sets, num, den).unionByName(_faced(rest, rest, sets, num, den)).distinct()
-    more = _confirm(across.unionByName(faced).distinct().join(pairs, ["a", "b"], "left_anti"), sets, num, den)
+    # lists of the same documents, told by two sums of hashes, are one
+    mark = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    mixed = others.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n"), *mark).where("c0 <> c1")
+    mixed = mixed.groupBy("n", "x0", "x1").agg(F.min("key").alias("key")).select("key")
+    rest = materialise(others.join(mixed, "key", "left_semi").select(F.col("key").alias("group"), "node", "component"), "near-rest")
+    more = _links(_faced(members, facing).unionByName(_faced(rest, rest)), sketches, texts, words, num, den)
     whole = components(links.unionByName(more))
     named = nodes.join(whole, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return listed.join(named, "digest", "left").select(
