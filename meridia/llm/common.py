@@ -46,6 +46,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int, share: int = 1_000) -> DataFrame:
+    """Inner join with a frame that has one row for each key and, as ``n``, how many of ``total`` rows have it.
+
+    Keys with more than a ``share``-th of the rows can be no more than ``share``;
+    they are broadcast, so their rows stay where they are.  The others shuffle.
+    """
+    hot = keyed.where(F.col("n") > max(1, total // share))
+    common = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(keyed.where(F.col("n") <= max(1, total // share)), keys)
+    return common.unionByName(rest).drop("n")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser over unsigned 64-bit integers."""
     x = x ^ (x >> U64(33))

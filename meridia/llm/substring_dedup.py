@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, materialise, mix64, split_hashes
+from .common import U64, Rolling, join_hot, materialise, mix64, split_hashes
 
 WINDOW = 50
 GRAM = 12
@@ -121,25 +121,33 @@ def _windows_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
-def _remove_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, found(tag, first, last) -> spans, and what is left of the text."""
-    for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [], [], [])
-        for doc, body, found in zip(*(c.to_pylist() for c in batch.columns)):
-            words = (body or b"").split()
-            tag = _tag(hashlib.sha256(b" ".join(words)).digest())
-            edges = np.zeros(len(words) + 1, np.int64)
-            for f in found:
-                if f["tag"] == tag:
-                    edges[f["first"]] += 1
-                    edges[f["last"] + WINDOW] -= 1
-            gone = np.cumsum(edges)[:-1] > 0
-            turns = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
-            kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
-            for o, x in zip(out, (doc, tag, int(gone.sum()), hashlib.sha256(kept).hexdigest(), [{"start": int(a), "end": int(b)} for a, b in zip(turns[::2], turns[1::2])], kept.decode("utf-8", "replace"))):
-                o.append(x)
-        spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], spans), pa.array(out[5], pa.string())], names=["doc_id", "tag", "n_removed", "kept_sha256", "spans", "kept"])
+def _remove_task(with_text: bool):
+    """doc_id, text, found(tag, first, last) -> spans, and on request what is left of the text."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _removed(batch, with_text)
+
+    return task
+
+
+def _removed(batch: pa.RecordBatch, with_text: bool) -> pa.RecordBatch:
+    out: tuple[list, ...] = ([], [], [], [], [], [])
+    for doc, body, found in zip(*(c.to_pylist() for c in batch.columns)):
+        words = (body or b"").split()
+        tag = _tag(hashlib.sha256(b" ".join(words)).digest())
+        edges = np.zeros(len(words) + 1, np.int64)
+        for f in found:
+            if f["tag"] == tag:
+                edges[f["first"]] += 1
+                edges[f["last"] + WINDOW] -= 1
+        gone = np.cumsum(edges)[:-1] > 0
+        turns = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
+        kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
+        for o, x in zip(out, (doc, tag, int(gone.sum()), hashlib.sha256(kept).hexdigest(), [{"start": int(a), "end": int(b)} for a, b in zip(turns[::2], turns[1::2])], kept.decode("utf-8", "replace") if with_text else None)):
+            o.append(x)
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    return pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], spans), pa.array(out[5], pa.string())], names=["doc_id", "tag", "n_removed", "kept_sha256", "spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -159,29 +167,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # whole-document factors first: all but the smallest of equal documents go, and need no further look
     firsts = parsed.where((F.col("n_words") >= WINDOW) & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = materialise(parsed.select("doc_id", "digest").join(firsts, "digest").where("doc_id > first_id").select("doc_id", "digest").distinct(), "rlz-copies")
-    blocks = (
+    blocks = materialise(
         parsed.where(F.col("doc_id").isNotNull() & (F.size("anchor") > 0))
         .join(copies, ["doc_id", "digest"], "left_anti")
-        .select("doc_id", "tag", F.inline(F.arrays_zip("anchor", "block", "first", "last")))
+        .select("doc_id", "tag", F.inline(F.arrays_zip("anchor", "block", "first", "last"))),
+        "rlz-index",
     )
-    index = blocks.groupBy("anchor").agg(F.min("doc_id").alias("min_id"), F.min("block").alias("b0"), F.max("block").alias("b1"), F.count("*").alias("n")).where("n > 1")
-    hits = materialise(
-        blocks.join(index.select("anchor", "min_id", (F.col("b0") == F.col("b1")).alias("same")), "anchor").where("not same or doc_id > min_id"), "rlz-hits"
+    total = blocks.count()
+    index = materialise(
+        blocks.groupBy("anchor").agg(F.min("doc_id").alias("min_id"), (F.min("block") == F.max("block")).alias("same"), F.count("*").alias("n")).where("n > 1"), "rlz-anchors"
     )
+    hits = materialise(join_hot(blocks, index, ["anchor"], total).where("not same or doc_id > min_id"), "rlz-hits")
     mixed = hits.where("not same").select("anchor", "block", "doc_id", "tag", "first", "last")
-    known = mixed.groupBy("anchor", "block").agg(F.min("doc_id").alias("own"))
-    judged = materialise(mixed.join(known, ["anchor", "block"]), "rlz-judged")
+    known = materialise(mixed.groupBy("anchor", "block").agg(F.min("doc_id").alias("own"), F.count("*").alias("n")), "rlz-known")
+    judged = materialise(join_hot(mixed, known, ["anchor", "block"], total), "rlz-judged")
     factors = hits.where("same").select("doc_id", "tag", "first", "last").unionByName(judged.where("doc_id > own").select("doc_id", "tag", "first", "last"))
     # borders: blocks that stand nowhere before as a whole; no more per document than it has words
     borders = judged.where("doc_id = own").groupBy("doc_id").agg(F.collect_list(F.struct("tag", "anchor", "first", "last")).alias("blocks"))
     windows = materialise(
         texts.join(borders, "doc_id").select("doc_id", "text", "blocks").mapInArrow(_windows_task, "anchor long, window long, doc_id long, tag long, at int"), "rlz-windows"
     )
-    seen = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("own"), F.max("doc_id").alias("other")).where("other > own").drop("other")
-    found = windows.join(seen, ["anchor", "window"]).where("doc_id > own").select("doc_id", "tag", F.col("at").alias("first"), F.col("at").alias("last"))
+    seen = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("own"), F.max("doc_id").alias("other"), F.count("*").alias("n")).where("other > own").drop("other")
+    found = join_hot(windows, materialise(seen, "rlz-seen"), ["anchor", "window"], windows.count()).where("doc_id > own").select("doc_id", "tag", F.col("at").alias("first"), F.col("at").alias("last"))
     spans = factors.unionByName(found).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "first", "last")).alias("found"))
     removed = texts.join(spans, "doc_id").select("doc_id", "text", "found").mapInArrow(
-        _remove_task, "doc_id long, tag long, n_removed long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, kept string"
+        _remove_task(with_text), "doc_id long, tag long, n_removed long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, kept string"
     )
     removed = (removed if with_text else removed.drop("kept")).dropDuplicates(["doc_id", "tag"])
     base = parsed.select("doc_id", "n_words", "digest", "tag").join(copies.withColumn("copy", F.lit(True)), ["doc_id", "digest"], "left")
