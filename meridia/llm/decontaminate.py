@@ -54,11 +54,9 @@ def seeds(rows: DataFrame, keep: list[str], hashes: str, masks: tuple[str, ...])
     return lines.select(*keep, "pos", F.explode(F.array(*map(seed, masks))).alias("seed")).where("seed is not null")
 
 
-def _agreement(doc: Column, item: Column, at: Column) -> tuple[Column, Column]:
-    """Words that agree with the item laid at an offset, and those in the best stretch at 1 for a match and -4 for a mismatch."""
-    low = F.greatest(-at, F.lit(0))
-    length = F.greatest(F.least(F.size(item) - low, F.size(doc) - F.greatest(at, F.lit(0))), F.lit(0))
-    same = F.zip_with(F.slice(doc, F.greatest(at, F.lit(0)) + 1, length), F.slice(item, low + 1, length), lambda a, b: (a == b).cast("int"))
+def _agreement(part: Column, item: Column, at: Column) -> tuple[Column, Column]:
+    """Words of the document's part under an item laid at an offset that agree with it, and those in the best stretch at 1 for a match and -4 for a mismatch."""
+    same = F.zip_with(part, F.slice(item, F.greatest(-at, F.lit(0)) + 1, F.size(part)), lambda a, b: (a == b).cast("int"))
     start = F.struct(*(F.lit(0).alias(x) for x in ("score", "run", "top", "best")))
 
     def step(s: Column, m: Column) -> Column:
@@ -90,7 +88,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     keys = materialise(keys.distinct(), "bench-seeds")
     laid = tuple(dict.fromkeys([*MASKS, *(mask for size in short for mask in short_masks(size))]))
     wanted = keys.select(F.col("seed"), F.col("item_id"), F.col("pos").alias("item_pos"))
-    if wanted.count() <= BROADCAST_SEEDS:
+    few = wanted.count() <= BROADCAST_SEEDS  # and as many items with words at most, each of which has one
+    if few:
         wanted = F.broadcast(wanted)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     hits = materialise(
@@ -100,10 +99,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         .distinct(),
         "bench-hits",
     )
-    matched, stretch = _agreement(F.col("doc"), F.col("item"), F.col("at"))
+    # the words of a document that has hits are hashed once; a hit carries only the part under its item on
+    found = texts.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", token_hashes(F.col("text")).alias("doc"))
+    low = F.greatest(-F.col("at"), F.lit(0))
+    part = F.slice("doc", F.greatest("at", F.lit(0)) + 1, F.greatest(F.col("item_words") - low, F.lit(0)))
+    sizes = items.where(n > 0).select("item_id", n.alias("item_words"))
+    laid_on = found.join(hits.join(F.broadcast(sizes) if few else sizes, "item_id"), "doc_id").select("doc_id", "item_id", "at", part.alias("part"))
+    matched, stretch = _agreement(F.col("part"), F.col("item"), F.col("at"))
     tried = (
-        texts.join(hits, "doc_id").join(items, "item_id")
-        .select("doc_id", "item_id", "at", token_hashes(F.col("text")).alias("doc"), "item")
+        laid_on.join(items, "item_id")
         .select("doc_id", "item_id", F.greatest("at", F.lit(0)).alias("position"), matched.alias("matched"), F.size("item").alias("item_words"), stretch.alias("stretch"))
         .withColumn("similarity", F.col("matched") / F.col("item_words"))
         .where((F.col("similarity") >= SIMILARITY) | (F.col("stretch") >= STRETCH))
