@@ -15,6 +15,8 @@ from .common import materialise, word_count
 
 BITS = 12  # of the hash, for each level of the histogram
 LEVELS = 4
+#: Sources whose rows of the plan, about 100 bytes each, may be broadcast.  Beyond, joins by source shuffle.
+BROADCAST_SOURCES = 50_000
 
 
 def source_weight(rank: Column) -> Column:
@@ -77,18 +79,20 @@ def mix(docs: DataFrame, cap: int = 3, id_col: str = "doc_id", source_col: str =
         targets.withColumn("whole", whole.cast("long")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")),
         "mix-plan",
     )
+    few = plan.count() <= BROADCAST_SOURCES
+    small = F.broadcast if few else lambda frame: frame
     # below: words taken under the threshold so far; prefix: the boundary cell's leading bits
     edge = plan.select("source", "budget", F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("prefix"))
     for level in range(1, LEVELS + 1):
         shift = BITS * 4 - BITS * level
         last = level == LEVELS
         inside = rows.join(
-            edge.select(F.col("source").alias("s"), "prefix"),
+            small(edge.select(F.col("source").alias("s"), "prefix")),
             rows.source.eqNullSafe(F.col("s")) & (F.shiftright(rows.h, shift + BITS) == F.col("prefix")),
         )
         cells = inside.groupBy("source", F.shiftright("h", shift).alias("cell")).agg(F.sum("size").alias("words"))
         run = Window.partitionBy("source").orderBy("cell")
-        sums = cells.join(edge.select(F.col("source").alias("s"), "budget", "below"), cells.source.eqNullSafe(F.col("s"))).withColumn(
+        sums = cells.join(small(edge.select(F.col("source").alias("s"), "budget", "below")), cells.source.eqNullSafe(F.col("s"))).withColumn(
             "upto", F.col("below") + F.sum("words").over(run)
         )
         before = F.col("upto") - F.col("words")
@@ -111,7 +115,7 @@ def mix(docs: DataFrame, cap: int = 3, id_col: str = "doc_id", source_col: str =
     cut = plan.alias("p").join(edge.select(F.col("source").alias("s"), "threshold", "first"), F.col("p.source").eqNullSafe(F.col("s")), "left").select(
         F.col("p.source").alias("ps"), "source_size", "target", "whole", F.coalesce("threshold", F.col("first") - 1, F.lit(-1)).alias("threshold")
     )
-    return rows.join(cut, rows.source.eqNullSafe(cut.ps)).select(
+    return rows.join(small(cut), rows.source.eqNullSafe(cut.ps)).select(
         "doc_id",
         "size",
         "source_size",
