@@ -77,7 +77,9 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], id_col:
     listed: canonical URLs in a column ``url`` (nulls and repeats do no harm).
     Pages that fit a rule get its verdict; others are blocked if listed, else
     allowed.  Null URLs and those without ``://`` have empty host and path and
-    are allowed.  Other columns of the inputs are not read.
+    are allowed.  Other columns of the inputs are not read.  A URL that very many
+    pages have is a possible hit only if it looks listed; with up to 131,072
+    listed URLs those join by broadcast, beyond that the adaptive join splits it.
     """
     listed = listed.select("url").where("url is not null").distinct()
     blocks = max(16, listed.count() * BITS_PER_URL // 512 + 1)
@@ -94,13 +96,14 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], id_col:
         hit = hit & (F.col(f"w{i}").bitwiseAND(mask) == mask)
     tested = rows.withColumn("block", at).join(table, "block", "left").withColumn("possible", F.coalesce(hit, F.lit(False)))
     tested = tested.drop("block", *(f"w{i}" for i in range(WORDS_IN_BLOCK)))
-    exact = listed.select(F.col("url").alias("found"))
-    # only possible hits carry a key into the exact join; the others need no partner
-    probe = tested.where("possible").select("canon").distinct().join(exact, F.col("canon") == F.col("found"), "left_semi")
+    # only possible hits go into the exact join; the others stay where they are
+    hits, rest = tested.where("possible"), tested.where("not possible")
+    exact = listed.select(F.col("url").alias("canon"), F.lit(True).alias("listed"))
+    sure = hits.join(F.broadcast(exact) if blocks <= BROADCAST_BLOCKS // BITS_PER_URL else exact, "canon", "left").unionByName(rest.withColumn("listed", F.lit(False)))
+    sure = sure.withColumn("listed", F.coalesce("listed", F.lit(False)))
     name, verdict = first_rule(F.col("host"), F.col("path"), rules)
-    sure = tested.join(probe.select(F.col("canon").alias("sure")), F.when(F.col("possible"), F.col("canon")) == F.col("sure"), "left")
     return sure.select(
         "page_id", "host", "path", name.alias("rule"),
-        F.coalesce(verdict, F.when(F.col("sure").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
-        "possible", F.col("sure").isNotNull().alias("listed"),
+        F.coalesce(verdict, F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
+        "possible", "listed",
     )
