@@ -59,12 +59,12 @@ def _share(name: str, text: Column, pattern: str) -> Column:
 SHAPES = ("upper", "digits", "marks", "lines", "words")
 
 
-def tokens(text_col: str, metadata: list[str]) -> dict[str, Column]:
+def tokens(row: Column, text_col: str, metadata: list[str]) -> dict[str, Column]:
     """What each view sees of a document, as strings; null text counts as empty."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(row[text_col].cast("string"), F.lit(""))
     words = F.split(F.lower(text), "[\\x20\\x09-\\x0D.,;:!?\"'()#$%&*|]+")
     shapes = F.array(_share("upper", text, "[A-Z]"), _share("digits", text, "[0-9]"), _share("marks", text, "[!#$%&*|]"), _share("lines", text, "\n"), _bin("words", F.log2(F.size(words))))
-    facts = [F.concat(F.lit(c + "="), F.col(c).cast("string")) for c in metadata]
+    facts = [F.concat(F.lit(c + "="), row[c].cast("string")) for c in metadata]
     pairs = [F.concat(a, F.lit(" "), b) for i, a in enumerate(facts) for b in facts[i + 1 :]]
     meta = F.array_compact(F.array(*facts, *pairs)) if facts else F.array().cast("array<string>")
     return {"text": F.concat(words, shapes), "meta": meta}
@@ -143,9 +143,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     labels = labels.select(F.col(id_col).cast(kind).alias("id"), F.col("label").cast("double").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.min("label").alias("label"))
     # the first by hash: a bounded sample, and so may be broadcast
     chosen = F.broadcast(materialise(labels.orderBy(F.xxhash64("id"), "id").limit(MAX_LABELLED).withColumn("fold", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(FOLDS))), "quality-chosen"))
-    seen = tokens(text_col, [c for c in metadata if c in docs.columns])
-    rows = docs.select(F.col(id_col).alias("id"), *(c.alias(v) for v, c in seen.items()))
-    labelled = materialise(rows.join(chosen, "id"), "quality-labelled")
+    known = [c for c in metadata if c in docs.columns]
+    rows = docs.select(F.col(id_col).alias("id"), F.struct(text_col, *known).alias("row"))
+    seen = [c.alias(v) for v, c in tokens(F.col("row"), text_col, known).items()]
+    labelled = materialise(rows.join(chosen, "id").select("label", "fold", *seen), "quality-labelled")
     train = labelled.where("fold > 1")
     n = {r.label: r.n for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     small = len(n) < 2  # too few labels for folds: all of them train, calibrate and combine
@@ -157,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     vectors = {v: CountVectorizerModel.from_vocabulary(_telling(train, v, n), inputCol=v, outputCol=f"{v}_features") for v in VIEWS}
     for model in vectors.values():
         model.setBinary(True)
-    short = rows.join(chosen, "id", "left")
+    short = rows.join(chosen, "id", "left").select("label", "fold", *seen)
     short = vectors["text"].transform(short).select("label", "fold", "meta", "text_features")
     short = materialise(short, "quality-features")
     pool = short.where("label is null")
@@ -165,12 +166,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     start = (known if small else known.where("fold > 1")).select("label", "text_features", "meta_features", F.lit(1.0).alias("weight"))
     size = float(sum(n.values()))
     held = known if small else known.where("fold <= 1")
-    views = {v: _fit(start, v, size) for v in VIEWS}
+    alone = views = {v: _fit(start, v, size) for v in VIEWS}
     for _ in range(rounds):
         sure = {v: _surely(views[v], v, _margins(held, views)) for v in VIEWS}
         views = {
-            "text": _taught(start, sure["meta"](vectors["meta"].transform(pool)).select("label", "text_features", F.lit(1.0).alias("weight")), "text", size),
-            "meta": _taught(start, vectors["meta"].transform(sure["text"](pool).groupBy("meta", "label").agg(F.count("*").cast("double").alias("weight"))), "meta", size),
+            "text": _taught(start, sure["meta"](vectors["meta"].transform(pool)).select("label", "text_features", F.lit(1.0).alias("weight")), "text", size, alone),
+            "meta": _taught(start, vectors["meta"].transform(sure["text"](pool).groupBy("meta", "label").agg(F.count("*").cast("double").alias("weight"))), "meta", size, alone),
         }
     got = _margins(held, views)
     calibrated = {v: _calibrated(got, v) for v in VIEWS}
@@ -210,10 +211,12 @@ def _surely(model: LogisticRegressionModel, view: str, got: dict[str, np.ndarray
     return told
 
 
-def _taught(start: DataFrame, told: DataFrame, view: str, size: float) -> LogisticRegressionModel:
-    """Fitted on the labelled rows and all told ones, which together weigh no more than the labelled."""
+def _taught(start: DataFrame, told: DataFrame, view: str, size: float, alone: dict[str, LogisticRegressionModel]) -> LogisticRegressionModel:
+    """Fitted on the labelled rows and all told ones, which together weigh no more than the labelled; as it is alone if it was told none."""
     told = materialise(told.select("label", f"{view}_features", "weight"), f"quality-told-{view}")
     total = told.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+    if total == 0:
+        return alone[view]
     share = min(1.0, size / max(total, 1.0))
     rows = start.select("label", f"{view}_features", "weight").unionByName(told.withColumn("weight", F.col("weight") * share))
     return _fit(rows, view, size + total * share)
@@ -222,8 +225,8 @@ def _taught(start: DataFrame, told: DataFrame, view: str, size: float) -> Logist
 def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, metadata: tuple[str, ...], threshold: float) -> DataFrame:
     """row (all columns of a document), text_score, meta_score, score, rejected."""
     model = fit(docs, labels, id_col, text_col, metadata)
-    seen = tokens(text_col, [c for c in metadata if c in docs.columns])
-    rows = docs.select(F.struct("*").alias("row"), *(c.alias(v) for v, c in seen.items()))
+    seen = tokens(F.col("row"), text_col, [c for c in metadata if c in docs.columns])
+    rows = docs.select(F.struct("*").alias("row")).select("row", *(c.alias(v) for v, c in seen.items()))
     if model is None:
         none = F.lit(None).cast("double")
         return rows.select("row", none.alias("text_score"), none.alias("meta_score"), none.alias("score"), F.lit(False).alias("rejected"))
