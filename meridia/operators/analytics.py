@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import is_blank, number, status_or_draft
+from ..functions.values import is_blank, number, status_or_draft, strip
 
 
 def long(c: Column, name: str) -> Column:
@@ -102,14 +102,16 @@ def histogram(rows: DataFrame, column: str, edges: list[float]) -> DataFrame:
     return rows.withColumn("bin", bins).where("bin is not null").groupBy("bin").agg(long(F.count("*"), "n"))
 
 
+# What a filled field is worth.
 INVOICE = {
-    "Name_EN": 1.0, "Name_AR": 1.0, "Category": 1.0, "Latitude": 0.5, "Longitude": 0.5, "Phone_Number": 1.0, "Website": 1.0, "Working_Hours": 1.0, "Exterior_Photo_URL": 2.0, "Interior_Photo_URL": 2.0,
+    "Name_EN": 5.0, "Name_AR": 5.0, "Category": 3.0, "Subcategory": 2.0, "Phone_Number": 5.0, "Email": 3.0, "Website": 3.0, "Working_Hours": 4.0, "Working_Days": 3.0, "Exterior_Photo_URL": 8.0,
+    "Interior_Photo_URL": 8.0, "Menu_Photo_URL": 6.0, "Video_URL": 10.0, "License_Photo_URL": 5.0, "Latitude": 3.0, "Longitude": 3.0, "District_EN": 3.0, "District_AR": 2.0,
 }
 
 
 def value_of(fields: dict[str, float]) -> Column:
     """Sum of the prices of fields that are given."""
-    return reduce(lambda a, b: a + b, [F.when(is_blank(F.col(f), "invoice"), 0.0).otherwise(p) for f, p in fields.items()])
+    return reduce(lambda a, b: a + b, [F.when(is_blank(F.col(f), "invoice") | (strip(F.col(f)) == ""), 0.0).otherwise(p) for f, p in fields.items()])
 
 
 def invoice(pois: DataFrame, fields: dict[str, float] | None = None) -> DataFrame:

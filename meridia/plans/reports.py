@@ -212,12 +212,15 @@ def gate(poi):
     return A.accuracy_gate(poi, [poi.where(is_blank(F.col("Category"))), poi.where("flagged")], 0, 0)
 
 
-CRITICAL = ["Name_EN", "Name_AR", "Category", "Legal_Name", "Phone_Number", "Working_Hours", "Exterior_Photo_URL", "District_EN"]
+DISTRICT_AR = "CASE WHEN District_EN = '' THEN NULL ELSE concat('حي ', District_EN) END"
+_WITH_DISTRICT = f", p AS (SELECT *, {DISTRICT_AR} AS District_AR FROM poi)"
+# Fields that must be given.
+CRITICAL = ["GlobalID", "Name_AR", "Name_EN", "Category", "Subcategory", "Latitude", "Longitude", "Phone_Number", "District_AR", "District_EN", "Review_Status", "Company_Status"]
 
 
-@query("agg_15", "poi", sql="\nUNION ALL\n".join(f"SELECT '{f}' AS field, count(*) FILTER (WHERE coalesce({f}, '') = '') AS blanks, round(count(*) FILTER (WHERE coalesce({f}, '') = '') * 100.0::DOUBLE / count(*), 1) AS percent, CASE WHEN round(count(*) FILTER (WHERE coalesce({f}, '') = '') * 100.0::DOUBLE / count(*), 1) > 50 THEN 'warn' ELSE 'pass' END AS state FROM poi" for f in CRITICAL))
+@query("agg_15", "poi", sql=_WITH_DISTRICT + "\n" + "\nUNION ALL\n".join(f"SELECT '{f}' AS field, count(*) FILTER (WHERE coalesce({f}, '') = '') AS blanks, round(count(*) FILTER (WHERE coalesce({f}, '') = '') * 100.0::DOUBLE / count(*), 1) AS percent, CASE WHEN round(count(*) FILTER (WHERE coalesce({f}, '') = '') * 100.0::DOUBLE / count(*), 1) > 50 THEN 'warn' ELSE 'pass' END AS state FROM p" for f in CRITICAL))
 def blanks(poi):
-    return A.null_rates(poi, CRITICAL)
+    return A.null_rates(poi.withColumn("District_AR", F.expr(DISTRICT_AR)), CRITICAL)
 
 
 @query("agg_16", "poi", sql="SELECT Name_EN AS value, count(*) AS n FROM poi WHERE coalesce(Name_EN, '') <> '' GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, value LIMIT 10")
@@ -245,12 +248,14 @@ def top_categories(poi):
     return A.top(poi, "Category", 10)
 
 
-VALUE = " + ".join(f"CASE WHEN coalesce({f}, '') IN ('', 'UNAVAILABLE', 'UNAPPLICABLE') THEN 0.0::DOUBLE ELSE {p}::DOUBLE END" for f, p in A.INVOICE.items())
+_WORTH = lambda fields, p: " + ".join(f"CASE WHEN trim(coalesce({f}, '')) = '' OR {f} IN ('UNAVAILABLE', 'UNAPPLICABLE') THEN 0.0::DOUBLE ELSE {p}::DOUBLE END" for f in fields.split())
+# written out apart from the operator's own table
+VALUE = " + ".join([_WORTH("Name_EN Name_AR Phone_Number License_Photo_URL", 5), _WORTH("Category Email Website Working_Days Latitude Longitude District_EN", 3), _WORTH("Subcategory District_AR", 2), _WORTH("Working_Hours", 4), _WORTH("Exterior_Photo_URL Interior_Photo_URL", 8), _WORTH("Menu_Photo_URL", 6), _WORTH("Video_URL", 10)])
 
 
-@query("agg_23", "poi", sql=f"SELECT Category, count(*) AS places, round(sum({VALUE}), 2) AS value, max({VALUE}) AS most FROM poi GROUP BY 1")
+@query("agg_23", "poi", sql=f"{_WITH_DISTRICT} SELECT Category, count(*) AS places, round(sum({VALUE}), 2) AS value, max({VALUE}) AS most FROM p GROUP BY 1")
 def invoice(poi):
-    return A.invoice(poi)
+    return A.invoice(poi.withColumn("District_AR", F.expr(DISTRICT_AR)))
 
 
 @query("agg_24", "poi", sql="SELECT DISTINCT Category FROM poi WHERE coalesce(Category, '') <> ''")

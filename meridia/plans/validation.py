@@ -39,8 +39,8 @@ def _set_dice(a: str, b: str) -> str:
 
 _BRAND = f"coalesce(list_filter(regexp_split_to_array({_v('Name_EN')}, '\\s+'), lambda w: length(w) >= 3 AND regexp_matches(substr(w, 1, 1), '\\p{{Lu}}') AND lower(w) NOT IN ({_list(S.NAME_ONLY_EN)}))[1], '')"
 _NUM = lambda c: f"(CASE WHEN coalesce({c}, '') = '' THEN 0.0::DOUBLE ELSE TRY_CAST({c} AS DOUBLE) END)"
-_RANGES = f"regexp_extract_all({_v('Working_Hours')}, '\\d{{1,2}}:\\d{{2}}\\s*[-–]\\s*\\d{{1,2}}:\\d{{2}}')"
-_MIN = lambda g: f"CAST(regexp_extract(r, '(\\d{{1,2}}):(\\d{{2}})\\s*[-–]\\s*(\\d{{1,2}}):(\\d{{2}})', {g}) AS INT)"
+_RANGES = f"regexp_extract_all({_v('Working_Hours')}, '\\d{{1,2}}:\\d{{2}}\\s*-\\s*\\d{{1,2}}:\\d{{2}}')"
+_MIN = lambda g: f"CAST(regexp_extract(r, '(\\d{{1,2}}):(\\d{{2}})\\s*-\\s*(\\d{{1,2}}):(\\d{{2}})', {g}) AS INT)"
 _MAPS = f"regexp_matches({_v('Website')}, 'google\\.com/maps|goo\\.gl/maps|maps\\.google\\.com')"
 _SOCIAL = "(" + " OR ".join(f"contains(lower({_v('Website')}), '{d}')" for d in S.SOCIAL_HOSTS) + ")"
 _BOTH = f"lower({_v('Name_AR')} || ' ' || {_v('Name_EN')})"
@@ -163,7 +163,7 @@ def batch_phones(poi):
 @query("val_13", "poi", sql=f"SELECT GlobalID, len(list_filter({_RANGES}, lambda r: {_MIN(3)} * 60 + {_MIN(4)} > 0 AND {_MIN(1)} * 60 + {_MIN(2)} > {_MIN(3)} * 60 + {_MIN(4)})) > 0 AS late FROM poi")
 def batch_hours(poi):
     hours = text(F.col("Working_Hours"))
-    at = lambda g: F.regexp_extract_all(hours, F.lit(r"(\d{1,2}):(\d{2})\s*[-–]\s*(\d{1,2}):(\d{2})"), F.lit(g))
+    at = lambda g: F.regexp_extract_all(hours, F.lit(r"(\d{1,2}):(\d{2})\s*-\s*(\d{1,2}):(\d{2})"), F.lit(g))
     r = F.arrays_zip(at(1).alias("a"), at(2).alias("b"), at(3).alias("c"), at(4).alias("d"))
     minutes = lambda h, m: h.cast("int") * 60 + m.cast("int")
     late = F.exists(r, lambda x: (minutes(x["c"], x["d"]) > 0) & (minutes(x["a"], x["b"]) > minutes(x["c"], x["d"])))
@@ -181,7 +181,9 @@ def approvals(poi):
 
 @query("val_04", "poi")
 def qa_scores(poi):
-    return V.qa_score(poi, V.status(poi), ("Name_EN", "Name_AR", "Category", "Latitude", "Longitude", "Phone_Number", "Website", "Working_Hours", "Exterior_Photo_URL", "Interior_Photo_URL", "District_EN", "Legal_Name", "Commercial_License"))
+    with_district = poi.withColumn("District_AR", F.expr("CASE WHEN District_EN = '' THEN NULL ELSE concat('حي ', District_EN) END"))
+    # fixed values: the fields of the score
+    return V.qa_score(with_district, V.status(poi), ("Name_AR", "Name_EN", "Category", "Subcategory", "District_EN", "District_AR", "Latitude", "Longitude", "Phone_Number", "Working_Hours", "Working_Days", "Exterior_Photo_URL", "Interior_Photo_URL"))
 
 
 UPDATED = "k % 10 = 3"
