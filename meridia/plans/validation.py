@@ -142,7 +142,7 @@ def corrected(poi):
     return V.corrections(V.with_fields(poi)).select("GlobalID", "Name_EN", "Legal_Name", "Company_Status", "Floor_Number", "Google_Map_URL", "Website", "Dine_In", "WiFi")
 
 
-@query("val_03", "poi", sql=f"SELECT GlobalID, CASE lower({_trim('WiFi')}) WHEN 'yes' THEN 'Yes' WHEN 'no' THEN 'No' ELSE WiFi END AS wifi, CASE lower({_trim('Dine_In')}) WHEN 'y' THEN 'Yes' WHEN 'yes' THEN 'Yes' ELSE Dine_In END AS dine_in FROM poi")
+@query("str_20", "poi", sql=f"SELECT GlobalID, CASE lower({_trim('WiFi')}) WHEN 'yes' THEN 'Yes' WHEN 'no' THEN 'No' ELSE WiFi END AS wifi, CASE lower({_trim('Dine_In')}) WHEN 'y' THEN 'Yes' WHEN 'yes' THEN 'Yes' ELSE Dine_In END AS dine_in FROM poi")
 def word_booleans(poi):
     return poi.select("GlobalID", X.yes_no(F.col("WiFi")).alias("wifi"), X.yes_no(F.col("Dine_In")).alias("dine_in"))
 
