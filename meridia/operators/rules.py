@@ -192,14 +192,18 @@ def qa_score(pois: DataFrame, counts: DataFrame, fields: tuple[str, ...], key: s
     return rows.select(key, F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("long").alias("qa_score"))
 
 
-def approval_blockers(pois: DataFrame, blockers: Column | None = None) -> DataFrame:
-    """GlobalID, reasons: why a place can't be approved."""
+def approval_blockers(pois: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """GlobalID, reasons: why a place can't be approved; counts (GlobalID, blockers), as :func:`status` gives them, add theirs."""
+    if counts is not None:
+        pois = pois.join(counts.select("GlobalID", F.col("blockers").alias("_blockers")), "GlobalID", "left")
+    failed = F.lit(None).cast("string") if counts is None else F.when(F.col("_blockers") > 0, F.concat(F.lit("validation:"), F.col("_blockers").cast("string")))
     lat, lon = number(F.col("Latitude")), number(F.col("Longitude"))
     found = F.array_compact(F.array(
         F.when(F.col("Review_Status").isin("Rejected", "Archived"), F.concat(F.lit("status:"), F.col("Review_Status"))),
         *(F.when(is_blank(F.col(f), "queue"), F.lit(f"missing:{f}")) for f in S.REQUIRED),
         F.when(~is_blank(F.col("Latitude"), "queue") & ~is_blank(F.col("Longitude"), "queue"), F.when(lat.isNull() | lon.isNull(), F.lit("coordinates:invalid")).when((lat == 0) & (lon == 0), F.lit("coordinates:zero"))),
         F.when(F.coalesce("flagged", F.lit(False)), F.lit("flagged")),
+        failed,
         F.when(number(F.col("QA_Score")).cast("int") < 95, F.lit("qa_score")),
     ))
     return pois.select("GlobalID", found.alias("reasons"))

@@ -2,6 +2,8 @@
 
 import pytest
 from meridia.operators import review as V
+from meridia.operators import rules as R
+from meridia.sources import sinks
 from pyspark.sql import functions as F
 
 FIELDS = ("GlobalID", "Name_EN", "Name_AR", "Website", "Google_Map_URL", "Phone_Number", "Email", "Floor_Number", "Menu", "WiFi", "Exterior_Photo_URL", "Interior_Photo_URL", "Menu_Photo_URL", "Category", "Review_Status")
@@ -85,3 +87,24 @@ def test_decisions_on_drafts_and_new_places(spark):
 def test_right_map_wins_and_null_counts_as_empty(spark):
     rows = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3"}), (None, {"b": "3"}), ({"a": "1"}, None)], "o map<string,string>, n map<string,string>")
     assert [r.m for r in rows.select(V.merged(F.col("o"), F.col("n")).alias("m")).collect()] == [{"a": "1", "b": "3"}, {"b": "3"}, {"a": "1"}]
+
+
+def test_exports_start_with_a_mark_and_tell_when_there_is_nothing(spark, tmp_path):
+    pois = places(spark, {"GlobalID": "a", "Name_EN": "Noor"}, {"GlobalID": "b", "Name_EN": "Baik"})
+    read = lambda name: "".join(p.read_text("utf-8") for p in (tmp_path / name).glob("part-*")).splitlines()
+    sinks.export_csv(pois, str(tmp_path / "some"), single_file=True)
+    sinks.export_csv(pois.where("false"), str(tmp_path / "none"))
+    lines = read("some")
+    assert lines[0].startswith("\ufeffGlobalID,Name_EN") and [x.split(",")[0] for x in lines[1:]] == ["b", "a"] and read("none") == ["No data"]
+    reviews = spark.createDataFrame([("a", "MATCH", 2), ("b", "NOT_MATCH", 1), ("c", "MATCH", 3)], "source_gid string, verdict string, created_at int")
+    for kind in ("json", "csv"):
+        assert tuple(sinks.export_training(reviews, str(tmp_path / kind), kind).first()) == (3, 2, 1)
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == spark.read.json(str(tmp_path / "json")).count() == 3
+
+
+def test_blockers_of_the_rules_stand_in_the_way_of_approval(spark):
+    pois = places(spark, {"GlobalID": "a", "Name_EN": "N", "Category": "Cafe"}, {"GlobalID": "b", "Name_EN": "N", "Category": "Cafe"})
+    pois = pois.withColumns({"Latitude": F.lit("24.5"), "Longitude": F.lit("46.5"), "flagged": F.lit(False), "QA_Score": F.lit("99")})
+    counts = spark.createDataFrame([("a", 2)], "GlobalID string, blockers long")
+    assert {r.GlobalID: r.reasons for r in R.approval_blockers(pois, counts).collect()} == {"a": ["validation:2"], "b": []}
+    assert [r.reasons for r in R.approval_blockers(pois).collect()] == [[], []]
