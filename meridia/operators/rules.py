@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -177,11 +177,28 @@ def status(pois: DataFrame, key: str = "GlobalID") -> DataFrame:
     return rows.withColumn("status", F.when(F.col("blockers") > 0, "FAIL_BLOCKER").when(F.col("warnings") > 0, "PASS_WITH_WARNINGS").otherwise("PASS"))
 
 
-def shared_media(pois: DataFrame, fields=S.MEDIA_FIELDS[:3], key: str = "GlobalID") -> DataFrame:
-    """key, field, url, others: media that another place uses too."""
-    urls = pois.select(key, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), text(F.col(f)).alias("url")) for f in fields))).alias("u")).select(key, "u.field", "u.url").where(F.col("url").startswith("http"))
-    owners = urls.select("url", key).distinct().groupBy("url").agg(F.count("*").alias("n")).where("n > 1")
-    return urls.join(owners, "url").select(key, "field", "url", (F.col("n") - 1).alias("others"))
+# Media that no two places may share.
+OWN_MEDIA = ("Exterior_Photo_URL", "Interior_Photo_URL", "Video_URL")
+
+
+def shared_media(pois: DataFrame, fields=OWN_MEDIA, key: str = "GlobalID") -> DataFrame:
+    """key, field, url, others, names: media that other places use too, how often, and the names of the first three uses by key."""
+    every = F.array(*(text(F.col(f)) for f in fields))
+    each = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(f).alias("field"), text(F.col(f)).alias("url")) for i, f in enumerate(fields)))
+    urls = pois.select(key, F.coalesce("Name_EN", F.lit("")).alias("name"), every.alias("every"), F.explode(each).alias("u")).where(F.col("u.url").startswith("http"))
+    urls = urls.select(key, "name", "u.*", F.size(F.filter("every", lambda x: x == F.col("u.url"))).alias("own"))
+    counts = urls.groupBy("url").agg(F.count("*").alias("n"), F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b").select("url", "n")
+    # a place's own uses are no more than the fields
+    place = F.row_number().over(Window.partitionBy("url").orderBy(key, "pos"))
+    first = urls.withColumn("place", place).where(F.col("place") <= len(fields) + 3).groupBy("url").agg(F.sort_array(F.collect_list(F.struct("place", F.col(key).alias("key"), "name"))).alias("first"))
+    names = F.slice(F.filter("first", lambda x: x["key"] != F.col(key)), 1, 3)["name"]
+    return urls.join(counts, "url").join(first, "url").select(key, "field", "url", (F.col("n") - F.col("own")).alias("others"), F.array_join(names, ", ").alias("names"))
+
+
+def table_status(pois: DataFrame, key: str = "GlobalID") -> DataFrame:
+    """key, status, blockers, warnings: as :func:`status`, which shared media do not change, with a warning for each of them."""
+    shared = shared_media(pois, key=key).groupBy(key).agg(F.count("*").alias("shared"))
+    return status(pois, key).join(shared, key, "left").select(key, "status", "blockers", (F.col("warnings") + F.coalesce("shared", F.lit(0))).alias("warnings"))
 
 
 def qa_score(pois: DataFrame, counts: DataFrame, fields: tuple[str, ...], key: str = "GlobalID") -> DataFrame:

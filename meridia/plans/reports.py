@@ -109,11 +109,11 @@ def map_url(poi):
 
 @query("join_03", "poi", sql="""
 , urls AS (
-    SELECT GlobalID, 'Exterior_Photo_URL' AS field, coalesce(Exterior_Photo_URL, '') AS url FROM poi UNION ALL
-    SELECT GlobalID, 'Interior_Photo_URL', coalesce(Interior_Photo_URL, '') FROM poi UNION ALL
-    SELECT GlobalID, 'Menu_Photo_URL', coalesce(Menu_Photo_URL, '') FROM poi),
-o AS (SELECT url, count(DISTINCT GlobalID) AS n FROM urls WHERE url LIKE 'http%' GROUP BY url HAVING count(DISTINCT GlobalID) > 1)
-SELECT GlobalID, field, url, n - 1 AS others FROM urls JOIN o USING (url)""")
+    SELECT GlobalID, coalesce(Name_EN, '') AS name, 0 AS pos, 'Exterior_Photo_URL' AS field, coalesce(Exterior_Photo_URL, '') AS url FROM poi UNION ALL
+    SELECT GlobalID, coalesce(Name_EN, ''), 1, 'Interior_Photo_URL', coalesce(Interior_Photo_URL, '') FROM poi UNION ALL
+    SELECT GlobalID, coalesce(Name_EN, ''), 2, 'Video_URL', coalesce(Video_URL, '') FROM poi),
+j AS (SELECT u.GlobalID, u.field, u.url, o.name, row_number() OVER (PARTITION BY u.GlobalID, u.field ORDER BY o.GlobalID, o.pos) AS r FROM urls u JOIN urls o ON u.url = o.url AND u.GlobalID <> o.GlobalID WHERE u.url LIKE 'http%')
+SELECT GlobalID, field, url, count(*) AS others, string_agg(name, ', ' ORDER BY r) FILTER (WHERE r <= 3) AS names FROM j GROUP BY 1, 2, 3""")
 def media_owners(poi):
     from ..operators.rules import shared_media
 

@@ -124,8 +124,9 @@ def statuses(poi):
 
 @query("val_16", "poi")
 def validate_all(poi):
-    s = V.status(poi)
-    return s.agg(A.long(F.count("*"), "total"), A.long(F.count_if((F.col("blockers") > 0) | (F.col("warnings") > 0)), "with_issues"), A.long(F.sum("blockers"), "blockers"), A.long(F.sum("warnings"), "warnings"))
+    s = V.table_status(poi)
+    issue = (F.col("blockers") > 0) | (F.col("warnings") > 0)
+    return s.agg(A.long(F.count("*"), "total"), A.long(F.count_if(issue), "with_issues"), A.long(F.sum("blockers"), "blockers"), A.long(F.sum("warnings"), "warnings"), A.long(F.count_if(F.col("blockers") > 0), "flagged"))
 
 
 _TITLE = "array_to_string(list_transform(string_split({c}, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')"

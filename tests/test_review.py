@@ -108,3 +108,10 @@ def test_blockers_of_the_rules_stand_in_the_way_of_approval(spark):
     counts = spark.createDataFrame([("a", 2)], "GlobalID string, blockers long")
     assert {r.GlobalID: r.reasons for r in R.approval_blockers(pois, counts).collect()} == {"a": ["validation:2"], "b": []}
     assert [r.reasons for r in R.approval_blockers(pois).collect()] == [[], []]
+
+
+def test_shared_media_tell_the_first_three_other_uses(spark):
+    rows = [("a", "A", "http://x/1", "http://x/1", None), ("b", None, "http://x/1", "", "http://x/2"), ("c", "C", "", "http://x/1 ", "http://x/2"), ("d", "D", "UNAVAILABLE", "http://x/3", "http://x/1"), ("e", "E", None, "http://x/4", "http://x/4")]
+    pois = spark.createDataFrame(rows, "GlobalID string, Name_EN string, Exterior_Photo_URL string, Interior_Photo_URL string, Video_URL string")
+    found = {(r.GlobalID, r.field[:2], r.others, r.names) for r in R.shared_media(pois).collect()}
+    assert found == {("a", "Ex", 3, ", C, D"), ("a", "In", 3, ", C, D"), ("b", "Ex", 4, "A, A, C"), ("b", "Vi", 1, "C"), ("c", "In", 4, "A, A, "), ("c", "Vi", 1, ""), ("d", "Vi", 4, "A, A, ")}
