@@ -217,6 +217,18 @@ def page_findings(pois: DataFrame) -> DataFrame:
     return pois.withColumn("findings", compact(*(F.when(hit, F.struct(F.lit(c).alias("code"), F.lit(f).alias("field"), F.lit(s).alias("severity"))) for c, f, s, hit in rules)))
 
 
+# The fields of the score.
+SCORED = ("Name_AR", "Name_EN", "Category", "Subcategory", "District_EN", "District_AR", "Latitude", "Longitude", "Phone_Number", "Working_Hours", "Working_Days", "Exterior_Photo_URL", "Interior_Photo_URL")
+
+
+def page_score(pois: DataFrame) -> DataFrame:
+    """+ findings, qa_score: completeness in percent, less 15 for a blocker and 5 for a warning of the edit page, within 0 and 100."""
+    have = reduce(lambda a, b: a + b, [(~text(F.col(f)).isin("", "UNAVAILABLE")).cast("int") for f in SCORED if f in pois.columns])
+    n = lambda severity: F.size(F.filter("findings", lambda x: x["severity"] == severity))
+    score = F.floor(have / len(SCORED) * 100.0 - 15 * n("BLOCKER") - 5 * n("WARNING") + 0.5)
+    return page_findings(pois).withColumn("qa_score", F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("long"))
+
+
 def ui_phone(c: Column) -> Column:
     """Without white space, hyphens and brackets."""
     return F.regexp_replace(c, r"(?U)[\s\-()]", "")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -201,14 +200,6 @@ def table_status(pois: DataFrame, key: str = "GlobalID") -> DataFrame:
     return status(pois, key).join(shared, key, "left").select(key, "status", "blockers", (F.col("warnings") + F.coalesce("shared", F.lit(0))).alias("warnings"))
 
 
-def qa_score(pois: DataFrame, counts: DataFrame, fields: tuple[str, ...], key: str = "GlobalID") -> DataFrame:
-    """Completeness in percent, less 15 for a blocker and 5 for a warning, within 0 and 100."""
-    have = reduce(lambda a, b: a + b, [(~is_blank(F.col(f), "queue")).cast("int") for f in fields])
-    rows = pois.select(key, have.alias("have")).join(counts.select(key, "blockers", "warnings"), key)
-    score = F.floor(F.col("have") * 100.0 / len(fields) - 15 * F.col("blockers") - 5 * F.col("warnings") + 0.5)
-    return rows.select(key, F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("long").alias("qa_score"))
-
-
 def approval_blockers(pois: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """GlobalID, reasons: why a place can't be approved; counts (GlobalID, blockers), as :func:`status` gives them, add theirs."""
     if counts is not None:

@@ -296,6 +296,16 @@ def page_rules(poi):
     return V.page_findings(poi).select("GlobalID", F.array_join("findings.code", ",").alias("codes"))
 
 
+_SCORED = ("Name_AR", "Name_EN", "Category", "Subcategory", "District_EN", "Latitude", "Longitude", "Phone_Number", "Working_Hours", "Working_Days", "Exterior_Photo_URL", "Interior_Photo_URL")
+_HAVE = " + ".join(f"({T(c)} NOT IN ('', 'UNAVAILABLE'))::INT" for c in _SCORED)
+_PENALTY = " + ".join(f"{15 if c in ('N1', 'N2', 'M5', 'M6', 'L1', 'M3', 'M4') else 5} * ({sql})::INT" for c, sql in _RULES if c != "FNB")
+
+
+@query("val_04", "poi", sql=f"SELECT GlobalID, CAST(greatest(0, least(100, floor(({_HAVE}) / 13.0::DOUBLE * 100.0::DOUBLE - ({_PENALTY}) + 0.5))) AS BIGINT) AS qa_score FROM poi")
+def page_scores(poi):
+    return V.page_score(poi).select("GlobalID", "qa_score")
+
+
 @query("val_07", "poi", sql=f"SELECT GlobalID, CASE WHEN NOT {FILLED('Commercial_License')} THEN NULL WHEN regexp_matches({T('Commercial_License')}, '[a-zA-Z ]') THEN 'INVALID_LICENSE' WHEN length(regexp_replace(Commercial_License, '[^0-9]', '', 'g')) <> 10 THEN 'LICENSE_NOT_10_DIGITS' END AS error FROM poi")
 def licences(poi):
     return poi.select("GlobalID", V.licence_error(F.col("Commercial_License")).alias("error"))

@@ -180,13 +180,6 @@ def approvals(poi):
     return V.approval_blockers(poi).select("GlobalID", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("val_04", "poi")
-def qa_scores(poi):
-    with_district = poi.withColumn("District_AR", F.expr("CASE WHEN District_EN = '' THEN NULL ELSE concat('حي ', District_EN) END"))
-    # fixed values: the fields of the score
-    return V.qa_score(with_district, V.status(poi), ("Name_AR", "Name_EN", "Category", "Subcategory", "District_EN", "District_AR", "Latitude", "Longitude", "Phone_Number", "Working_Hours", "Working_Days", "Exterior_Photo_URL", "Interior_Photo_URL"))
-
-
 UPDATED = "k % 10 = 3"
 
 
