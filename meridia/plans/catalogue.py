@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import matching, reports, reviews, validation
+from . import exchanges, matching, reports, reviews, validation
 
-QUERIES: dict = {**reports.QUERIES, **matching.QUERIES, **validation.QUERIES, **reviews.QUERIES}
-ORACLES: dict = {**reports.ORACLES, **matching.ORACLES, **validation.ORACLES, **reviews.ORACLES}
+QUERIES: dict = {**reports.QUERIES, **matching.QUERIES, **validation.QUERIES, **reviews.QUERIES, **exchanges.QUERIES}
+ORACLES: dict = {**reports.ORACLES, **matching.ORACLES, **validation.ORACLES, **reviews.ORACLES, **exchanges.ORACLES}
