@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, lm_score, mixing, near_dedup, quality, secret_scan, substring_dedup, url_filter, warc
+from . import ann, chat, decontaminate, divergence, lm_score, mixing, near_dedup, quality, secret_scan, substring_dedup, url_filter, warc, whitening
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -80,7 +80,25 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_minhash_near_dedup, op4_quality_cotraining, op5_warc_normalise, op6_ann_forest, op7_source_mix, op8_lm_score, op9_url_filter, op10_decontaminate)}
+#: A conversation of control strings of the template, formatted with the others.
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
+    return chat.digests(chat.format_conversations(rows.unionByName(control)))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_minhash_near_dedup, op4_quality_cotraining, op5_warc_normalise, op6_ann_forest, op7_source_mix, op8_lm_score, op9_url_filter, op10_decontaminate, op11_chat_format, op12_embedding_whitening, op13_source_divergence)}
 
 ORACLES = {
     "op5_warc_normalise": """
@@ -132,4 +150,45 @@ ORACLES = {
             CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
                 WHEN canon IN (SELECT canon FROM l) THEN 'block' ELSE 'allow' END AS verdict
         FROM c""",
+    "op11_chat_format": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) t(i)),
+        e AS (
+            SELECT *, length(regexp_replace(text, '([<\[])(\\*)(s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>|\|)', '\1\\\2\3', 'g'))
+                + CASE role WHEN 'user' THEN length('[INST] ' || ' [/INST]') WHEN 'assistant' THEN length(' ' || '</s>')
+                    WHEN 'system' THEN length('<<SYS>>' || '<</SYS>>') + 3
+                    ELSE length('<||>' || '<|end|>') + 3 + length(replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '|', '\p')) END AS size
+            FROM c),
+        g AS (
+            SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+                coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss, 3 + sum(size) AS chars
+            FROM e GROUP BY conv_id)
+        SELECT conv_id, n AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g""",
+    "op13_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents),
+        o AS (SELECT doc, lang, source, unnest(terms) AS term FROM d),
+        k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT doc) >= 30),
+        v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        n AS (SELECT lang, source, term, count(*) AS c FROM o SEMI JOIN k USING (lang, term) GROUP BY ALL),
+        s AS (SELECT g.lang, g.source, coalesce(sum(n.c), 0) AS total FROM g LEFT JOIN n USING (lang, source) GROUP BY g.lang, g.source),
+        p AS (
+            SELECT g.lang, g.source, k.term, coalesce(n.c, 0) AS c, CAST(1 + (1000000000::HUGEINT * (coalesce(n.c, 0) + 5)) // (s.total + 5 * v.v) AS BIGINT) AS p
+            FROM g JOIN k ON g.lang = k.lang JOIN v ON v.lang = g.lang JOIN s ON s.lang = g.lang AND s.source = g.source
+            LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+        l AS (SELECT lang, sum(total) AS total FROM s GROUP BY lang),
+        q AS (
+            SELECT k.lang, k.term, CAST(1 + (1000000000::HUGEINT * (sum(n.c) + 5)) // (any_value(l.total) + 5 * any_value(v.v)) AS BIGINT) AS q
+            FROM k JOIN n USING (lang, term) JOIN l ON l.lang = k.lang JOIN v ON v.lang = k.lang GROUP BY k.lang, k.term),
+        far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        r AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(far.value, 0) AS BIGINT) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+            UNION ALL SELECT p.lang, p.source, 'term', p.term, p.p - q.q FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.c > 0 AND p.p > q.q),
+        f AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+        SELECT lang, source, part, item, value, rank FROM f WHERE part = 'pair' OR rank <= 50""",
 }
