@@ -1,4 +1,4 @@
-"""Streams of events: windowed counts, presence with a time to live, and change feeds."""
+"""Streams of events: windowed counts and runs to the end of what is there."""
 
 from __future__ import annotations
 
@@ -20,17 +20,6 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hou
     return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def presence(events: DataFrame, late: str = "1 minute") -> DataFrame:
-    """The last sight of each user; bounded by the watermark's horizon through a window per minute."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", "1 minute"), "user_id").agg(F.max("ts").alias("last_seen")).select("user_id", "last_seen")
-
-
-def active(seen: DataFrame, as_of, ttl_seconds: int = 60) -> DataFrame:
-    """Users seen within the time to live."""
-    last = seen.groupBy("user_id").agg(F.max("last_seen").alias("last_seen"))
-    return last.where((F.col("last_seen") <= as_of) & (F.col("last_seen") >= as_of - F.expr(f"INTERVAL {ttl_seconds} SECONDS")))
-
-
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Everything that is there now, then stop; the checkpoint lets a restart go on where it was."""
     query = stream.writeStream.outputMode(mode).foreachBatch(batch_writer(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
