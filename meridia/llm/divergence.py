@@ -26,6 +26,8 @@ UNIT, PRIOR = 1_000_000_000, 5
 CHUNK_CHARS, HELD = 1 << 22, 250_000
 #: Sources of a language whose probabilities are compared in one block, and cells in one group of blocks.
 BLOCK, CELLS = 256, 400_000
+#: Buckets of terms of a language, at least, so that one language is not one task.
+BUCKETS = 64
 #: Rows of the table of groups, about 100 bytes each, that may be broadcast.
 BROADCAST_GROUPS = 50_000
 
@@ -164,7 +166,7 @@ def _distances(cells: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
     in blocks of BLOCK, terms in buckets, so no group holds much more than CELLS
     cells; every group has one bare row for each of its sources.
     """
-    buckets = max(1, cells.count() // CELLS + 1)
+    buckets = max(BUCKETS, cells.count() // CELLS + 1)
     own = F.floor(F.col("s") / BLOCK).cast("int")
     blocks = groups.groupBy("lang").agg(F.max(own).alias("blocks"))
     bare = groups.where("terms > 0").select("lang", "s", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), F.lit(True).alias("bare"), F.lit(0).cast("long").alias("digest"), F.lit(None).cast("string").alias("split"), F.col("zero").alias("p"))
