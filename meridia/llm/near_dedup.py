@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialise, mix64, split_hashes
+from .common import U64, join_hot, materialise, mix64, split_hashes
 
 #: Values of a document's sketch, and how many of them two similar documents have in common at least.
 RETAINED = 64
@@ -41,9 +41,6 @@ LEAST = 34
 #: Lists in which two similar documents meet at least.  Between components they meet in one of three ways, as member of
 #: the list's main component and other, the reverse, or as two others; so that in one of these they meet twice.
 MEETINGS = 4
-#: A pair is dropped if its sketches have less than this share of the smaller one in common, by which the bottom of their
-#: union estimates the similarity; at 0.8 that has a probability of about 1e-6.
-ESTIMATE = 0.55
 #: Documents on either side of a block in which members of lists are compared, and rows that a task takes together.
 GROUP = 512
 TOGETHER = 2_048
@@ -69,8 +66,9 @@ def _sets_of(column: pa.Array, size: int) -> Iterator[np.ndarray]:
         yield shingle_set(words, size)
 
 
-def _digest(values: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(values.tobytes()) if len(values) else b""
+def _node(values: np.ndarray) -> int | None:
+    """A number for each set, whichever document has it: 64 bits of a hash; none for the empty set."""
+    return int.from_bytes(xxhash.xxh3_64_digest(values.astype("<u8").tobytes()), "little", signed=True) if len(values) else None
 
 
 def _keys_task(size: int):
@@ -78,14 +76,14 @@ def _keys_task(size: int):
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
                 part = batch.slice(low, 2000)
-                counts, digests, kept = [], [], []
+                counts, nodes, kept = [], [], []
                 for values in _sets_of(part.column(1), size):
                     counts.append(len(values))
-                    digests.append(_digest(values))
+                    nodes.append(_node(values))
                     kept.append(values[:RETAINED].view(np.int64))
                 ends = np.concatenate(([0], np.cumsum([len(k) for k in kept]))).astype(np.int32)
                 flat = pa.array(np.concatenate(kept))
-                yield pa.record_batch([part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "n", "digest", "retained"])
+                yield pa.record_batch([part.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "n", "node", "retained"])
 
     return task
 
@@ -104,7 +102,7 @@ def _bitmap(wanted: DataFrame, most: int = MOST_BITS) -> np.ndarray:
             at = _bit(batch.column(0).to_numpy(), bits)
             yield pa.record_batch([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(U64)).view(np.int64))], names=["at", "bits"])
 
-    words = wanted.select("node").mapInArrow(task, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = wanted.mapInArrow(task, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(bits >> 6, U64)
     out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(U64)
     return out
@@ -119,8 +117,8 @@ def _sets_task(size: int, bitmap):
             batch = batch.filter(pa.array((words[at >> 6] >> (at & 63).astype(U64)) & U64(1) == U64(1)))
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
-                sets = [values.astype("<u8").tobytes() for values in _sets_of(part.column(1), size)]
-                yield pa.record_batch([part.column(0), pa.array(sets, pa.binary())], names=["node", "values"])
+                sets = list(_sets_of(part.column(1), size))
+                yield pa.record_batch([pa.array(map(_node, sets), pa.int64()), pa.array([v.astype("<u8").tobytes() for v in sets], pa.binary())], names=["node", "values"])
 
     return task
 
@@ -134,11 +132,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     was, is_ = None, state(now)
     while was != is_:
+        # a hub may have a third of all rows, so hubs are joined by broadcast
+        count, total = F.count(F.lit(1)).alias("n"), is_[0]
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), count).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_hot(both, least, ["u"], total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), count)
+        small = join_hot(large, low, ["u"], total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         now = materialise(small.distinct(), "stars")
         was, is_ = is_, state(now)
     roots = now.select(F.col("v").alias("node")).distinct()
@@ -184,15 +184,40 @@ def _blocks(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.n
             yield index, probe, values
 
 
+def _in_union(sketches: list[np.ndarray], other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the union of each sketch with the other, how many of its RETAINED smallest values there are, and how many of these both have."""
+    wide = max(map(len, sketches))
+    pad = np.iinfo(np.uint64).max
+    rows = np.full((len(sketches), wide + len(other)), pad, U64)
+    for row, sketch in zip(rows, sketches):
+        row[: len(sketch)] = sketch
+    rows[:, wide:] = other
+    rows.sort(axis=1)
+    # a value that both have stands twice; it counts at its second place
+    again = np.zeros(rows.shape, bool)
+    again[:, 1:] = (rows[:, 1:] == rows[:, :-1]) & (rows[:, 1:] != pad)
+    place = np.cumsum(~again & (rows != pad), axis=1)
+    return np.minimum(place[:, -1], RETAINED), (again & (place <= RETAINED)).sum(1)
+
+
 def _estimate_task(table: pa.Table) -> pa.Table:
-    """Rows with sketches -> those that have a row of another component on the other side of their block that may be similar enough."""
+    """Rows with sketches -> those that have a row of another component on the other side of their block that may be similar enough.
+
+    What two documents share of the bottom of their union estimates their
+    similarity: at least LEAST of RETAINED values, or all of that share if the
+    union is smaller.
+    """
     component, keep = table.column("component").to_numpy(), np.zeros(table.num_rows, bool)
     for index, probe, values in _blocks(table):
         sizes = np.array([len(values[i]) for i in index])
         for p, common in zip(probe, _common([values[i] for i in index], (values[p] for p in probe))):
-            near = (common >= ESTIMATE * np.minimum(sizes, len(values[p]))) & (component[index] != component[p])
-            keep[index[near]] = True
-            keep[p] |= near.any()
+            # what the union's bottom shares, both sketches share
+            near = np.flatnonzero((common >= LEAST / RETAINED * np.minimum(sizes, len(values[p]))) & (component[index] != component[p]))
+            if len(near):
+                union, shared = _in_union([values[i] for i in index[near]], values[p])
+                near = near[shared >= LEAST / RETAINED * union]
+                keep[index[near]] = True
+                keep[p] |= len(near) > 0
     return table.select(["gid", "side", "node", "component"]).filter(pa.array(keep))
 
 
@@ -232,7 +257,7 @@ def _faced(index: DataFrame, probe: DataFrame) -> DataFrame:
     return left.unionByName(right).select(F.xxhash64("group", "block", "part").alias("gid"), "side", "node", "component")
 
 
-def _links(faced: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _links(faced: DataFrame, sketches: DataFrame, texts: DataFrame, owners: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """faced rows -> a, b: links between components that the full sets confirm, enough to join what is similar.
 
     Both steps compare the rows of a block where they lie: the sketches leave
@@ -244,11 +269,13 @@ def _links(faced: DataFrame, sketches: DataFrame, texts: DataFrame, words: int,
     rows = faced.join(sketches, "node").select("gid", "side", "node", "component", "values")
     bucket = F.pmod("gid", F.lit(faced.count() // TOGETHER + 1)).alias("bucket")
     likely = materialise(rows.select(bucket, "*").groupBy("bucket").applyInArrow(_estimate_task, "gid long, side int, node long, component long"), "near-likely")
-    bitmap = texts.sparkSession.sparkContext.broadcast(_bitmap(likely.select("node").distinct()))
+    bitmap = texts.sparkSession.sparkContext.broadcast(_bitmap(owners.join(likely.select("node").distinct(), "node", "left_semi").select("doc_id")))
     sets = texts.where("doc_id is not null").mapInArrow(_sets_task(words, bitmap), "node long, values binary").dropDuplicates(["node"])
     bucket = F.pmod("gid", F.lit(likely.count() // GROUP + 1)).alias("bucket")
     rows = likely.join(sets, "node").select(bucket, "gid", "side", "node", "component", "values")
-    return materialise(rows.groupBy("bucket").applyInArrow(_exact_task(num, den), "a long, b long").distinct(), "near-links")
+    links = materialise(rows.groupBy("bucket").applyInArrow(_exact_task(num, den), "a long, b long").distinct(), "near-links")
+    bitmap.destroy()
+    return links
 
 
 def lists_of(nodes: DataFrame, similarity: float) -> DataFrame:
@@ -269,19 +296,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
 
     Texts are split at ASCII white space after lower-casing A-Z.  Null, empty and
     blank texts have empty sets and are linked with nothing; texts with fewer
-    words than a shingle have one shingle.  Equal sets are one node.  A null id
-    keeps its row, with a null component, and is kept.  Where rows repeat an id
-    with other texts, one of the texts stands for the id in links.
+    words than a shingle have one shingle.  Equal sets are one node, known by 64
+    bits of a hash.  A null id keeps its row, with a null component, and is kept.
+    Rows that repeat an id with other texts are one document with several sets:
+    what is linked with any of them is linked with the id, in whatever order the
+    rows stand; rows of it without words are not.  Other columns are not read; an empty table gives no rows.
     """
     num, den = similarity
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    listed = materialise(texts.mapInArrow(_keys_task(words), "doc_id long, n long, digest binary, retained array<long>"), "near-keys")
-    full = listed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    nodes = full.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    # equal sets are one node; of rows with one id, the first set stands for it
-    stand = nodes.groupBy("node").agg(F.min("digest").alias("digest"))
-    each = full.join(stand, [full.doc_id == stand.node, full.digest == stand.digest], "left_semi").select(F.col("doc_id").alias("node"), "digest", "n", "retained").dropDuplicates(["node", "digest"]).drop("digest")
+    listed = materialise(texts.mapInArrow(_keys_task(words), "doc_id long, n long, node long, retained array<long>"), "near-keys")
+    full = listed.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
+    # the document whose row, and later whose text, stands for a set
+    owners = materialise(full.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "near-owners")
+    each = full.join(owners, ["node", "doc_id"], "left_semi").select("node", "n", "retained").dropDuplicates(["node"])
     shared = materialise(lists_of(each, num / den), "near-shared")
     # one row per list, whatever its length
     hubs = shared.groupBy("key").agg(F.max(F.struct("known", (-F.col("node")).alias("node"))).alias("first"), F.min_by("node", F.xxhash64("node", "key")).alias("h2"), F.count("*").alias("n")).where("n > 1")
@@ -292,7 +319,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
     best = materialise(met.groupBy("node").agg(F.max_by("hub", F.struct("lists", -F.col("hub"))).alias("group")), "near-stars")
     sketches = materialise(each.select("node", "retained").join(shared.select("node").distinct(), "node", "left_semi").mapInArrow(_bytes_task, "node long, values binary"), "near-sketches")
     alone = lambda rows: rows.withColumn("component", F.col("node"))
-    links = _links(_faced(alone(best.select("group", F.col("group").alias("node")).distinct()), alone(best.select("group", "node"))), sketches, texts, words, num, den)
+    links = _links(_faced(alone(best.select("group", F.col("group").alias("node")).distinct()), alone(best.select("group", "node"))), sketches, texts, owners, words, num, den)
     first = materialise(components(links), "near-components")
     # lists whose members are not yet one component, with the component that most of their members have
     labelled = materialise(shared.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "near-labelled")
@@ -305,11 +332,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
     mixed = others.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n"), *mark).where("c0 <> c1")
     mixed = mixed.groupBy("n", "x0", "x1").agg(F.min("key").alias("key")).select("key")
     rest = materialise(others.join(mixed, "key", "left_semi").select(F.col("key").alias("group"), "node", "component"), "near-rest")
-    more = _links(_faced(members, facing).unionByName(_faced(rest, rest)), sketches, texts, words, num, den)
-    whole = components(links.unionByName(more))
-    named = nodes.join(whole, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    return listed.join(named, "digest", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    more = _links(_faced(members, facing).unionByName(_faced(rest, rest)), sketches, texts, owners, words, num, den)
+    # the sets of an id with several are of one component
+    several = full.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).where("b <> high").drop("high")
+    of_id = materialise(join_hot(full.select("doc_id", "node"), several, ["doc_id"], listed.count()).select(F.col("node").alias("a"), "b").where("a <> b").distinct(), "near-of-id")
+    whole = components(links.unionByName(more).unionByName(of_id))
+    named = owners.join(whole, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    ids = materialise(join_hot(named.select("node", "component"), least, ["component"], owners.count()).select("node", "component_id"), "near-ids")
+    copies = ids.join(full.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "node")
+    in_set = F.col("node").isNotNull() & F.col("doc_id").isNotNull()
+    linked = join_hot(listed.where(in_set).select("doc_id", F.col("n").alias("n_shingles"), "node"), copies, ["node"], listed.count())
+    rows = linked.select("doc_id", "n_shingles", "component_id").unionByName(listed.where(~in_set).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -62,3 +62,22 @@ def near(docs, size, num=80, den=100):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     return {d: (len(sets[d]), find(d)) for d in sets}
+
+
+def near_rows(rows, size, num=80, den=100):
+    """(doc_id, text) rows, ids repeated or not -> sorted (doc_id, n, component) of each row; rows with one id are one document."""
+    sets = [shingles(t, size) for _, t in rows]
+    root = {d: d for d, _ in rows}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and den * len(a & b) >= num * len(a | b):
+                x, y = find(rows[i][0]), find(rows[j][0])
+                root[max(x, y)] = min(x, y)
+    return sorted((d, len(s), find(d) if s else d) for (d, _), s in zip(rows, sets))

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import brute
+import numpy as np
 import pytest
 from meridia.llm import decontaminate, lm_score, mixing, near_dedup, quality, secret_scan, substring_dedup
 from pyspark.sql import functions as F
@@ -86,6 +87,33 @@ def test_near_duplicates_chain(spark):
     assert {r.component_id for r in got} == {0}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates_of_ids_with_several_texts(spark, seed):
+    """An id is linked by each of its texts, in whatever order its rows stand."""
+    rng = random.Random(seed)
+    prose = lambda: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(150))
+    a, b, c, d = prose(), prose(), prose(), prose()
+    rows = [(1, a), (1, b), (2, b + " x"), (3, c), (2, c + " y"), (9, d), (7, d + " z"), (7, d + " z"), (7, ""), (8, prose()), (5, d), (5, a + " q")]
+    rows += [(40 + i, prose()) for i in range(20)] + [(50, None), (50, "one")]
+    expected = brute.near_rows(rows, 2)
+    for _ in range(2):
+        rng.shuffle(rows)
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == expected
+        assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_union_sketches_estimate_similarity():
+    rng = np.random.default_rng(5)
+    k = near_dedup.RETAINED
+    sets = [np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64)) for n in (3, 40, 500, 900)]
+    other = np.unique(np.concatenate((sets[2][:250], rng.integers(0, 1 << 62, 300, dtype=np.uint64), sets[1][:7])))
+    size, shared = near_dedup._in_union([s[:k] for s in sets], other[:k])
+    for s, n, m in zip(sets, size, shared):
+        bottom = np.union1d(s, other)[:k]
+        assert n == len(bottom) and m == len(np.intersect1d(np.intersect1d(bottom, s), other))
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     rows = near_dedup.near_duplicates(odd).collect()
     assert len(rows) == 7
