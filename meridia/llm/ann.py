@@ -3,8 +3,11 @@
 Trees are fitted on a bounded sample; a node's plane lies between two random
 points of the node, through the median projection.  Every row is put into one
 leaf of every tree.  A query walks all trees through one priority queue, ordered
-by the smallest margin on the way, until it has gathered leaves with the asked
-share of rows; the rows of these leaves are ranked by their exact distances.
+by the smallest margin on the way.  From its FIRST leaves it learns how far its
+k-th neighbour is at most; then it goes on through the queue to leaves whose
+margin is below REACH of that distance, however few or many these are, so on data
+with structure a query sees a small share of the rows.  The rows of all these
+leaves are ranked by their exact distances.
 
 Equal vectors are one candidate that carries its smallest ids, as many as a
 result can hold, so a vector that a third of all rows share fills no leaf.
@@ -30,8 +33,8 @@ SAMPLE = 65_536
 LEAF = 512
 #: Leaves of a tree, about, so that what a query brings back does not grow with the table.
 LEAVES = 64
-#: Share of the rows whose leaves a query visits, summed over trees and divided by their number.
-SHARE = 0.45
+#: Leaves that a query visits before it knows how far to go, and the share of its k-th distance to which it goes then.
+FIRST, REACH = 16, 0.1
 BLOCK = 8_192
 
 
@@ -78,17 +81,16 @@ class Forest:
             out[:, t] = -node - 1
         return out
 
-    def search(self, q: np.ndarray, share: float) -> list[int]:
-        """Leaves in the order of one queue shared by all trees."""
+    def search(self, q: np.ndarray, radius: float, most: int | None = None) -> list[int]:
+        """Leaves in the order of one queue shared by all trees, with margins up to ``radius``, no more than ``most``."""
         margins = self.planes @ q - self.offsets
-        queue = [(-np.inf, root) for root in self.roots]
+        queue = [(0.0, root) for root in self.roots]
         heapq.heapify(queue)
-        found, seen, enough = [], 0.0, share * len(self.roots)
-        while queue and seen < enough:
+        found: list[int] = []
+        while queue and queue[0][0] <= radius and (most is None or len(found) < most):
             far, node = heapq.heappop(queue)
             if node < 0:
                 found.append(-node - 1)
-                seen += self.shares[-node - 1]
                 continue
             m = float(margins[node])
             near = int(m > 0)
@@ -102,25 +104,46 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _distances(queries: np.ndarray, rows: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and exact distances of the nearest ``keep`` rows of each query, ties to the earlier row."""
-    wide = min(len(rows), 2 * keep + 10)
-    rough = (rows * rows).sum(1)[None, :] - 2.0 * (queries @ rows.T)
-    at = np.argpartition(rough, wide - 1, axis=1)[:, :wide] if wide < len(rows) else np.broadcast_to(np.arange(len(rows)), rough.shape)
-    at = np.sort(at, axis=1)
-    step = rows[at] - queries[:, None, :]
-    far = np.sqrt((step * step).sum(2))
-    best = np.argsort(far, axis=1, kind="stable")[:, :keep]
-    return np.take_along_axis(at, best, 1), np.take_along_axis(far, best, 1)
+#: Pairs of a query and a row whose exact distances are taken at once.
+PAIRS = 1 << 16
 
 
-def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, trees: int = TREES, share: float = SHARE, sample: int = SAMPLE, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _distances(queries: np.ndarray, rows: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and exact distance of the nearest ``keep`` rows of each query, nearest first, ties to the earlier row.
+
+    A product of matrices gives distances roughly, from a common centre so that a
+    large offset costs no digits.  Whatever may, within the error of these, belong
+    to the nearest is measured exactly.
+    """
+    centre = rows.mean(0)
+    q, x = queries - centre, rows - centre
+    far_q, far_x = (q * q).sum(1), (x * x).sum(1)
+    rough = far_q[:, None] + far_x[None, :] - 2.0 * (q @ x.T)
+    at = min(keep, len(rows)) - 1
+    error = 8 * (rows.shape[1] + 8) * np.finfo(float).eps * (far_q + far_x.max())
+    # the centring itself rounds by a digit of the vectors as they are
+    error += 16 * np.finfo(float).eps * (np.abs(queries).max() + np.abs(rows).max()) * np.sqrt(rows.shape[1] * (far_q + far_x.max()))
+    owner, row = np.nonzero(rough <= (np.partition(rough, at, axis=1)[:, at] + 2 * error)[:, None])
+    far = np.empty(len(owner))
+    for low in range(0, len(owner), PAIRS):
+        step = rows[row[low : low + PAIRS]] - queries[owner[low : low + PAIRS]]
+        far[low : low + PAIRS] = np.sqrt((step * step).sum(1))
+    order = np.lexsort((row, far, owner))
+    owner, row, far = owner[order], row[order], far[order]
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    return owner[place < keep], row[place < keep], far[place < keep]
+
+
+def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, trees: int = TREES, reach: float = REACH, sample: int = SAMPLE, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each query, by Euclidean distance.
 
     queries: a frame with the ids (``id_col``) that are asked; all of them are
     held against all rows but those with the query's own id.  Null ids, and
     vectors that are null, zero, of another length than most, or hold null or
-    non-finite components take no part.  Ties go to the smaller id.
+    non-finite components take no part.  Ties go to the smaller id.  Repeated
+    rows count once, an id with several vectors has each of them; other columns
+    are not read, whatever their names, and an empty table gives no rows.  All
+    rows may be queries: blocks of a leaf meet blocks of its queries.
     """
     spark = vectors.sparkSession
     v = F.col("v")
@@ -150,7 +173,10 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, t
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = [forest.value.search(q, share) for q in _matrix(batch.column("q"))]
+                vectors, far = _matrix(batch.column("q")), batch.column("far").to_pylist()
+                found = [forest.value.search(q, np.inf, FIRST) for q in vectors]
+                if far[0] is not None:  # the k-th distance is known: what is in reach and was not visited
+                    found = [sorted(set(forest.value.search(q, reach * d)) - set(seen)) for q, d, seen in zip(vectors, far, found)]
                 yield pa.record_batch([batch.column("query"), batch.column("q"), pa.array(found, pa.list_(pa.int64()))], names=["query", "q", "leaf"])
 
     indexed = distinct.mapInArrow(put, "v array<double>, ids array<long>, leaf array<long>").select("v", "ids", F.explode("leaf").alias("leaf"))
@@ -158,16 +184,15 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, t
     blocks = counts.select("leaf", F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks"))
     asked = rows if queries is None else rows.join(queries.select(F.col(id_col).cast("long").alias("id")).distinct(), "id", "left_semi")
     asked = asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")).distinct()
-    groups = asked.groupBy("q").agg(F.min("query_id").alias("query"))
-    walks = groups.mapInArrow(ask, "query long, q array<double>, leaf array<long>").select("query", "q", F.explode("leaf").alias("leaf"))
-    left = (
+    groups = materialise(asked.groupBy("q").agg(F.min("query_id").alias("query")), "ann-queries")
+    parts = groups.count() // (64 * BLOCK) + 1
+    left = materialise(
         indexed.join(F.broadcast(blocks), "leaf")
         .withColumn("block", F.pmod(F.xxhash64("ids"), "blocks"))
         .groupBy("leaf", "block")
-        .agg(F.collect_list("v").alias("vs"), F.collect_list("ids").alias("idss"))
+        .agg(F.collect_list("v").alias("vs"), F.collect_list("ids").alias("idss")),
+        "ann-leaves",
     )
-    # queries are cut into groups as well, so that neither side of a leaf can outgrow a task
-    right = walks.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(max(1, n // (100 * BLOCK))))).groupBy("leaf", "part").agg(F.collect_list("query").alias("queries"), F.collect_list("q").alias("qs"))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,18 +202,28 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, t
                 by_id = sorted(range(len(ids)), key=lambda j: ids[j][0])
                 x, ids = x[by_id], [ids[j] for j in by_id]
                 for low in range(0, len(q), 64):
-                    at, far = _distances(q[low : low + 64], x, k + 1)
-                    owner = np.repeat(names[low : low + 64], at.shape[1])
-                    yield pa.record_batch([pa.array(owner), pa.array(far.ravel()), pa.array([ids[j] for j in at.ravel().tolist()], pa.list_(pa.int64()))], names=["query", "score", "ids"])
-
-    found = left.join(right, "leaf").select("vs", "idss", "queries", "qs").mapInArrow(rank, "query long, score double, ids array<long>")
-    best = (
-        found.groupBy("query", F.col("ids")[0].alias("first")).agg(F.min("score").alias("score"), F.first("ids").alias("ids"))
-        .withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("score", "first")))
-        .where(F.col("r") <= k + 1)
-        .groupBy("query")
-        .agg(F.collect_list(F.struct("score", "ids")).alias("near"))
-    )
+                    owner, at, far = _distances(q[low : low + 64], x, k + 1)
+                    yield pa.record_batch([pa.array(names[low : low + 64][owner]), pa.array(far), pa.array([ids[j] for j in at.tolist()], pa.list_(pa.int64()))], names=["query", "score", "ids"])
+
+    def ranked(asking: DataFrame) -> DataFrame:
+        walks = asking.mapInArrow(ask, "query long, q array<double>, leaf array<long>").select("query", "q", F.explode("leaf").alias("leaf"))
+        # queries are cut into groups as well, so that neither side of a leaf can outgrow a task
+        right = walks.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts))).groupBy("leaf", "part").agg(F.collect_list("query").alias("queries"), F.collect_list("q").alias("qs"))
+        return left.join(right, "leaf").select("vs", "idss", "queries", "qs").mapInArrow(rank, "query long, score double, ids array<long>")
+
+    def best_of(found: DataFrame) -> DataFrame:
+        return (
+            found.groupBy("query", F.col("ids")[0].alias("first")).agg(F.min("score").alias("score"), F.first("ids").alias("ids"))
+            .withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("score", "first")))
+            .where(F.col("r") <= k + 1)
+        )
+
+    first = materialise(best_of(ranked(groups.withColumn("far", F.lit(None).cast("double")))).select("query", "score", "ids"), "ann-first")
+    # at k + 1 ids, its own among them, a query knows how far it must look; with fewer, at everything
+    reached = first.groupBy("query").agg(F.sum(F.size("ids")).alias("ids"), F.max("score").alias("score"))
+    reached = reached.select("query", F.when(F.col("ids") > k, F.col("score")).otherwise(float("inf")).alias("far"))
+    more = ranked(groups.join(reached, "query", "left").select("q", "query", F.coalesce("far", F.lit(float("inf"))).alias("far")))
+    best = best_of(first.unionByName(more)).groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("near"))
     flat = F.flatten(F.transform("near", lambda x: F.transform(x["ids"], lambda i: F.struct(x["score"].alias("score"), i.alias("vec_id")))))
     own = asked.join(groups, "q").select("query_id", "query").join(best, "query")
     top = own.select("query_id", F.slice(F.array_sort(F.filter(flat, lambda x: x["vec_id"] != F.col("query_id"))), 1, k).alias("top"))

@@ -108,11 +108,40 @@ def test_nearest_recall_order_and_ties(spark):
     assert hit >= 0.9 * 10 * len(rows)
 
 
-def test_search_visits_the_share():
-    x = np.random.default_rng(2).normal(size=(3000, 16))
+def test_search_goes_as_far_as_it_must():
+    """With structure, a small share of the rows; within the radius, every leaf of each tree."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 16))[rng.integers(0, 40, 6000)] + 0.01 * rng.normal(size=(6000, 16))
     forest = ann.Forest(x, ann.TREES, len(x) // ann.LEAVES, 7)
-    for q in x[::100]:
-        assert sum(forest.shares[leaf] for leaf in forest.search(q, ann.SHARE)) / ann.TREES >= 0.45
+    found = [forest.search(q, ann.REACH * 0.06) for q in x[::100]]
+    assert np.mean([sum(forest.shares[leaf] for leaf in leaves) for leaves in found]) < 0.3
+    assert all(len(set(leaves)) == len(leaves) for leaves in found)
+    assert len(forest.search(x[0], np.inf)) == len(forest.shares) and len(forest.search(x[0], np.inf, 5)) == 5
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e9])
+def test_distances_break_ties_by_row(offset):
+    """Binary and one-hot vectors are full of ties; a large common offset must not hide what is near."""
+    rng = np.random.default_rng(4)
+    tables = [rng.integers(0, 2, (450, 12)).astype(float) + offset, np.eye(60) + offset, rng.normal(size=(300, 8)) + offset]
+    for x in tables:
+        owner, row, far = ann._distances(x[:20], x, 7)
+        for q in range(20):
+            exact = np.sqrt(((x - x[q]) ** 2).sum(1))
+            order = np.lexsort((np.arange(len(x)), exact))[:7]
+            assert row[owner == q].tolist() == order.tolist() and np.array_equal(far[owner == q], exact[order])
+
+
+def test_nearest_ties_go_to_smaller_ids(spark):
+    x = np.random.default_rng(6).integers(0, 2, (450, 10)).astype(float)
+    x[:, 0] = 1.0  # none is zero
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(frame, frame.where("vec_id % 10 = 0").select("vec_id")).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q, ids in got.items():
+        far = np.sqrt(((x - x[q]) ** 2).sum(1))
+        assert ids == [i for i in np.lexsort((np.arange(450), far)).tolist() if i != q][:10]
 
 
 def test_nearest_odd_rows(spark):
