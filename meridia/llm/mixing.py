@@ -2,12 +2,13 @@
 
 Words are summed by source and hash bucket.  From the running sums the bucket is
 found in which a source's budget ends; only that bucket's documents are summed
-again, by the next bits of the hash, until a cell holds one document (or rows
-with the same id).  What is below the threshold is taken; nothing is sorted.
+again, by the next bits of the hash, until a cell holds one document.  What is below the threshold is taken; nothing is sorted.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,21 +59,17 @@ def hash_digits(key: Column) -> Column:
 def mix(docs: DataFrame, cap: int = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """One row per document: id, size, source_size, target, taken.
 
-    Null text has size 0; a null source is a source of its own, last; an empty
-    table gives no rows.  Rows with one id in one source are taken together.
-    Every document is taken floor(target / source_size) times, and those below
-    the source's threshold once more, so no document exceeds ``cap`` times its
-    size, and reruns agree since the hash depends on the id alone.
+    Null text has size 0, whatever the length of others; a null source is a source
+    of its own, last; an empty table gives no rows; other columns are not read,
+    whatever their names.  Every document is taken floor(target / source_size)
+    times, and those below the source's threshold once more, so no document
+    exceeds ``cap`` times its size.  The threshold is on a hash of the id, among
+    equal hashes on one of the text, and among equal rows on their number, so
+    that also rows of one id are taken up to their source's target; reruns agree,
+    for which of equal rows is taken makes no difference.
     """
-    rows = materialise(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            word_count(F.col(text_col)).alias("size"),
-            hash_digits(F.col(id_col)).alias("h"),
-        ),
-        "mix-rows",
-    )
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hash_digits(F.col(id_col)).alias("h0"), hash_digits(F.col(text_col)).alias("h1"))
+    rows = materialise(rows.withColumn("h2", F.monotonically_increasing_id()), "mix-rows").withColumn("h2", F.shiftrightunsigned(F.xxhash64("h2"), 16))
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), cap)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(cap))).otherwise(0)
     plan = materialise(
@@ -81,44 +78,42 @@ def mix(docs: DataFrame, cap: int = 3, id_col: str = "doc_id", source_col: str =
     )
     few = plan.count() <= BROADCAST_SOURCES
     small = F.broadcast if few else lambda frame: frame
-    # below: words taken under the threshold so far; prefix: the boundary cell's leading bits
-    edge = plan.select("source", "budget", F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("prefix"))
-    for level in range(1, LEVELS + 1):
-        shift = BITS * 4 - BITS * level
-        last = level == LEVELS
-        inside = rows.join(
-            small(edge.select(F.col("source").alias("s"), "prefix")),
-            rows.source.eqNullSafe(F.col("s")) & (F.shiftright(rows.h, shift + BITS) == F.col("prefix")),
-        )
-        cells = inside.groupBy("source", F.shiftright("h", shift).alias("cell")).agg(F.sum("size").alias("words"))
-        run = Window.partitionBy("source").orderBy("cell")
-        sums = cells.join(small(edge.select(F.col("source").alias("s"), "budget", "below")), cells.source.eqNullSafe(F.col("s"))).withColumn(
-            "upto", F.col("below") + F.sum("words").over(run)
-        )
-        before = F.col("upto") - F.col("words")
-        if last:  # the last cell counts if it brings the sum nearer
-            inside_budget = (F.col("upto") <= F.col("budget")) | (
-                (before <= F.col("budget")) & (F.col("upto") - F.col("budget") < F.col("budget") - before)
-            )
-            edge = sums.groupBy("source").agg(F.max(F.when(inside_budget, F.col("cell"))).alias("threshold"), F.min("cell").alias("first"))
-        else:
+    # below: words taken under the threshold so far; prefix: the boundary cell's leading bits; e0, e1: its whole hashes so far
+    zero = F.lit(0).cast("long")
+    edge = plan.select("source", "budget", zero.alias("below"), zero.alias("prefix"), F.lit(None).cast("long").alias("e0"), F.lit(None).cast("long").alias("e1"))
+    cuts = []
+    for tier, key in enumerate(("h0", "h1", "h2")):
+        known = [f"e{i}" for i in range(tier)]
+        for level in range(1, LEVELS + 1):
+            shift = BITS * (LEVELS - level)
+            at = small(edge.select(F.col("source").alias("s"), *known, "prefix", "budget", "below"))
+            on = rows.source.eqNullSafe(F.col("s")) & (F.shiftright(rows[key], shift + BITS) == F.col("prefix"))
+            for i in range(tier):
+                on &= rows[f"h{i}"] == F.col(f"e{i}")
+            cells = rows.join(at, on).groupBy("source", *known, "budget", "below", F.shiftright(key, shift).alias("cell")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+            sums = cells.withColumn("upto", F.col("below") + F.sum("words").over(Window.partitionBy("source").orderBy("cell")))
             # the first cell that passes the budget; if none does, the last one
+            found = F.struct("cell", (F.col("upto") - F.col("words")).alias("below"), "words", "n")
             edge = materialise(
-                sums.groupBy("source", "budget").agg(
-                    F.coalesce(
-                        F.min(F.when(F.col("upto") > F.col("budget"), F.struct("cell", before.alias("below")))),
-                        F.max(F.struct("cell", before.alias("below"))),
-                    ).alias("e")
-                ).select("source", "budget", F.col("e.below").alias("below"), F.col("e.cell").alias("prefix")),
+                sums.groupBy("source", *known, "budget")
+                .agg(F.coalesce(F.min(F.when(F.col("upto") > F.col("budget"), found)), F.max(found)).alias("e"))
+                .select("source", *known, "budget", F.col("e.below").alias("below"), F.col("e.cell").alias("prefix"), F.col("e.words").alias("words"), F.col("e.n").alias("n")),
                 "mix-edge",
             )
-    cut = plan.alias("p").join(edge.select(F.col("source").alias("s"), "threshold", "first"), F.col("p.source").eqNullSafe(F.col("s")), "left").select(
-        F.col("p.source").alias("ps"), "source_size", "target", "whole", F.coalesce("threshold", F.col("first") - 1, F.lit(-1)).alias("threshold")
-    )
-    return rows.join(small(cut), rows.source.eqNullSafe(cut.ps)).select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * (F.col("whole") + (F.col("h") <= F.col("threshold")).cast("long"))).alias("taken"),
+        # a cell of one row counts if it brings the sum nearer; what has more is cut by the next hash
+        over, under = F.col("below") + F.col("words") - F.col("budget"), F.col("budget") - F.col("below")
+        hashes = [*(F.col(f"e{i}") for i in range(tier)), F.col("prefix"), *(F.lit(None).cast("long"),) * (2 - tier)]
+        end = F.col("n") <= 1 if tier < 2 else F.lit(True)
+        cuts.append(edge.where(end).select("source", *(h.alias(f"c{i}") for i, h in enumerate(hashes)), ((over <= 0) | ((under >= 0) & (over < under))).alias("counts")))
+        edge = edge.where(~end).select("source", "budget", "below", zero.alias("prefix"), *known, F.col("prefix").alias(f"e{tier}"))
+        if tier == 2 or edge.isEmpty():
+            break
+    cut = reduce(DataFrame.unionByName, cuts)
+    ends = plan.alias("p").join(cut.withColumnRenamed("source", "s"), F.col("p.source").eqNullSafe(F.col("s")), "left").drop("s", "weight", "budget").withColumnRenamed("source", "ps")
+    below = F.col("counts")
+    for i in (2, 1, 0):  # below the cut, or at it so far; the cell itself if it counts
+        own = F.col(f"h{i}")
+        below = F.when(F.col(f"c{i}").isNull(), below).otherwise((own < F.col(f"c{i}")) | ((own == F.col(f"c{i}")) & below))
+    return rows.join(small(ends), rows.source.eqNullSafe(F.col("ps"))).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.coalesce(below, F.lit(False)).cast("long"))).alias("taken")
     )

@@ -112,7 +112,7 @@ ORACLES = {
     "op7_source_mix": r"""
         WITH d AS (
             SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-                CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12)) AS BIGINT) AS h
+                CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12)) AS BIGINT) AS h, CAST(('0x' || substr(md5(coalesce(text, '')), 1, 12)) AS BIGINT) AS h1
             FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
         r AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT) AS weight FROM s),
@@ -127,9 +127,8 @@ ORACLES = {
         w AS (SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size) AS BIGINT), 3) ELSE 0 END AS whole FROM t),
         b AS (SELECT *, target - whole * source_size AS budget FROM w),
         u AS (
-            SELECT d.doc_id, d.size, b.source_size, b.target, b.whole, b.budget, d.h,
-                sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h) AS upto,
-                sum(d.size) OVER (PARTITION BY d.source, d.h) AS cell
+            SELECT d.doc_id, d.size, b.source_size, b.target, b.whole, b.budget, d.size AS cell,
+                sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.h1 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
             FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
         SELECT doc_id, size, source_size, target,
             CAST(size * (whole + CASE WHEN upto <= budget OR (upto - cell <= budget AND upto - budget < budget - (upto - cell)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
