@@ -55,17 +55,28 @@ def seeds(rows: DataFrame, keep: list[str], hashes: str, masks: tuple[str, ...])
 
 
 def _agreement(part: Column, item: Column, at: Column) -> tuple[Column, Column]:
-    """Words of the document's part under an item laid at an offset that agree with it, and those in the best stretch at 1 for a match and -4 for a mismatch."""
+    """Words of the document's part under an item laid at an offset that agree with it, and the most in one stretch.
+
+    A stretch holds at most one substitution in five words: with 1 for a match and
+    -4 for a mismatch it sums to 0 or more.  For every end the best start is the
+    first at which the running sum was no higher, so the matches up to the first
+    place below each level are kept.
+    """
     same = F.zip_with(part, F.slice(item, F.greatest(-at, F.lit(0)) + 1, F.size(part)), lambda a, b: (a == b).cast("int"))
-    start = F.struct(*(F.lit(0).alias(x) for x in ("score", "run", "top", "best")))
+    matched = F.aggregate(same, F.lit(0), lambda a, b: a + b)
+    zero = F.lit(0)
+    start = F.struct(zero.alias("sum"), zero.alias("seen"), zero.alias("low"), F.array().cast("array<int>").alias("first"), zero.alias("best"))
 
     def step(s: Column, m: Column) -> Column:
-        score = F.greatest(s["score"] + F.when(m == 1, 1).otherwise(-4), F.lit(0))
-        run = F.when(score == 0, 0).otherwise(s["run"] + m)
-        better = score > s["top"]
-        return F.struct(score.alias("score"), run.alias("run"), F.when(better, score).otherwise(s["top"]).alias("top"), F.when(better, run).otherwise(s["best"]).alias("best"))
+        now, seen = s["sum"] + F.when(m == 1, 1).otherwise(-4), s["seen"] + m
+        fresh = F.greatest(s["low"] - now, F.lit(0))
+        run = F.when(now >= 0, seen).otherwise(seen - F.coalesce(F.get(s["first"], -now - 1), seen))
+        first = F.when(fresh > 0, F.concat(s["first"], F.array_repeat(seen, fresh))).otherwise(s["first"])
+        return F.struct(now.alias("sum"), seen.alias("seen"), F.least(s["low"], now).alias("low"), first.alias("first"), F.greatest(s["best"], run).alias("best"))
 
-    return F.aggregate(same, F.lit(0), lambda a, b: a + b), F.aggregate(same, start, step, lambda s: s["best"])
+    longest = F.aggregate(same, start, step, lambda s: s["best"])
+    # with fewer words in all no overlap counts
+    return matched, F.when((matched >= STRETCH) | (matched >= SIMILARITY * F.size(item)), longest).otherwise(0)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -73,7 +84,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     An overlap counts if SIMILARITY of the item's words agree, or STRETCH words in
     one stretch; any such overlap shares a seed, whatever the length of item or
-    document.  An item without words, and rows with null ids or texts, are never
+    document, and texts may be very long.  Columns of other names, also of this
+    result's, are not read; an empty table on either side gives no rows.  An item without words, and rows with null ids or texts, are never
     reported.  The best offset is kept for each item in each document; repeated
     ids are judged together.
     """

@@ -158,6 +158,26 @@ def test_decontamination_leaves_no_substitution_out(spark):
     assert {(r.doc_id, r.item_id) for r in got} == want
 
 
+def test_stretch_is_the_longest_that_the_rule_allows(spark):
+    """Against a scan of all stretches of two words in six; 14 agreeing words of 16 with two substitutions count."""
+    rng = random.Random(8)
+    cases = ["1111101111011111", "0" * 5 + "1" * 13, "1" * 8 + "0" * 9 + "1" * 16, "1" * 20 + "0" + "1" * 3 + "00" + "1" * 9]
+    cases += ["".join("1" if rng.random() < share else "0" for _ in range(rng.randint(1, 70))) for share in (0.5, 0.8, 0.9) for _ in range(60)]
+
+    def plain(c):
+        return max((c[i:j].count("1") for i in range(len(c)) for j in range(i + 1, len(c) + 1) if 4 * c[i:j].count("0") <= c[i:j].count("1")), default=0)
+
+    rows = [(c, [int(x) for x in c], [1] * len(c)) for c in cases]
+    frame = spark.createDataFrame(rows, "c string, part array<long>, item array<long>")
+    matched, stretch = decontaminate._agreement(F.col("part"), F.col("item"), F.lit(0))
+    for r in frame.select("c", matched.alias("m"), stretch.alias("s")).collect():
+        assert r.m == r.c.count("1") and r.s == (plain(r.c) if r.m >= 13 or r.m >= 0.8 * len(r.c) else 0)
+    item = [f"i{i}" for i in range(40)]
+    text = [*item[:5], "x", *item[6:10], "y", *item[11:16], *(f"z{i}" for i in range(30))]
+    found = decontaminate.overlaps(spark.createDataFrame([(1, " ".join(text))], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    assert [(r.doc_id, r.item_id, r.stretch) for r in found.collect()] == [(1, 7, 14)]
+
+
 def test_decontamination_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, "a b c d e f g h " * 3), (2, None), (None, "x y z " * 9), (3, "")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(odd, bench).collect()} == {(4, 1)}
@@ -206,8 +226,6 @@ def test_secrets_of_every_format_are_redacted_where_they_stand(spark, left_out):
     """Also when the forest has seen no finding of the format; null and repeated ids lose their secrets too."""
     labelled = None
     if left_out is not None:
-        if left_out not in ("google", "pem"):
-            pytest.skip("two formats stand for all")
         labelled = secret_scan.labelled_findings(spark).where(~F.col("secret").startswith(FORMATTED[left_out][:4]))
     rows = [(None if k == "aws" else 5, f"we use {v} for it; commit {'ab12' * 10} stays", k) for k, v in FORMATTED.items()] + [(7, None, "none"), (8, "", "empty")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, key string").withColumn("found", F.lit("clash")).withColumn("row", F.lit("clash"))
@@ -286,6 +304,21 @@ def test_mixing_targets_and_takes(spark):
     assert again == {(r.doc_id, r.taken) for r in got}
 
 
+def test_mixing_nears_its_targets_where_ids_repeat(spark):
+    """One id in most rows of a source, with other texts and with equal ones; also null ids."""
+    rows = [(7, "w " * (1 + i % 5), "a") for i in range(50)] + [(7, "same text", "a")] * 40 + [(None, "x y z", "a")] * 10
+    rows += [(i, "w " * 5, "b") for i in range(100, 140)] + [(3, "one two three", "c")] * 90
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for parts in (1, 6):
+        got = mixing.mix(docs.repartition(parts)).toPandas()
+        assert len(got) == len(rows)
+        by = got.groupby("source_size").agg(taken=("taken", "sum"), target=("target", "first"))
+        assert ((by["taken"] - by["target"]).abs() <= 3).all() and (got["taken"] <= 3 * got["size"]).all()
+        if parts == 1:
+            once = sorted(zip(got["size"], got["source_size"], got["taken"]))
+        assert sorted(zip(got["size"], got["source_size"], got["taken"])) == once
+
+
 def test_mixing_odd_rows(odd, empty):
     rows = mixing.mix(odd).collect()
     assert len(rows) == 7 and all(r.taken <= 3 * r.size for r in rows)
