@@ -44,6 +44,8 @@ MEETINGS = 4
 #: Documents on either side of a block in which members of lists are compared, and rows that a task takes together.
 GROUP = 512
 TOGETHER = 2_048
+#: Nodes whose edges a task contracts at once.
+HELD = 500_000
 #: Bits, at most, of the broadcast map of documents whose sets are needed: 32 MB.
 MOST_BITS = 1 << 28
 
@@ -123,22 +125,50 @@ def _sets_task(size: int, bitmap):
     return task
 
 
+def _forest_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a task -> edges of its nodes to the smallest node they reach in it."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = v = root[root[v]]
+        return v
+
+    def roots() -> pa.RecordBatch:
+        nodes = [(v, r) for v in root if (r := find(v)) != v]
+        return pa.record_batch([pa.array([x[i] for x in nodes], pa.int64()) for i in range(2)], names=["u", "v"])
+
+    for batch in batches:
+        for u, v in zip(*(c.to_pylist() for c in batch.columns)):
+            root.setdefault(u, u)
+            root.setdefault(v, v)
+            x, y = find(u), find(v)
+            root[max(x, y)] = min(x, y)
+        if len(root) > HELD:
+            yield roots()
+            root.clear()
+    yield roots()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """edges(a, b) -> node, component (its smallest node), by alternating star contractions."""
-    now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
+    """edges(a, b) -> node, component (its smallest node).
+
+    Tasks contract their own edges, then stars are contracted in turns.  The joins
+    shuffle, so that a hub's rows can be split and no round broadcasts.
+    """
+    own = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    now = materialise(own.mapInArrow(_forest_task, "u long, v long").distinct(), "stars")
 
     def state(frame: DataFrame) -> tuple:
         return tuple(frame.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
     was, is_ = None, state(now)
     while was != is_:
-        # a hub may have a third of all rows, so hubs are joined by broadcast
-        count, total = F.count(F.lit(1)).alias("n"), is_[0]
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), count).select("u", F.least("u", "m").alias("m"), "n")
-        large = join_hot(both, least, ["u"], total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), count)
-        small = join_hot(large, low, ["u"], total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         now = materialise(small.distinct(), "stars")
         was, is_ = is_, state(now)
     roots = now.select(F.col("v").alias("node")).distinct()
