@@ -31,7 +31,7 @@ def normalize_arabic(c: Column) -> Column:
 
 
 def _without_suffixes(c: Column) -> Column:
-    dotted, plain = "|".join(S.EN_SUFFIXES[: S.EN_SUFFIXES_DOTTED]), "|".join(S.EN_SUFFIXES[S.EN_SUFFIXES_DOTTED :])
+    dotted, plain = "|".join(S.EN_SUFFIXES_WITH_DOT), "|".join(S.EN_SUFFIXES)
     return F.regexp_replace(F.lower(text(c)), rf"(?U)\b(?:(?:{dotted})\.?|{plain})\b", "")
 
 

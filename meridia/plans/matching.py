@@ -31,7 +31,7 @@ def _squeeze(c: str) -> str:
 
 
 def _no_suffix(c: str) -> str:
-    dotted, plain = "|".join(S.EN_SUFFIXES[: S.EN_SUFFIXES_DOTTED]), "|".join(S.EN_SUFFIXES[S.EN_SUFFIXES_DOTTED :])
+    dotted, plain = "|".join(S.EN_SUFFIXES_WITH_DOT), "|".join(S.EN_SUFFIXES)
     return f"regexp_replace(lower({_trim(c)}), '\\b(?:(?:{dotted})\\.?|{plain})\\b', '', 'g')"
 
 
@@ -202,7 +202,21 @@ def reasons(poi):
     return R.match_pairs(poi).select("source_gid", "candidate_gid", F.array_join("match_reasons", ",").alias("reasons"))
 
 
-@query("er_groups", "poi")
+GROUPS = FULL + """,
+e AS MATERIALIZED (SELECT a_gid AS a, b_gid AS b, round(final, 1) AS final_score, CASE WHEN final >= 85 THEN 'MATCH' WHEN final >= 70 THEN 'POSSIBLE_MATCH' ELSE 'NO_MATCH' END AS match_status, dl, dm FROM s9 WHERE round(final, 1) >= 70),
+n AS MATERIALIZED (SELECT v, row_number() OVER (ORDER BY v) AS i FROM (SELECT a AS v FROM e UNION SELECT b FROM e)),
+l AS MATERIALIZED (SELECT n.i, list(m.i ORDER BY m.i) AS larger FROM e JOIN n ON n.v = e.a JOIN n m ON m.v = e.b GROUP BY n.i),
+r AS (
+    SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST([] AS BIGINT[]) AS took
+    UNION ALL
+    SELECT i, list_concat(used, t), t FROM (
+        SELECT r.i + 1 AS i, r.used, CASE WHEN l.i IS NULL OR list_contains(r.used, r.i + 1) THEN CAST([] AS BIGINT[]) ELSE list_filter(l.larger, lambda y: NOT list_contains(r.used, y)) END AS t
+        FROM r LEFT JOIN l ON l.i = r.i + 1 WHERE r.i < (SELECT count(*) FROM n))),
+g AS (SELECT i, unnest(took) AS j FROM r),
+grouped AS (SELECT a AS anchor, b AS member, row_number() OVER (PARTITION BY a ORDER BY dl, dm, b) AS place, final_score, match_status FROM g JOIN n ON n.i = g.i JOIN n m ON m.i = g.j JOIN e ON e.a = n.v AND e.b = m.v)"""
+
+
+@query("er_groups", "poi", sql=GROUPS + " SELECT anchor, member, CAST(place AS INTEGER) AS place, final_score, match_status FROM grouped")
 def groups(poi):
     return R.detect(poi).select("anchor", "member", "place", "final_score", "match_status")
 
@@ -216,3 +230,6 @@ def golden(poi):
 @query("fuzzy_indel", "poi")
 def indel(poi):
     return R.match_pairs(poi, metric="indel").select("source_gid", "candidate_gid", "name_score", "final_score", "match_status")
+
+# the scan of the greedy groups goes node by node
+ORACLES["er_groups"] = ORACLES["er_groups"].replace("WITH ", "WITH RECURSIVE ", 1)

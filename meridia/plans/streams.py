@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.exchange import audit_log
+from ..sources.shared import shared_folder
 from ..streaming import ingest, state
 
 SLICES = 4
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the place that driver and executors share; a temporary one only where they are one process."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="meridia-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def replay(rows: DataFrame, folder: str, ts: str = "ts", slices: int = SLICES) -> DataFrame:
     """A stream of ``rows``, in ``slices`` files of equal spans of time, one for each trigger."""
     ends = rows.agg(F.min(ts).alias("a"), F.max(ts).alias("b")).first()
@@ -50,7 +37,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of presence; every event stands for five beats, 15, 35, 55 or 75 seconds apart."""
-    path = shared_folder(spark)
+    path = shared_folder(spark, "stream")
     beats = _events(spark, sf_dir).select(
         F.col("user_id").cast("string").alias("user_id"), "event_id", "ts", F.col("event_type").alias("view"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")
     )
@@ -64,7 +51,7 @@ def presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What polls show: clicks and signups are updates to their user, views are polls, errors acknowledge all."""
-    path = shared_folder(spark)
+    path = shared_folder(spark, "stream")
     events = _events(spark, sf_dir).where(F.col("user_id").isNotNull()).select(F.col("user_id").cast("string").alias("consumer"), F.col("event_id").alias("row_id"), "ts", "event_type", F.lit(None).cast("array<long>").alias("ids"))
     rows = replay(events, f"{path}/in")
     kind = lambda *names: rows.where(F.col("event_type").isin(*names))
@@ -73,7 +60,7 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change log of 300 places that events write to; errors are flags, the others edits."""
-    path = shared_folder(spark)
+    path = shared_folder(spark, "stream")
     fields = F.create_map(F.lit("status"), F.col("event_type"), F.lit("level"), F.floor("value").cast("string"), F.lit("updated_at"), F.col("ts").cast("string"))
     flag = F.col("event_type") == "error"
     rows = _events(spark, sf_dir).select(
@@ -86,7 +73,7 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ingestion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of places after events by their users' shops; the even shops are known before."""
-    path = shared_folder(spark)
+    path = shared_folder(spark, "stream")
     user = F.col("user_id").cast("string")
     events = _events(spark, sf_dir).where("user_id is not null").select(
         "event_id", "ts",

@@ -205,9 +205,9 @@ def label_upsert(labels):
 def _streamed(spark: SparkSession, sf_dir: str, make) -> DataFrame:
     """Runs a stream over the events to its end in the shared folder and reads what it wrote."""
     from ..streaming import events as E
-    from .streams import shared_folder
+    from ..sources.shared import shared_folder
 
-    path = shared_folder(spark)
+    path = shared_folder(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     made = make(E.read_events(spark, sf_dir, schema, glob="events.parquet"))
     E.run_to_end(made, f"{path}/out", f"{path}/state", "update")

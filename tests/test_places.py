@@ -8,6 +8,7 @@ from meridia.functions import geo
 from meridia.functions import text as X
 from meridia.functions.values import is_blank, number
 from meridia.operators import analytics as A
+from meridia.operators import graph as G
 from meridia.operators import lifecycle as L
 from meridia.operators import resolve as R
 from meridia.operators import rules as V
@@ -73,10 +74,41 @@ def greedy(edges):
 def test_greedy_groups_match_the_scan(spark, seed):
     rng = random.Random(seed)
     edges = {tuple(sorted(rng.sample(range(25), 2))) for _ in range(40)}
-    got = {(r.anchor, r.member) for r in R.greedy_groups(spark.createDataFrame(sorted(edges), "a int, b int")).collect()}
+    got = {(r.anchor, r.member) for r in G.greedy_groups(spark.createDataFrame(sorted(edges), "a int, b int")).collect()}
     assert got == greedy(edges)
 
 
+def test_greedy_groups_of_giants_and_of_none(spark):
+    """Components too large for a task are settled in rounds, with the same groups; null ends are left out."""
+    rng = random.Random(9)
+    edges = {tuple(sorted(rng.sample(range(30), 2))) for _ in range(45)} | {(100 + i, 101 + i) for i in range(60)}
+    frame = spark.createDataFrame([*sorted(edges), (None, 3), (3, None)], "a int, b int")
+    for whole in (5, 1000):
+        assert {(r.anchor, r.member) for r in G.greedy_groups(frame, whole=whole).collect()} == greedy(edges)
+    assert G.greedy_groups(frame.where("false")).count() == 0
+
+
+def test_components_are_those_of_a_walk(spark):
+    rng = random.Random(10)
+    edges = [tuple(rng.sample(range(200), 2)) for _ in range(120)] + [(500 + i, 501 + i) for i in range(80)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.component for r in G.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    assert got == root
+
+
+def test_crowded_cells_are_dealt_out(spark):
+    """The pairs of a crowded cell are the same in parts, and no part has all of them."""
+    rng = random.Random(11)
+    rows = [(f"p{i:03}", 24.7 + rng.random() / 900, 46.7 + rng.random() / 900, "x") for i in range(150)] + [("q", -0.0002, 0.0003, "y"), ("r", 0.0002, -0.0003, "z")]
+    places = spark.createDataFrame(rows, "pos string, lat double, lon double, name string")
+    pick = lambda df: sorted((r.a_pos, r.b_pos, r.dl, r.dm, r.a_name, r.b_name, round(r.distance_m, 6)) for r in df.collect())
+    whole = pick(geo.near_pairs(places, 100.0))
+    assert whole == pick(geo.near_pairs(places, 100.0, crowd=20)) and len(whole) > 1000 and any(w[:2] == ("q", "r") for w in whole)
+
+
 def test_validation_of_odd_rows(spark):
     rows = [("1", None, None, None, None, None), ("2", "مكان اختبار", "Test Place", "Restaurants", "24.7", "46.6"), ("3", "x", "", "", "abc", "0")]
     poi = spark.createDataFrame(rows, "GlobalID string, Name_AR string, Name_EN string, Category string, Latitude string, Longitude string")
