@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as X
 from ..functions.values import any_of, is_blank, number, text
+from ..sources.shared import written
 
 HOURS = r"\d{1,2}:\d{2}\s*[-–]\s*\d{1,2}:\d{2}"
 
@@ -106,6 +107,10 @@ def catalogue() -> list[Rule]:
 
 def corrections(pois: DataFrame) -> DataFrame:
     """The table after all corrections: rules' fixes first, then placeholders, then repeated media."""
+    return _media_corrected(_corrected(pois))
+
+
+def _corrected(pois: DataFrame) -> DataFrame:
     by = {(r.id, r.field): r.fires for r in catalogue()}
     no, never = F.lit("UNAVAILABLE"), F.lit("UNAPPLICABLE")
     fix: dict[str, Column] = {}
@@ -126,7 +131,11 @@ def corrections(pois: DataFrame) -> DataFrame:
         fix[f] = F.coalesce(fix[f], valid) if f in fix else valid
     first = pois.withColumns(fix)
     second = first.withColumns({f: F.when(F.lower(v(f)).isin(*S.SENTINELS_VALIDATION), no).otherwise(F.col(f)) for f in S.SENTINEL_FIELDS})
-    return second.withColumns({f: F.when(repeated_media(f), no).otherwise(F.col(f)) for f in S.MEDIA_FIELDS[1:]})
+    return second
+
+
+def _media_corrected(pois: DataFrame) -> DataFrame:
+    return pois.withColumns({f: F.when(repeated_media(f), F.lit("UNAVAILABLE")).otherwise(F.col(f)) for f in S.MEDIA_FIELDS[1:]})
 
 
 def repeated_media(field: str) -> Column:
@@ -137,9 +146,25 @@ def repeated_media(field: str) -> Column:
 
 def local_findings(pois: DataFrame, prefix: str = "GATE-", key: str = "GlobalID") -> DataFrame:
     """Findings of the row-local rules whose id starts with the prefix."""
-    rules = [r for r in catalogue() if r.id.startswith(prefix)]
-    found = F.array_compact(F.array(*(F.when(r.fires, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.field).alias("field"))) for r in rules)))
-    return with_fields(pois).select(F.col(key), F.inline(found))
+    return with_fields(pois).select(F.col(key), F.inline(_found(prefix)))
+
+
+def _finding(rule: str, severity: str, field: str) -> Column:
+    return F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(field).alias("field"))
+
+
+def _found(prefix: str) -> Column:
+    return F.array_compact(F.array(*(F.when(r.fires, _finding(r.id, r.severity, r.field)) for r in catalogue() if r.id.startswith(prefix))))
+
+
+def _placeholders_found() -> Column:
+    return F.array_compact(F.array(*(F.when(F.lower(v(f)).isin(*S.SENTINELS_VALIDATION), F.lit(f)) for f in S.SENTINEL_FIELDS)))
+
+
+def _media_found() -> Column:
+    """Media fields, of a corrected row that keeps its first values in ``_was``, whose URL an earlier one holds."""
+    hit = lambda f: (F.col(f"_was.{f}") != "UNAVAILABLE") & (v(f) == "UNAVAILABLE") & _media_repeated_before(f)
+    return F.array_compact(F.array(*(F.when(hit(f), F.lit(f)) for f in S.MEDIA_FIELDS[1:])))
 
 
 def _late(rows: DataFrame, key: str, rule: str, fields: Column) -> DataFrame:
@@ -148,14 +173,13 @@ def _late(rows: DataFrame, key: str, rule: str, fields: Column) -> DataFrame:
 
 def placeholder_findings(pois: DataFrame, key: str = "GlobalID") -> DataFrame:
     """Placeholders in text fields; no earlier correction makes or removes one."""
-    return _late(with_fields(pois), key, "GATE-SV1", F.array_compact(F.array(*(F.when(F.lower(v(f)).isin(*S.SENTINELS_VALIDATION), F.lit(f)) for f in S.SENTINEL_FIELDS))))
+    return _late(with_fields(pois), key, "GATE-SV1", _placeholders_found())
 
 
 def media_findings(pois: DataFrame, key: str = "GlobalID") -> DataFrame:
     """URLs that an earlier media field holds, judged on corrected values."""
     judged = corrections(with_fields(pois).withColumn("_was", F.struct(*(F.col(f) for f in S.MEDIA_FIELDS))))
-    hit = lambda f: (F.col(f"_was.{f}") != "UNAVAILABLE") & (v(f) == "UNAVAILABLE") & _media_repeated_before(f)
-    return _late(judged, key, "GATE-DUP", F.array_compact(F.array(*(F.when(hit(f), F.lit(f)) for f in S.MEDIA_FIELDS[1:]))))
+    return _late(judged, key, "GATE-DUP", _media_found())
 
 
 def findings(pois: DataFrame, key: str = "GlobalID") -> DataFrame:
@@ -200,6 +224,75 @@ def table_status(pois: DataFrame, key: str = "GlobalID") -> DataFrame:
     return status(pois, key).join(shared, key, "left").select(key, "status", "blockers", (F.col("warnings") + F.coalesce("shared", F.lit(0))).alias("warnings"))
 
 
+@dataclass(frozen=True)
+class Validated:
+    """What a pass over a table found; everything is read from what that pass wrote.
+
+    ``rows``: key, was and now (the row before and after corrections), findings
+    (rule_id, severity, field), blockers, warnings, fixes (the fields that change).
+    ``totals``: total, with_issues, blockers, warnings, fixable, flagged.
+    """
+
+    rows: DataFrame
+    totals: dict[str, int]
+    key: str
+
+    def findings(self) -> DataFrame:
+        return self.rows.select(self.key, F.inline("findings"))
+
+    def issues(self, most: int = 500) -> DataFrame:
+        """The first places by key that have findings, with their status and numbers."""
+        status = F.when(F.col("blockers") > 0, "FAIL_BLOCKER").otherwise("PASS_WITH_WARNINGS")
+        rows = self.rows.where((F.col("blockers") > 0) | (F.col("warnings") > 0))
+        # as the original: what other places do leaves the status as it is
+        alone = F.when((F.col("blockers") == 0) & ~F.exists("findings", lambda f: f["rule_id"] != "CROSS-M3"), "PASS").otherwise(status)
+        return rows.select(self.key, F.coalesce("was.Name_EN", F.lit("")).alias("Name_EN"), alone.alias("status"), "blockers", "warnings", F.size("fixes").cast("long").alias("fixes_available")).orderBy(self.key).limit(most)
+
+    def table(self, apply_fixes: bool = False, flag_violations: bool = False) -> DataFrame:
+        """The table after what was asked for: corrected values, and flags with a reason for places with blockers."""
+        names = [c for c in self.rows.schema["was"].dataType.names if not c.startswith("_absent_")]
+        chosen = {c: F.col(f"{'now' if apply_fixes else 'was'}.{c}") for c in names}
+        if flag_violations:
+            ids = F.transform(F.filter("findings", lambda f: f["severity"] == "blocker"), lambda f: f["rule_id"])
+            reason = F.substring(F.concat(F.lit("Auto-validation: "), F.col("blockers").cast("string"), F.lit(" blocker(s) - "), F.array_join(F.slice(ids, 1, 3), "; ")), 1, 200)
+            hit = F.col("blockers") > 0
+            chosen["flagged"] = F.when(hit, F.lit(True)).otherwise(chosen.get("flagged", F.lit(None).cast("boolean")))
+            chosen["flag_reason"] = F.when(hit, reason).otherwise(chosen.get("flag_reason", F.lit(None).cast("string")))
+        return self.rows.select(*(c.alias(n) for n, c in chosen.items()))
+
+
+def validate_table(pois: DataFrame, key: str = "GlobalID") -> Validated:
+    """All rules over a table that is scanned once: row by row, then what corrections repeat, then media that places share.
+
+    Null and empty values are judged by the rules; an empty table has totals of 0;
+    rows that repeat a key are judged each, and shared media are those of other keys.
+    """
+    names = pois.columns
+    rows = with_fields(pois)
+    was = F.struct(*(F.col(c) for c in names), *(F.col(c).alias(f"_absent_{c}") for c in S.MEDIA_FIELDS if c not in names))
+    full = rows.withColumn("_was", F.struct(*(F.col(c) for c in S.MEDIA_FIELDS)))
+    sentinel = F.transform(_placeholders_found(), lambda f: F.struct(F.lit("GATE-SV1").alias("rule_id"), F.lit("warning").alias("severity"), f.alias("field")))
+    local = written(_corrected(full.withColumns({"_row": was, "_found": F.concat(_found("GATE-"), sentinel)})), "validated")
+    late = _media_corrected(local).withColumn("_late", F.transform(_media_found(), lambda f: F.struct(F.lit("GATE-DUP").alias("rule_id"), F.lit("warning").alias("severity"), f.alias("field"))))
+    owned = local.select(F.col(key), F.col("_row.Name_EN").alias("Name_EN") if "Name_EN" in names else F.lit("").alias("Name_EN"), *(F.col(f"_was.{f}").alias(f) for f in OWN_MEDIA))
+    shared = shared_media(owned, key=key).select(key, F.struct(F.lit("CROSS-M3").alias("rule_id"), F.lit("warning").alias("severity"), "field").alias("f")).groupBy(key).agg(F.array_sort(F.collect_list("f")).alias("_shared"))
+    none = F.array().cast("array<struct<rule_id:string,severity:string,field:string>>")
+    found = late.join(shared, key, "left").select(
+        key, F.col("_row").alias("was"), F.struct(*(F.col(c) for c in names)).alias("now"), F.concat("_found", "_late", F.coalesce("_shared", none)).alias("findings"),
+    )
+    count = lambda severity: F.size(F.filter("findings", lambda f: f["severity"] == severity)).cast("long")
+    differs = F.array_compact(F.array(*(F.when(~F.col(f"was.{c}").eqNullSafe(F.col(f"now.{c}")) & F.col(f"now.{c}").isNotNull(), F.lit(c)) for c in names)))
+    judged = found.withColumns({"blockers": count("blocker"), "warnings": count("warning"), "fixes": differs})
+    seen = Observation()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    has = lambda c: total(c.cast("int"))
+    judged = judged.observe(
+        seen, F.count(F.lit(1)).alias("total"), has((F.col("blockers") > 0) | (F.col("warnings") > 0)).alias("with_issues"), total(F.col("blockers")).alias("blockers"),
+        total(F.col("warnings")).alias("warnings"), has(F.size("fixes") > 0).alias("fixable"), has(F.col("blockers") > 0).alias("flagged"),
+    )
+    return Validated(written(judged, "validated"), seen.get, key)
+
+
 def approval_blockers(pois: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """GlobalID, reasons: why a place can't be approved; counts (GlobalID, blockers), as :func:`status` gives them, add theirs."""
     if counts is not None:

@@ -112,21 +112,47 @@ def placeholders(poi):
     return V.placeholder_findings(poi).select("GlobalID", "field")
 
 
-@query("val_dup", "poi")
+_MEDIA = ["Exterior_Photo_URL", "Interior_Photo_URL", "Menu_Photo_URL", "Video_URL", "License_Photo_URL"]
+_FIXED = {
+    "Interior_Photo_URL": f"CASE WHEN {_v('Exterior_Photo_URL')} <> '' AND {_v('Exterior_Photo_URL')} = {_v('Interior_Photo_URL')} THEN 'UNAVAILABLE' ELSE Interior_Photo_URL END",
+    "Menu_Photo_URL": f"CASE WHEN NOT {FOOD} AND {_v('Menu_Photo_URL')} <> 'UNAVAILABLE' THEN 'UNAPPLICABLE' ELSE Menu_Photo_URL END",
+    "Video_URL": f"CASE WHEN {_GIVEN('Video_URL')} AND {_v('Video_URL')} <> 'UNAPPLICABLE' AND NOT regexp_matches({_v('Video_URL')}, '(?i)\\.(mp4|mov)$') AND NOT regexp_matches({_v('Video_URL')}, 'youtube|youtu\\.be') THEN 'UNAVAILABLE' ELSE Video_URL END",
+}
+_AGAIN = lambda i: f"(trim(coalesce(m{i}, '')) NOT IN ('', 'UNAVAILABLE', 'UNAPPLICABLE') AND (" + " OR ".join(f"trim(coalesce(m{j}, '')) = trim(coalesce(m{i}, ''))" for j in range(i)) + "))"
+_DUP_HIT = lambda i: f"trim(coalesce({_MEDIA[i]}, '')) NOT IN ('', 'UNAVAILABLE', 'UNAPPLICABLE') AND trim(coalesce(n{i}, '')) = 'UNAVAILABLE' AND (" + " OR ".join(f"trim(coalesce(n{j}, '')) = trim(coalesce({_MEDIA[i]}, ''))" for j in range(i)) + ")"
+SQL_DUP = f"""
+, m0 AS (SELECT *, {', '.join(f"{_FIXED.get(f, f)} AS m{i}" for i, f in enumerate(_MEDIA))} FROM poi),
+m1 AS (SELECT *, m0 AS n0, {', '.join(f"CASE WHEN {_AGAIN(i)} THEN 'UNAVAILABLE' ELSE m{i} END AS n{i}" for i in range(1, 5))} FROM m0),
+dup AS ({" UNION ALL ".join(f"SELECT GlobalID, '{_MEDIA[i]}' AS field FROM m1 WHERE {_DUP_HIT(i)}" for i in range(1, 5))})"""
+SQL_SENTINEL = " UNION ALL ".join(f"SELECT GlobalID FROM poi WHERE lower({_trim(f)}) IN ({_list(S.SENTINELS_VALIDATION)})" for f in S.SENTINEL_FIELDS if f in HAVE)
+# media that other places use, each use of a place one warning
+SQL_FOUND = SQL_DUP + f""",
+u AS ({" UNION ALL ".join(f"SELECT GlobalID, trim({f}) AS url FROM poi WHERE trim({f}) LIKE 'http%'" for f in ("Exterior_Photo_URL", "Interior_Photo_URL", "Video_URL"))}),
+w AS (SELECT url FROM u GROUP BY url HAVING count(DISTINCT GlobalID) > 1),
+f AS (SELECT GlobalID, severity, FALSE AS cross_place FROM ({_sql_of(*"ABCDEFGHIJKL")}) UNION ALL SELECT GlobalID, 'warning', FALSE FROM ({SQL_SENTINEL}) UNION ALL SELECT GlobalID, 'warning', FALSE FROM dup UNION ALL SELECT GlobalID, 'warning', TRUE FROM u SEMI JOIN w USING (url)),
+c AS (SELECT GlobalID, count(*) FILTER (severity = 'blocker') AS blockers, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'warning' AND NOT cross_place) AS own FROM f GROUP BY GlobalID),
+s AS (SELECT GlobalID, coalesce(blockers, 0) AS blockers, coalesce(warnings, 0) AS warnings, coalesce(own, 0) AS own FROM poi LEFT JOIN c USING (GlobalID))"""
+
+
+@query("val_dup", "poi", sql=SQL_DUP + " SELECT GlobalID, field FROM dup")
 def repeated_media(poi):
     return V.media_findings(poi).select("GlobalID", "field")
 
 
-@query("val_status", "poi")
+@query("val_status", "poi", sql=SQL_FOUND + " SELECT GlobalID, blockers, own AS warnings, CASE WHEN blockers > 0 THEN 'FAIL_BLOCKER' WHEN own > 0 THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END AS status FROM s")
 def statuses(poi):
     return V.status(poi)
 
 
-@query("val_16", "poi")
+@query("val_16", "poi", sql=SQL_FOUND + " SELECT count(*) AS total, count(*) FILTER (blockers + warnings > 0) AS with_issues, CAST(sum(blockers) AS BIGINT) AS blockers, CAST(sum(warnings) AS BIGINT) AS warnings, count(*) FILTER (blockers > 0) AS flagged FROM s")
 def validate_all(poi):
-    s = V.table_status(poi)
-    issue = (F.col("blockers") > 0) | (F.col("warnings") > 0)
-    return s.agg(A.long(F.count("*"), "total"), A.long(F.count_if(issue), "with_issues"), A.long(F.sum("blockers"), "blockers"), A.long(F.sum("warnings"), "warnings"), A.long(F.count_if(F.col("blockers") > 0), "flagged"))
+    done = V.validate_table(poi)
+    return poi.sparkSession.createDataFrame([{k: done.totals[k] for k in ("total", "with_issues", "blockers", "warnings", "flagged")}], "total long, with_issues long, blockers long, warnings long, flagged long")
+
+
+@query("val_16_issues", "poi", sql=SQL_FOUND + " SELECT GlobalID, blockers, warnings, CASE WHEN blockers > 0 THEN 'FAIL_BLOCKER' WHEN own > 0 THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END AS status FROM s WHERE blockers + warnings > 0 ORDER BY GlobalID LIMIT 500")
+def issue_list(poi):
+    return V.validate_table(poi).issues().select("GlobalID", "blockers", "warnings", "status")
 
 
 _TITLE = "array_to_string(list_transform(string_split({c}, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')"
@@ -143,6 +169,20 @@ def corrected(poi):
     return V.corrections(V.with_fields(poi)).select("GlobalID", "Name_EN", "Legal_Name", "Company_Status", "Floor_Number", "Google_Map_URL", "Website", "Dine_In", "WiFi")
 
 
+_BLOCKED = SQL_FOUND + f""",
+o AS (SELECT GlobalID, rule_id, row_number() OVER (PARTITION BY GlobalID ORDER BY array_position([{", ".join(f"'{r}'" for r in ("GATE-A1", "GATE-A3", "GATE-B1", "GATE-B3", "GATE-A6", "GATE-D1", "GATE-D2", "GATE-D3", "GATE-E1", "GATE-G1", "GATE-G2", "GATE-G3", "GATE-J1"))}], rule_id)) AS pos FROM ({_sql_of(*"ABCDEFGHIJKL")}) WHERE severity = 'blocker'),
+t AS (SELECT GlobalID, string_agg(rule_id, '; ' ORDER BY pos) FILTER (pos <= 3) AS ids FROM o GROUP BY GlobalID),
+flags AS (SELECT GlobalID, CASE WHEN blockers > 0 THEN TRUE ELSE flagged END AS flagged, CASE WHEN blockers > 0 THEN 'Auto-validation: ' || blockers || ' blocker(s) - ' || ids END AS flag_reason FROM poi JOIN s USING (GlobalID) LEFT JOIN t USING (GlobalID)),
+fixed AS ({ORACLES["val_fix"][ORACLES["val_fix"].index("SELECT GlobalID, CASE WHEN lower("):]})"""
+
+
+@query("val_16_table", "poi", sql=_BLOCKED + " SELECT fixed.*, n1 AS Interior_Photo_URL, n2 AS Menu_Photo_URL, n3 AS Video_URL, flags.flagged, flag_reason FROM fixed JOIN flags USING (GlobalID) JOIN m1 USING (GlobalID)")
+def applied(poi):
+    """The table after fixes and flags."""
+    names = ("GlobalID", "Name_EN", "Legal_Name", "Company_Status", "Floor_Number", "Google_Map_URL", "Website", "Dine_In", "WiFi", "Interior_Photo_URL", "Menu_Photo_URL", "Video_URL", "flagged", "flag_reason")
+    return V.validate_table(poi).table(apply_fixes=True, flag_violations=True).select(*names)
+
+
 @query("str_20", "poi", sql=f"SELECT GlobalID, CASE lower({_trim('WiFi')}) WHEN 'yes' THEN 'Yes' WHEN 'no' THEN 'No' ELSE WiFi END AS wifi, CASE lower({_trim('Dine_In')}) WHEN 'y' THEN 'Yes' WHEN 'yes' THEN 'Yes' ELSE Dine_In END AS dine_in FROM poi")
 def word_booleans(poi):
     return poi.select("GlobalID", X.yes_no(F.col("WiFi")).alias("wifi"), X.yes_no(F.col("Dine_In")).alias("dine_in"))

@@ -163,3 +163,32 @@ def test_csv_round_trip(spark, tmp_path):
     assert rows["1"].Phone == "966501234567" and rows["1"].Note == 'a "quoted", line\nbreak' and rows["2"].Phone is None
     sinks.export_csv(df.withColumnRenamed("Note", "Name_EN"), str(tmp_path / "out"), single_file=True)
     assert spark.read.csv(str(tmp_path / "out"), header=True, multiLine=True, escape='"').count() == 2
+
+
+def test_whole_table_validation_in_one_pass(spark):
+    """Totals, issues, fixes and flags agree with the findings taken one by one; missing columns, repeated keys and no rows."""
+    rows = [
+        ("1", "مكان اختبار", "Test Place", "Restaurants", "24.7", "46.6", "http://a/x.jpg", "http://a/x.jpg", "http://a/m.jpg", "http://a/v.avi", "Closed", False),
+        ("2", "مكان", "SHOUTING NAME", "Corporate", "24.7", "46.6", "http://a/x.jpg", "http://a/i.jpg", "http://a/m.jpg", "", "Open", None),
+        ("3", None, "n/a", "", "abc", "0", "", None, "UNAVAILABLE", "UNAVAILABLE", "Open", True),
+        ("3", "مكان", "Third", "Banks", "24.7", "46.6", "http://b/e.jpg", "http://b/i.jpg", "UNAPPLICABLE", "http://b/i.jpg", "Open", True),
+    ]
+    poi = spark.createDataFrame(rows, "GlobalID string, Name_AR string, Name_EN string, Category string, Latitude string, Longitude string, Exterior_Photo_URL string, Interior_Photo_URL string, Menu_Photo_URL string, Video_URL string, Company_Status string, flagged boolean")
+    done = V.validate_table(poi)
+    key = lambda r: (r.GlobalID, r.rule_id, r.severity, r.field)
+    one_by_one = sorted(map(key, V.findings(poi).collect()))
+    both = sorted(map(key, done.findings().collect()))
+    assert sorted(f for f in both if f[1] != "CROSS-M3") == one_by_one
+    assert sorted(f[0] for f in both if f[1] == "CROSS-M3") == ["1", "1", "2"]
+    assert done.totals == {
+        "total": 4, "with_issues": 4, "blockers": sum(f[2] == "blocker" for f in both), "warnings": sum(f[2] == "warning" for f in both), "fixable": 4, "flagged": done.rows.where("blockers > 0").count(),
+    }
+    assert done.issues(2).count() == 2 and done.issues().where("status = 'FAIL_BLOCKER'").count() == done.totals["flagged"]
+    kept = done.table()
+    assert kept.columns == poi.columns and kept.exceptAll(poi).count() == 0 and kept.count() == 4
+    fixed = {(r.GlobalID, r.Name_EN): r for r in done.table(apply_fixes=True, flag_violations=True).collect()}
+    assert fixed["1", "Test Place"].Company_Status == "Permanently Closed" and fixed["1", "Test Place"].Interior_Photo_URL == "UNAVAILABLE"
+    assert fixed["2", "Shouting Name"].Menu_Photo_URL == "UNAPPLICABLE" and fixed["3", "UNAVAILABLE"].flag_reason.startswith("Auto-validation: ")
+    assert fixed["3", "Third"].Video_URL == "UNAVAILABLE"
+    none = V.validate_table(poi.where("false"))
+    assert none.totals == dict.fromkeys(none.totals, 0) and none.table(True, True).count() == 0
