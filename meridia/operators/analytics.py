@@ -152,3 +152,41 @@ def timeline(audit: DataFrame, gap: str = "2 seconds", most: int = 200) -> DataF
         return F.when((F.size(events) > 0) & same, F.concat(F.slice(events, 1, F.greatest(F.size(events) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(events, F.array(fresh)))
 
     return rows.select("global_id", F.posexplode(F.aggregate("items", F.array().cast(kind), add)).alias("event", "e")).select("global_id", "event", "e.action", "e.reviewer", "e.at", "e.rows")
+
+
+def draft_statistics(drafts: DataFrame, most: int = 30) -> DataFrame:
+    """grouping, name, n: drafts in all, by status, by verdict, pending ones by category (the ``most`` largest) and by their checks.
+
+    One scan: the groupings are sets of one aggregation.  Blank categories are
+    "(empty)"; ties go by name.
+    """
+    pending = F.coalesce(F.col("Draft_Status") == "pending", F.lit(False))
+    checks = F.when(F.col("QA_Blockers") == 0, "qa_pass").when(F.col("QA_Blockers") > 0, "qa_fail")
+    rows = drafts.select(
+        F.col("Draft_Status").alias("by_status"), F.col("Dup_Verdict").alias("by_verdict"), pending.alias("pending"),
+        F.when(pending, F.coalesce(F.nullif("Category", F.lit("")), F.lit("(empty)"))).alias("by_category"), F.when(pending, checks).alias("by_check"),
+    )
+    names = ["by_status", "by_verdict", "by_category", "by_check"]
+    cells = rows.groupingSets([[F.col(c)] for c in names] + [[]], *names).agg(F.grouping_id(*names).alias("set"), F.count(F.lit(1)).alias("n"))
+    # the bit of a grouping is 0 where its column counts; with all four set, everything is counted
+    bit = {c: 15 - (8 >> i) for i, c in enumerate(names)}
+    grouping, name = F.lit("total"), F.lit(None).cast("string")
+    for c in names:
+        grouping, name = F.when(F.col("set") == bit[c], c).otherwise(grouping), F.when(F.col("set") == bit[c], F.col(c)).otherwise(name)
+    found = cells.select(grouping.alias("grouping"), name.alias("name"), "n").where("grouping not in ('by_category', 'by_check') or name is not null")
+    place = F.row_number().over(Window.partitionBy("grouping").orderBy(F.desc("n"), "name"))
+    return found.withColumn("place", place).where((F.col("grouping") != "by_category") | (F.col("place") <= most)).drop("place")
+
+
+def page_with_total(rows: DataFrame, order: list[Column], number_: int = 0, size: int = 50, most: int = 500) -> DataFrame:
+    """A page of the rows, each with ``total``, the number of all of them."""
+    total = rows.agg(F.count(F.lit(1)).alias("total"))  # one row
+    return page(rows, order, number_, size, most).crossJoin(F.broadcast(total))
+
+
+def score_distribution(scores: Column, bins: list[tuple[float, float]]) -> list[Column]:
+    """Aggregates of a score: least, greatest, mean (of one digit) and the number in each bin, its upper end excluded."""
+    return [
+        F.min(scores).alias("least"), F.max(scores).alias("greatest"), F.round(F.avg(scores), 1).alias("mean"),
+        *(F.count_if((scores >= low) & (scores < high)).alias(f"from_{low}_to_{high}") for low, high in bins),
+    ]

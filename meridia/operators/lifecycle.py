@@ -153,3 +153,51 @@ def confirm_drafts(drafts: DataFrame, pois: DataFrame, force: bool = False) -> t
         refused = pending.join(names, pending.Name_EN == names._name, "left_semi")
     ready = good.withColumn("Review_Status", F.lit("Draft")).withColumn("draft_reason", F.lit("imported")).withColumn("review_version", F.lit(0))
     return aligned(ready, pois), refused
+
+
+def reset_versions(pois: DataFrame, version: int = 1) -> DataFrame:
+    """Every place at one version."""
+    return pois.withColumn("review_version", F.lit(version).cast(pois.schema["review_version"].dataType))
+
+
+def _outcome(pois: DataFrame, ids: DataFrame, action: str, sets: dict[str, Column], was: Column, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(table, audit rows as :func:`exchange.audit_log` takes them, refused ids) of an action on some places.
+
+    ``was`` tells, for a place, why it is refused, or null.  Ids without a place are refused too.
+    """
+    asked = ids.select(key, "reviewer", "reason").groupBy(key).agg(F.min(F.struct("reviewer", "reason")).alias("ask"))
+    known = asked.join(pois, key, "left").select(asked[key], "ask", was.alias("refused"), *(F.col(c) for c in pois.columns if c != key))
+    missing = asked.join(pois.select(key), key, "left_anti").select(key, F.lit("not found").alias("refused"))
+    refused = known.join(missing.select(key), key, "left_anti").where("refused is not null").select(key, "refused").unionByName(missing)
+    good = known.join(refused.select(key), key, "left_anti")
+    # truth values are logged as True and False
+    text = lambda c, name: F.coalesce(F.initcap(c.cast("string")) if pois.schema[name].dataType.simpleString() == "boolean" else c.cast("string"), F.lit(""))
+    old = [x for name in sets for x in (F.lit(name), text(F.col(name), name))]
+    new = [x for name, value in sets.items() for x in (F.lit(name), text(value, name))]
+    title = F.coalesce(F.nullif("Name_EN", F.lit("")), "Name_AR", F.lit(""))
+    changes = good.select(key, title.alias("name"), F.col("ask.reviewer").alias("reviewer"), F.lit(action).alias("action"), F.col("ask.reason").alias("reason"), F.create_map(*old).alias("old"), F.create_map(*new).alias("new"))
+    fresh = good.select(key, *(sets.get(c, F.col(c)).alias(c) for c in pois.columns if c != key))
+    table = pois.join(good.select(key), key, "left_anti").unionByName(fresh.select(*pois.columns))
+    return table, changes, refused
+
+
+def reject_places(pois: DataFrame, ids: DataFrame, key: str = "GlobalID") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(table, changes for the audit log, refused) of rejections; ids: key, reviewer, reason.
+
+    Refused are places that are rejected already, ids without a reason and ids
+    without a place.  Rejection is final; any other status may be rejected.
+    """
+    why = F.when(F.coalesce("Review_Status", F.lit("")) == "Rejected", "already rejected").when(is_blank(F.col("ask.reason")), "a reason is required")
+    return _outcome(pois, ids, "reject", {"Review_Status": F.lit("Rejected"), "rejected_reason": F.col("ask.reason")}, why, key)
+
+
+def archive_places(pois: DataFrame, ids: DataFrame, key: str = "GlobalID") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As :func:`reject_places`, for the archive: from any status, with or without a reason."""
+    return _outcome(pois, ids, "archive", {"Review_Status": F.lit("Archived"), "archived_reason": F.coalesce("ask.reason", F.lit(""))}, F.lit(None).cast("string"), key)
+
+
+def flag_places(pois: DataFrame, ids: DataFrame, flagged: bool = True, key: str = "GlobalID") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As :func:`reject_places`, for the flag, which leaves the status as it is; flag_reason and Review_Flag are the reason, or '' without a flag."""
+    reason = F.coalesce("ask.reason", F.lit("")) if flagged else F.lit("")
+    sets = {"flagged": F.lit(flagged), "flag_reason": reason, "Review_Flag": reason}
+    return _outcome(pois, ids, "flag" if flagged else "unflag", sets, F.lit(None).cast("string"), key)

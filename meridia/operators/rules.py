@@ -224,6 +224,30 @@ def table_status(pois: DataFrame, key: str = "GlobalID") -> DataFrame:
     return status(pois, key).join(shared, key, "left").select(key, "status", "blockers", (F.col("warnings") + F.coalesce("shared", F.lit(0))).alias("warnings"))
 
 
+def taxonomy_findings(pois: DataFrame, taxonomy: DataFrame, key: str = "GlobalID") -> DataFrame:
+    """Findings against a table of valid category, subcategory and level3 (null where a level has none).
+
+    An unknown category; a subcategory that its category, if it has any, lacks; a
+    third level that its subcategory, if it has any, lacks.  Blank values, and
+    levels below an unknown one, are not judged.
+    """
+    pois = pois.withColumns({c: F.lit("") for c in ("Subcategory", "Category_Level_3") if c not in pois.columns})
+    given = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
+    subs = taxonomy.groupBy(F.col("category").alias("_cat")).agg(F.collect_set(F.when(given("subcategory"), F.col("subcategory"))).alias("_subs"))
+    thirds = taxonomy.where(given("subcategory")).groupBy(F.col("category").alias("_cat"), F.col("subcategory").alias("_sub")).agg(F.collect_set(F.when(given("level3"), F.col("level3"))).alias("_thirds"))
+    at = {"_cat": v("Category"), "_sub": v("Subcategory"), "_third": v("Category_Level_3")}
+    rows = pois.select(F.col(key), *(c.alias(n) for n, c in at.items())).join(subs, "_cat", "left").join(thirds, ["_cat", "_sub"], "left")
+    # each table has the rows of a taxonomy, whose places do not make it grow
+    many = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    known = F.col("_subs").isNotNull()
+    found = F.array_compact(F.array(
+        F.when((F.col("_cat") != "") & ~known, _finding("GATE-E4", "warning", "Category")),
+        F.when(known & (F.col("_sub") != "") & many("_subs") & ~F.array_contains("_subs", F.col("_sub")), _finding("GATE-E5", "warning", "Subcategory")),
+        F.when(known & (F.col("_sub") != "") & (F.col("_third") != "") & many("_thirds") & ~F.array_contains("_thirds", F.col("_third")), _finding("GATE-E6", "warning", "Category_Level_3")),
+    ))
+    return rows.select(key, F.inline(found))
+
+
 @dataclass(frozen=True)
 class Validated:
     """What a pass over a table found; everything is read from what that pass wrote.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exchanges, matching, reports, reviews, streams, validation
+from . import exchanges, matching, records, reports, reviews, streams, validation
 
-QUERIES: dict = {**reports.QUERIES, **matching.QUERIES, **validation.QUERIES, **reviews.QUERIES, **exchanges.QUERIES, **streams.QUERIES}
-ORACLES: dict = {**reports.ORACLES, **matching.ORACLES, **validation.ORACLES, **reviews.ORACLES, **exchanges.ORACLES, **streams.ORACLES}
+QUERIES: dict = {**reports.QUERIES, **matching.QUERIES, **validation.QUERIES, **reviews.QUERIES, **exchanges.QUERIES, **streams.QUERIES, **records.QUERIES}
+ORACLES: dict = {**reports.ORACLES, **matching.ORACLES, **validation.ORACLES, **reviews.ORACLES, **exchanges.ORACLES, **streams.ORACLES, **records.ORACLES}

@@ -188,16 +188,6 @@ def review_statistics(labels):
     return labels.agg(A.long(F.count("*"), "total"), A.long(F.count_if(F.col("quality") == 1), "matches"), A.long(F.count_if(F.col("quality") == 0), "others"), A.long(F.countDistinct("doc_id"), "pairs"))
 
 
-@query("agg_09", "part", sql="SELECT p_type AS name, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, name LIMIT 30")
-def pending_categories(part):
-    return A.top(part, "p_type", 30)
-
-
-@query("agg_10", "poi", sql="SELECT count(*) AS total FROM poi WHERE Review_Status = 'Draft'")
-def page_total(poi):
-    return A.select_places(poi, status="Draft").agg(A.long(F.count("*"), "total"))
-
-
 @query("agg_12", "poi", sql="SELECT regexp_replace(Commercial_License, '[^0-9]', '', 'g') AS value, count(*) AS n FROM poi WHERE length(regexp_replace(Commercial_License, '[^0-9]', '', 'g')) >= 8 GROUP BY 1 HAVING count(*) > 1")
 def licence_duplicates(poi):
     digits = poi.select(F.regexp_replace("Commercial_License", r"\D", "").alias("digits")).where(F.length("digits") >= 8)

@@ -201,13 +201,15 @@ def batch_phones(poi):
     return poi.select("GlobalID", value.alias("phone"), error.alias("error"))
 
 
-@query("val_13", "poi", sql=f"SELECT GlobalID, len(list_filter({_RANGES}, lambda r: {_MIN(3)} * 60 + {_MIN(4)} > 0 AND {_MIN(1)} * 60 + {_MIN(2)} > {_MIN(3)} * 60 + {_MIN(4)})) > 0 AS late FROM poi")
+_PARTS = f"list_filter(list_transform(regexp_split_to_array({_v('Working_Hours')}, '[;,]'), lambda x: regexp_extract(x, '\\d{{1,2}}:\\d{{2}}\\s*-\\s*\\d{{1,2}}:\\d{{2}}')), lambda x: x <> '')"
+
+
+@query("val_13", "poi", sql=f"SELECT GlobalID, len(list_filter({_PARTS}, lambda r: {_MIN(3)} * 60 + {_MIN(4)} > 0 AND {_MIN(1)} * 60 + {_MIN(2)} > {_MIN(3)} * 60 + {_MIN(4)})) > 0 AS late FROM poi")
 def batch_hours(poi):
-    hours = text(F.col("Working_Hours"))
-    at = lambda g: F.regexp_extract_all(hours, F.lit(r"(\d{1,2}):(\d{2})\s*-\s*(\d{1,2}):(\d{2})"), F.lit(g))
-    r = F.arrays_zip(at(1).alias("a"), at(2).alias("b"), at(3).alias("c"), at(4).alias("d"))
-    minutes = lambda h, m: h.cast("int") * 60 + m.cast("int")
-    late = F.exists(r, lambda x: (minutes(x["c"], x["d"]) > 0) & (minutes(x["a"], x["b"]) > minutes(x["c"], x["d"])))
+    """Some part of the hours, told apart by ; or , has a first range that opens after it closes; midnight is no end."""
+    at = lambda x, g: F.regexp_extract(x, r"(\d{1,2}):(\d{2})\s*-\s*(\d{1,2}):(\d{2})", g).try_cast("int")
+    minutes = lambda x, g: at(x, g) * 60 + at(x, g + 1)
+    late = F.exists(F.split(text(F.col("Working_Hours")), "[;,]"), lambda x: F.coalesce((minutes(x, 3) > 0) & (minutes(x, 1) > minutes(x, 3)), F.lit(False)))
     return poi.select("GlobalID", late.alias("late"))
 
 
