@@ -166,10 +166,10 @@ def _outcome(pois: DataFrame, ids: DataFrame, action: str, sets: dict[str, Colum
     ``was`` tells, for a place, why it is refused, or null.  Ids without a place are refused too.
     """
     asked = ids.select(key, "reviewer", "reason").groupBy(key).agg(F.min(F.struct("reviewer", "reason")).alias("ask"))
-    known = asked.join(pois, key, "left").select(asked[key], "ask", was.alias("refused"), *(F.col(c) for c in pois.columns if c != key))
+    known = asked.join(pois, key).withColumn("refused", was)
     missing = asked.join(pois.select(key), key, "left_anti").select(key, F.lit("not found").alias("refused"))
-    refused = known.join(missing.select(key), key, "left_anti").where("refused is not null").select(key, "refused").unionByName(missing)
-    good = known.join(refused.select(key), key, "left_anti")
+    refused = known.where("refused is not null").select(key, "refused").unionByName(missing)
+    good = known.where("refused is null")
     # truth values are logged as True and False
     text = lambda c, name: F.coalesce(F.initcap(c.cast("string")) if pois.schema[name].dataType.simpleString() == "boolean" else c.cast("string"), F.lit(""))
     old = [x for name in sets for x in (F.lit(name), text(F.col(name), name))]
