@@ -30,7 +30,7 @@ from .common import materialise
 
 #: Labelled documents that models are fitted on, at most.
 MAX_LABELLED = 20_000
-#: Words that the text view knows, and values of the metadata view.
+#: Words that the text view knows.  The metadata view knows every value that two labelled documents have.
 KNOWN = 512
 LONGEST_WORD = 40
 ROUNDS = 2
@@ -71,13 +71,18 @@ def tokens(row: Column, text_col: str, metadata: list[str]) -> dict[str, Column]
 
 
 def _telling(labelled: DataFrame, view: str, n: dict[float, int]) -> list[str]:
-    """The values whose share differs most between the classes, and all shape tokens; at most KNOWN and those of the shapes."""
+    """Of words the KNOWN whose share differs most between the classes, and all shape tokens; of metadata every value of two documents.
+
+    Both come from the bounded sample of labelled documents.
+    """
     n0, n1 = float(n[0.0]), float(n[1.0])
     each = labelled.select("label", F.explode(F.array_distinct(view)).alias("value")).groupBy("value").agg(F.sum(1 - F.col("label")).alias("c0"), F.sum("label").alias("c1"))
     p = (F.col("c0") + F.col("c1")) / (n0 + n1)
     z = F.abs(F.col("c1") / n1 - F.col("c0") / n0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1) + 1e-12)
-    scored = each.where(f"c0 + c1 >= 2 and not startswith(value, '\\n') and length(value) between 1 and {LONGEST_WORD}").select("value", z.alias("z"))
-    best = [r.value for r in scored.orderBy(F.desc("z"), "value").limit(KNOWN).collect()]
+    usual = f"not startswith(value, '\\n') and length(value) between 1 and {LONGEST_WORD}" if view == "text" else "true"
+    scored = each.where(f"c0 + c1 >= 2 and {usual}").select("value", z.alias("z"))
+    scored = scored.orderBy(F.desc("z"), "value")
+    best = [r.value for r in (scored.limit(KNOWN) if view == "text" else scored).collect()]
     return best + ([f"\n{s}={i}" for s in SHAPES for i in range(16)] if view == "text" else []) or ["\n"]
 
 

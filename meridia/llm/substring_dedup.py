@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Rolling, join_hot, materialise, mix64, split_hashes
@@ -150,6 +150,12 @@ def _removed(batch: pa.RecordBatch, with_text: bool) -> pa.RecordBatch:
     return pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], spans), pa.array(out[5], pa.string())], names=["doc_id", "tag", "n_removed", "kept_sha256", "spans", "kept"])
 
 
+def _tag_of(text: Column) -> Column:
+    """As :func:`_tag` of the words joined by one space."""
+    joined = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+", " ")
+    return F.conv(F.substring(F.sha2(joined, 256), 1, 16), 16, -10).cast("long")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, spans (word ranges), with kept text on request.
 
@@ -165,8 +171,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "rlz-blocks",
     ).withColumn("tag", F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long"))
     # whole-document factors first: all but the smallest of equal documents go, and need no further look
-    firsts = parsed.where((F.col("n_words") >= WINDOW) & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = materialise(parsed.select("doc_id", "digest").join(firsts, "digest").where("doc_id > first_id").select("doc_id", "digest").distinct(), "rlz-copies")
+    firsts = parsed.where((F.col("n_words") >= WINDOW) & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    copies = materialise(join_hot(parsed.select("doc_id", "digest"), materialise(firsts, "rlz-firsts"), ["digest"], parsed.count()).where("doc_id > first_id").select("doc_id", "digest").distinct(), "rlz-copies")
     blocks = materialise(
         parsed.where(F.col("doc_id").isNotNull() & (F.size("anchor") > 0))
         .join(copies, ["doc_id", "digest"], "left_anti")
@@ -182,15 +188,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = materialise(mixed.groupBy("anchor", "block").agg(F.min("doc_id").alias("own"), F.count("*").alias("n")), "rlz-known")
     judged = materialise(join_hot(mixed, known, ["anchor", "block"], total), "rlz-judged")
     factors = hits.where("same").select("doc_id", "tag", "first", "last").unionByName(judged.where("doc_id > own").select("doc_id", "tag", "first", "last"))
-    # borders: blocks that stand nowhere before as a whole; no more per document than it has words
-    borders = judged.where("doc_id = own").groupBy("doc_id").agg(F.collect_list(F.struct("tag", "anchor", "first", "last")).alias("blocks"))
+    # borders: blocks that stand nowhere before as a whole; no more per text of a document than it has words
+    own = texts.withColumn("tag", _tag_of(F.col("text").cast("string")))
+    borders = judged.where("doc_id = own").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("tag", "anchor", "first", "last")).alias("blocks"))
     windows = materialise(
-        texts.join(borders, "doc_id").select("doc_id", "text", "blocks").mapInArrow(_windows_task, "anchor long, window long, doc_id long, tag long, at int"), "rlz-windows"
+        own.join(borders, ["doc_id", "tag"]).select("doc_id", "text", "blocks").mapInArrow(_windows_task, "anchor long, window long, doc_id long, tag long, at int"), "rlz-windows"
     )
     seen = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("own"), F.max("doc_id").alias("other"), F.count("*").alias("n")).where("other > own").drop("other")
     found = join_hot(windows, materialise(seen, "rlz-seen"), ["anchor", "window"], windows.count()).where("doc_id > own").select("doc_id", "tag", F.col("at").alias("first"), F.col("at").alias("last"))
-    spans = factors.unionByName(found).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "first", "last")).alias("found"))
-    removed = texts.join(spans, "doc_id").select("doc_id", "text", "found").mapInArrow(
+    spans = factors.unionByName(found).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("tag", "first", "last")).alias("found"))
+    removed = own.join(spans, ["doc_id", "tag"]).select("doc_id", "text", "found").mapInArrow(
         _remove_task(with_text), "doc_id long, tag long, n_removed long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, kept string"
     )
     removed = (removed if with_text else removed.drop("kept")).dropDuplicates(["doc_id", "tag"])
