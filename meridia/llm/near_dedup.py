@@ -241,13 +241,18 @@ def _estimate_task(table: pa.Table) -> pa.Table:
     for index, probe, values in _blocks(table):
         sizes = np.array([len(values[i]) for i in index])
         for p, common in zip(probe, _common([values[i] for i in index], (values[p] for p in probe))):
-            # what the union's bottom shares, both sketches share
+            # what the union's bottom shares, both sketches share; a pair of rows that both stay tells nothing new
             near = np.flatnonzero((common >= LEAST / RETAINED * np.minimum(sizes, len(values[p]))) & (component[index] != component[p]))
-            if len(near):
-                union, shared = _in_union([values[i] for i in index[near]], values[p])
-                near = near[shared >= LEAST / RETAINED * union]
-                keep[index[near]] = True
-                keep[p] |= len(near) > 0
+            near = near[~keep[index[near]]] if keep[p] else near
+            # of the values in common no more can lie above the union's bottom than the union has values there
+            whole = sizes[near] + len(values[p]) - common[near]
+            sure = common[near] - np.maximum(whole - RETAINED, 0) >= LEAST / RETAINED * np.minimum(whole, RETAINED)
+            found, open_ = near[sure], near[~sure]
+            if len(open_):
+                union, shared = _in_union([values[i] for i in index[open_]], values[p])
+                found = np.concatenate((found, open_[shared >= LEAST / RETAINED * union]))
+            keep[index[found]] = True
+            keep[p] |= len(found) > 0
     return table.select(["gid", "side", "node", "component"]).filter(pa.array(keep))
 
 
