@@ -276,15 +276,51 @@ def reject_drafts(rows: DataFrame, ids: DataFrame, reviewer: str, note: str, at:
 
 
 def create_defaults(rows: DataFrame) -> DataFrame:
-    """New places: an id where none is given, Draft, reason new and version 0 where no status is given."""
+    """New places: an id where none is given, Draft, reason new and version 0 where no status is given.
+
+    The id follows from the row's values, so a repeated task gives the same; equal rows share theirs.
+    """
     fresh = is_blank(F.col("Review_Status"))
-    made = F.concat(F.lit("{"), F.upper(F.expr("uuid()")), F.lit("}"))
+    whole = F.to_json(F.struct(*(F.col(c) for c in rows.columns if c != "GlobalID")), {"ignoreNullFields": "false"})
+    made = F.concat(F.lit("{"), F.upper(F.substring(F.sha2(whole, 256), 1, 32)), F.lit("}"))
     return rows.withColumns({
         "GlobalID": F.when(is_blank(F.col("GlobalID")), made).otherwise(F.col("GlobalID")), "draft_reason": F.when(fresh, "new").otherwise(F.col("draft_reason")),
         "review_version": F.when(fresh, 0).otherwise(F.coalesce("review_version", F.lit(0))), "Review_Status": F.when(fresh, "Draft").otherwise(F.col("Review_Status")),
     })
 
 
+def review_statistics(verdicts: DataFrame) -> DataFrame:
+    """total, matches, others, reviewers, pairs of human verdicts: one row."""
+    v = F.col("verdict")
+    pair = F.struct("source_gid", "candidate_gid")
+    return verdicts.agg(long(F.count("*"), "total"), long(F.count_if(v == "MATCH"), "matches"), long(F.count_if(v == "NOT_MATCH"), "others"), long(F.countDistinct("reviewer"), "reviewers"), long(F.countDistinct(pair), "pairs"))
+
+
+def delivery_gate(pois: DataFrame, key: str = "GlobalID", least: float = 98.0) -> DataFrame:
+    """rows, bad, licence_errors, media_errors, accuracy, passed of a delivery: one pass over its rows.
+
+    Bad are the ids with a licence, phone, category or media error; it passes with
+    ``least`` percent of good rows and no licence or media error.  An empty table
+    has an accuracy of 0.
+    """
+    licence = licence_error(F.col("Commercial_License")).isNotNull()
+    media = F.size(media_errors(*(F.col(c) for c in ("Exterior_Photo_URL", "Interior_Photo_URL", "Menu_Photo_URL", "Video_URL")))) > 0
+    _, phone = X.fix_phone(F.col("Phone_Number"))
+    _, category = category_check(pois)
+    bad = licence | media | phone.isNotNull() | category.isNotNull()
+    found = pois.agg(long(F.count("*"), "rows"), long(F.countDistinct(F.when(bad, F.col(key))), "bad"), long(F.count_if(licence), "licence_errors"), long(F.count_if(media), "media_errors"))
+    found = found.withColumn("accuracy", F.when(F.col("rows") > 0, F.round((F.col("rows") - F.col("bad")) * 100.0 / F.col("rows"), 2)).otherwise(0.0))
+    return found.withColumn("passed", (F.col("accuracy") >= least) & (F.col("licence_errors") == 0) & (F.col("media_errors") == 0))
+
+
+def known_names(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """+ known: the place with the row's Name_EN, or else with its Name_AR; of several the smallest id, null for none.  Blank names meet nothing."""
+    name = lambda f: F.nullif(F.col(f), F.lit(""))
+    by = lambda f, to: places.where(name(f).isNotNull()).groupBy(F.col(f)).agg(F.min("GlobalID").alias(to))
+    found = rows.join(by("Name_EN", "_en"), "Name_EN", "left").join(by("Name_AR", "_ar"), "Name_AR", "left")
+    return found.select(*(F.col(c) for c in rows.columns), F.coalesce("_en", "_ar").alias("known"))
+
+
 def unacknowledged(queue: DataFrame, n: int = 50) -> DataFrame:
     return queue.where(~F.coalesce("acknowledged", F.lit(False))).orderBy(F.desc_nulls_first("created_at"), F.desc("id")).limit(n)
 

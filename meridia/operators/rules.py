@@ -224,6 +224,50 @@ def table_status(pois: DataFrame, key: str = "GlobalID") -> DataFrame:
     return status(pois, key).join(shared, key, "left").select(key, "status", "blockers", (F.col("warnings") + F.coalesce("shared", F.lit(0))).alias("warnings"))
 
 
+@dataclass(frozen=True)
+class Constraint:
+    """What a survey form asks of a field: bounds, a pattern, choices, all judged only where they are given.
+
+    ``when`` names a field and the values of it for which the question is asked:
+    then a ``required`` field must be filled, and otherwise it must be blank.
+    """
+
+    field: str
+    least: float | None = None
+    most: float | None = None
+    pattern: str | None = None
+    choices: tuple[str, ...] | None = None
+    required: bool = False
+    when: tuple[str, tuple[str, ...]] | None = None
+
+
+def form_findings(pois: DataFrame, constraints: list[Constraint], key: str = "GlobalID") -> DataFrame:
+    """key, field, problem (relevance, missing, number, bounds, pattern, choice): the first that a field has.  Fields that the table lacks are blank."""
+    value = lambda f: v(f) if f in pois.columns else F.lit("")
+    found = []
+    for c in constraints:
+        x, problem = value(c.field), F.lit(None).cast("string")
+        filled = x != ""
+        asked = value(c.when[0]).isin(*c.when[1]) if c.when else F.lit(True)
+        if c.choices is not None:
+            problem = F.when(filled & ~x.isin(*c.choices), "choice").otherwise(problem)
+        if c.pattern is not None:
+            problem = F.when(filled & ~x.rlike(f"^(?:{c.pattern})$"), "pattern").otherwise(problem)
+        if c.least is not None or c.most is not None:
+            n = number(x)
+            out = (n < F.lit(c.least)) if c.least is not None else F.lit(False)
+            out = out | ((n > F.lit(c.most)) if c.most is not None else F.lit(False))
+            problem = F.when(filled & n.isNull(), "number").when(filled & out, "bounds").otherwise(problem)
+        if c.required:
+            problem = F.when(asked & ~filled, "missing").otherwise(problem)
+        if c.when:
+            problem = F.when(~asked & filled, "relevance").otherwise(problem)
+        found.append(F.struct(F.lit(c.field).alias("field"), problem.alias("problem")))
+    if not found:
+        return pois.select(key, F.lit("").alias("field"), F.lit("").alias("problem")).where("false")
+    return pois.select(F.col(key), F.inline(F.filter(F.array(*found), lambda f: f["problem"].isNotNull())))
+
+
 def taxonomy_findings(pois: DataFrame, taxonomy: DataFrame, key: str = "GlobalID") -> DataFrame:
     """Findings against a table of valid category, subcategory and level3 (null where a level has none).
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import payload as P
@@ -9,9 +11,13 @@ from ..operators import analytics as A
 from ..operators import exchange as X
 from ..operators import lifecycle as L
 from ..operators import resolve as R
+from ..operators import review as W
 from ..operators import rules as V
-from .matching import FULL
+from ..sources import readers
+from .matching import FULL, GROUPS
 from .registry import Register
+from .reviews import FILLED, PAIRS, verdicts_of
+from .views import with_views
 
 query = Register()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -151,3 +157,124 @@ def flag_audit(poi):
 @query("lif_17", "poi", sql="SELECT GlobalID, CAST(1 AS INTEGER) AS review_version FROM poi")
 def versions_reset(poi):
     return L.reset_versions(poi).select("GlobalID", "review_version")
+
+
+_T = lambda c: f"trim(coalesce({c}, ''))"
+
+
+@query("mth_10", "poi", sql=f"""
+SELECT GlobalID, 'Latitude' AS field, CASE WHEN TRY_CAST({_T('Latitude')} AS DOUBLE) IS NULL THEN 'number' ELSE 'bounds' END AS problem FROM poi WHERE {_T('Latitude')} <> '' AND (TRY_CAST({_T('Latitude')} AS DOUBLE) IS NULL OR TRY_CAST({_T('Latitude')} AS DOUBLE) NOT BETWEEN 24 AND 25.5)
+UNION ALL SELECT GlobalID, 'Longitude', CASE WHEN TRY_CAST({_T('Longitude')} AS DOUBLE) IS NULL THEN 'number' ELSE 'bounds' END FROM poi WHERE {_T('Longitude')} <> '' AND (TRY_CAST({_T('Longitude')} AS DOUBLE) IS NULL OR TRY_CAST({_T('Longitude')} AS DOUBLE) NOT BETWEEN 46 AND 47.5)
+UNION ALL SELECT GlobalID, 'Dine_In', CASE WHEN {_T('Category')} IN ('Restaurants', 'Coffee Shops') THEN CASE WHEN {_T('Dine_In')} = '' THEN 'missing' WHEN {_T('Dine_In')} NOT IN ('Yes', 'No') THEN 'choice' END WHEN {_T('Dine_In')} <> '' THEN 'relevance' END AS problem FROM poi WHERE problem IS NOT NULL
+UNION ALL SELECT GlobalID, 'Building_Number', 'pattern' FROM poi WHERE {_T('Building_Number')} <> '' AND NOT regexp_matches({_T('Building_Number')}, '^\\d{{4}}$')""")
+def form_bounds(poi):
+    """The survey form's bounds of coordinates, a pattern, and a question asked of some categories only."""
+    constraints = [
+        V.Constraint("Latitude", least=24, most=25.5), V.Constraint("Longitude", least=46, most=47.5), V.Constraint("Building_Number", pattern=r"\d{4}"),
+        V.Constraint("Dine_In", choices=("Yes", "No"), required=True, when=("Category", ("Restaurants", "Coffee Shops"))),
+    ]
+    return V.form_findings(poi, constraints)
+
+
+@query("agg_08", "poi", sql=PAIRS + "SELECT count(*) AS total, count(*) FILTER (verdict = 'MATCH') AS matches, count(*) FILTER (verdict = 'NOT_MATCH') AS others, count(DISTINCT reviewer) AS reviewers, count(DISTINCT (source_gid, candidate_gid)) AS pairs FROM verdicts")
+def review_statistics(poi):
+    return W.review_statistics(verdicts_of(poi)[0])
+
+
+@query("join_04_names", "poi", sql=f"""
+, r AS (SELECT GlobalID, CASE WHEN {K} % 3 = 0 THEN NULL WHEN {K} % 3 = 1 THEN Name_EN ELSE concat(Name_EN, '?') END AS en, Name_AR AS ar FROM poi WHERE {K} % 2 = 0),
+e AS (SELECT Name_EN, min(GlobalID) AS id FROM poi WHERE coalesce(Name_EN, '') <> '' AND {K} % 2 = 1 GROUP BY 1), a AS (SELECT Name_AR, min(GlobalID) AS id FROM poi WHERE coalesce(Name_AR, '') <> '' AND {K} % 2 = 1 GROUP BY 1)
+SELECT GlobalID, coalesce(e.id, a.id) AS known FROM r LEFT JOIN e ON e.Name_EN = r.en LEFT JOIN a ON a.Name_AR = r.ar""")
+def existing_names(poi):
+    """Which place a new row names, by English name, then by Arabic."""
+    k = F.expr(K)
+    rows = poi.where(k % 2 == 0).select("GlobalID", F.when(k % 3 == 1, F.col("Name_EN")).when(k % 3 == 2, F.concat("Name_EN", F.lit("?"))).alias("Name_EN"), "Name_AR")
+    return W.known_names(rows, poi.where(k % 2 == 1)).select("GlobalID", "known")
+
+
+_GROUPS = {
+    "key": "GlobalID Name_AR Name_EN Category District_EN Phone_Number QA_Score Review_Status", "basic": "GlobalID Name_AR Name_EN Legal_Name Category Subcategory Company_Status Latitude Longitude Google_Map_URL District_EN Building_Number Floor_Number",
+    "contact": "GlobalID Name_EN Phone_Number Email Website Social_Media Commercial_License", "hours": "GlobalID Name_EN Working_Days Working_Hours",
+    "photos": "GlobalID Name_EN Exterior_Photo_URL Interior_Photo_URL Menu_Photo_URL Video_URL License_Photo_URL", "qa": "GlobalID Name_EN QA_Score Review_Status flagged review_version",
+}
+
+
+@query("prj_01_groups", "poi", sql="\nUNION ALL\n".join(f"SELECT GlobalID, '{g}' AS grp, concat_ws('|', {', '.join(chr(39) + c + '=' + chr(39) + f' || coalesce(CAST({c} AS VARCHAR), {chr(39) * 2})' for c in cols.split())}) AS shown FROM poi" for g, cols in _GROUPS.items()))
+def shown_groups(poi):
+    """Every group of columns that the table has, a line of text for each place; amenities by their number."""
+    lines = []
+    for g in _GROUPS:
+        part = W.column_group(poi, g)
+        lines.append(part.select("GlobalID", F.lit(g).alias("grp"), F.concat_ws("|", *(F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in part.columns)).alias("shown")))
+    return reduce(lambda a, b: a.unionByName(b), lines)
+
+
+@query("src_07", "poi", sql="SELECT GlobalID, CASE WHEN Name_EN IS NULL THEN '' ELSE Name_EN || ', \"' || GlobalID || '\"' END AS name, coalesce(Category, '') AS category, coalesce(Website, '') AS website FROM poi")
+def seed_lines(poi):
+    """Places written as lines of the seed dialect and read back."""
+    name = F.coalesce(F.concat(F.lit('"'), "Name_EN", F.lit(', \\"'), "GlobalID", F.lit('\\""')), F.lit(""))
+    line = F.concat_ws(",", "GlobalID", name, F.concat(F.lit('"'), F.coalesce("Category", F.lit("")), F.lit('"')), F.coalesce("Website", F.lit("")))
+    f = readers.naive_fields(line)
+    return poi.select(*(F.get(f, F.lit(i)).alias(n) for i, n in enumerate(("GlobalID", "name", "category", "website"))))
+
+
+@query("win_01", "audit", sql="""
+, t AS (SELECT id * 3 + i AS id, global_id, reviewer, CASE WHEN id % 4 = 0 AND i = 2 THEN 'edit' ELSE action END AS action, created_at + i * INTERVAL 1200 MILLISECOND AS ts FROM audit, range(3) r(i)),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY global_id ORDER BY ts DESC, id DESC) AS place FROM t QUALIFY place <= 200),
+f AS (
+    SELECT global_id, place, action, reviewer, ts, ts AS anchor, CAST(0 AS BIGINT) AS event FROM n WHERE place = 1
+    UNION ALL
+    SELECT global_id, place, action, reviewer, ts, CASE WHEN same THEN anchor ELSE ts END, CASE WHEN same THEN event ELSE event + 1 END FROM (
+        SELECT n.global_id, n.place, n.action, n.reviewer, n.ts, f.anchor, f.event, n.action = f.action AND n.reviewer = f.reviewer AND f.anchor - n.ts < INTERVAL 2 SECOND AS same FROM f JOIN n ON n.global_id = f.global_id AND n.place = f.place + 1))
+SELECT global_id, event, action, reviewer, max(ts) AS "at", count(*) AS rows FROM f GROUP BY global_id, event, action, reviewer""")
+def timelines(audit):
+    """Every row of the log stands for three within 2.4 seconds; a row joins an event if it is within two seconds of the event's first."""
+    each = audit.select("id", "global_id", "reviewer", "action", "created_at", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
+    rows = each.select((F.col("id") * 3 + F.col("i")).alias("id"), "global_id", "reviewer", F.when((F.col("id") % 4 == 0) & (F.col("i") == 2), "edit").otherwise(F.col("action")).alias("action"), (F.col("created_at") + F.make_dt_interval(secs=F.col("i") * F.lit(1.2))).alias("created_at"))
+    return A.timeline(rows).select("global_id", F.col("event").cast("long").alias("event"), "action", "reviewer", "at", "rows")
+
+
+ORACLES["win_01"] = ORACLES["win_01"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+_URLS = lambda c: f"list_filter(regexp_split_to_array(coalesce({c}, ''), '[,\\s]+'), lambda u: u <> '' AND NOT contains(upper(u), 'UNAVAILABLE'))"
+# The view's columns, as completeness counts them.
+POI_COLUMNS = (
+    "GlobalID Name_EN Name_AR Legal_Name Category Subcategory Company_Status Latitude Longitude Google_Map_URL Building_Number Floor_Number Phone_Number Email Website Social_Media Working_Hours Working_Days Commercial_License "
+    "Exterior_Photo_URL Interior_Photo_URL Menu_Photo_URL Video_URL License_Photo_URL District_EN Menu Dine_In Women_Prayer_Room Free_Entry WiFi QA_Score Review_Status flagged review_version created_at"
+).split()
+ORACLES["er_golden"] = with_views((GROUPS + f""",
+m AS (SELECT DISTINCT anchor, anchor AS gid, 0 AS place FROM grouped UNION ALL SELECT anchor, member, place FROM grouped),
+w AS (SELECT poi.*, coalesce(m.anchor, GlobalID) AS anchor, coalesce(m.place, 0) AS at_place, {" + ".join(f"CAST({FILLED(f'CAST({c} AS VARCHAR)')} AS INT)" for c in POI_COLUMNS)} AS filled FROM poi LEFT JOIN m ON m.gid = GlobalID),
+z AS (
+    SELECT anchor, count(*) AS members, arg_min(GlobalID, (-filled, at_place)) AS best, list(GlobalID ORDER BY GlobalID) AS ids,
+        {", ".join(f"arg_min({c}, at_place) FILTER ({FILLED(c)}) AS f_{c}" for c in ("Phone_Number", "Website"))},
+        array_to_string(list_sort(list_distinct(flatten(list({_URLS("Exterior_Photo_URL")})))), ',') AS urls
+    FROM w GROUP BY anchor)
+SELECT GlobalID, CASE WHEN {FILLED("Phone_Number")} THEN Phone_Number ELSE coalesce(f_Phone_Number, Phone_Number) END AS Phone_Number, CASE WHEN {FILLED("Website")} THEN Website ELSE coalesce(f_Website, Website) END AS Website,
+    CASE WHEN members > 1 AND urls <> '' THEN urls ELSE Exterior_Photo_URL END AS Exterior_Photo_URL, array_to_string(list_filter(ids, lambda i: i <> best), ',') AS removed
+FROM z JOIN w ON w.GlobalID = z.best AND w.anchor = z.anchor""").strip(), "poi").replace("WITH ", "WITH RECURSIVE ", 1)
+
+_RAW = f"CASE WHEN contains(upper({_T('Phone_Number')}), 'E+') THEN coalesce(CAST(TRY_CAST(TRY_CAST({_T('Phone_Number')} AS DOUBLE) AS DECIMAL(20, 0)) AS VARCHAR), {_T('Phone_Number')}) ELSE {_T('Phone_Number')} END"
+ORACLES["val_06"] = with_views(f"""
+, r AS (SELECT GlobalID, Phone_Number, {_RAW} AS raw, {FILLED('Phone_Number')} AS filled FROM poi),
+d AS (SELECT *, regexp_replace(raw, '[^0-9]', '', 'g') AS digits FROM r),
+f AS (SELECT *, CASE WHEN regexp_matches(raw, '^\\+?966') THEN '966' || ltrim(digits, '96') WHEN length(digits) IN (9, 10) THEN '966' || digits ELSE digits END AS whole FROM d)
+SELECT GlobalID, CASE WHEN filled AND length(whole) BETWEEN 9 AND 12 THEN whole ELSE Phone_Number END AS phone, CASE WHEN filled AND NOT length(whole) BETWEEN 9 AND 12 THEN 'INVALID_PHONE' END AS error FROM f""".strip(), "poi")
+
+
+@query("agg_14", "poi", sql=f"""
+, b AS (
+    SELECT GlobalID, {FILLED('Commercial_License')} AND (regexp_matches({_T('Commercial_License')}, '[a-zA-Z ]') OR length(regexp_replace(Commercial_License, '[^0-9]', '', 'g')) <> 10) AS licence,
+        len(e) <> len(list_distinct(e)) OR list_has_any({_URLS('Exterior_Photo_URL')}, {_URLS('Interior_Photo_URL')}) AS media,
+        {_T('Category')} = 'Restaurants' AND NOT {FILLED('Menu_Photo_URL')} AND NOT {FILLED('Video_URL')} AND NOT {FILLED('Dine_In')} AS seats
+    FROM (SELECT *, {" || ".join(map(_URLS, ("Exterior_Photo_URL", "Interior_Photo_URL", "Menu_Photo_URL", "Video_URL")))} AS e FROM poi)),
+p AS ({ORACLES["val_06"][ORACLES["val_06"].index("SELECT GlobalID, CASE WHEN filled"):].replace("FROM f", "FROM f2")}),
+c AS (SELECT count(*) AS rows, count(DISTINCT GlobalID) FILTER (licence OR media OR seats OR error IS NOT NULL) AS bad, count(*) FILTER (licence) AS licence_errors, count(*) FILTER (media) AS media_errors FROM b JOIN p USING (GlobalID))
+SELECT *, round((rows - bad) * 100.0::DOUBLE / rows, 2) AS accuracy, round((rows - bad) * 100.0::DOUBLE / rows, 2) >= 98 AND licence_errors = 0 AND media_errors = 0 AS passed FROM c""")
+def gate(poi):
+    """The delivery gate over the errors that its rows have."""
+    return W.delivery_gate(poi)
+
+
+# the checked phones, named apart from the gate's own tables
+ORACLES["agg_14"] = ORACLES["agg_14"].replace(", b AS (", ", " + ORACLES["val_06"][ORACLES["val_06"].index("r AS (SELECT GlobalID, Phone_Number"):ORACLES["val_06"].index("SELECT GlobalID, CASE WHEN filled")].strip().replace("f AS (SELECT *", "f2 AS (SELECT *") + ",\nb AS (", 1)

@@ -183,25 +183,12 @@ def audit_statistics(audit):
     return audit.groupBy("reviewer").agg(A.long(F.countDistinct("global_id"), "places"), A.long(F.count("*"), "actions"), F.max("created_at").alias("last_at"))
 
 
-@query("agg_08", "labels", sql="SELECT count(*) AS total, count(*) FILTER (WHERE quality = 1) AS matches, count(*) FILTER (WHERE quality = 0) AS others, count(DISTINCT doc_id) AS pairs FROM labels")
-def review_statistics(labels):
-    return labels.agg(A.long(F.count("*"), "total"), A.long(F.count_if(F.col("quality") == 1), "matches"), A.long(F.count_if(F.col("quality") == 0), "others"), A.long(F.countDistinct("doc_id"), "pairs"))
-
-
 @query("agg_12", "poi", sql="SELECT regexp_replace(Commercial_License, '[^0-9]', '', 'g') AS value, count(*) AS n FROM poi WHERE length(regexp_replace(Commercial_License, '[^0-9]', '', 'g')) >= 8 GROUP BY 1 HAVING count(*) > 1")
 def licence_duplicates(poi):
     digits = poi.select(F.regexp_replace("Commercial_License", r"\D", "").alias("digits")).where(F.length("digits") >= 8)
     return A.repeated(digits, "digits")
 
 
-@query("agg_14", "poi", sql="""
-, bad AS (SELECT GlobalID FROM poi WHERE coalesce(Category, '') = '' UNION SELECT GlobalID FROM poi WHERE flagged)
-SELECT (SELECT count(*) FROM poi) AS rows, (SELECT count(*) FROM bad) AS bad, round(((SELECT count(*) FROM poi) - (SELECT count(*) FROM bad)) * 100.0::DOUBLE / (SELECT count(*) FROM poi), 2) AS accuracy,
-    round(((SELECT count(*) FROM poi) - (SELECT count(*) FROM bad)) * 100.0::DOUBLE / (SELECT count(*) FROM poi), 2) >= 98 AS passed""")
-def gate(poi):
-    return A.accuracy_gate(poi, [poi.where(is_blank(F.col("Category"))), poi.where("flagged")], 0, 0)
-
-
 DISTRICT_AR = "CASE WHEN District_EN = '' THEN NULL ELSE concat('حي ', District_EN) END"
 _WITH_DISTRICT = f", p AS (SELECT *, {DISTRICT_AR} AS District_AR FROM poi)"
 # Fields that must be given.
@@ -259,11 +246,6 @@ def bounds(poi):
     return poi.where(F.coalesce(lat, F.lit(0.0)) != 0).agg(F.min(lat).alias("south"), F.max(lat).alias("north"), F.min(lon).alias("west"), F.max(lon).alias("east"))
 
 
-@query("win_01", "audit")
-def timelines(audit):
-    return A.timeline(audit, gap="2 hours")
-
-
 @query("win_02", "events", sql="SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def latest_events(events):
     return L.latest(events, ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")

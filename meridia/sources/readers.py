@@ -40,3 +40,28 @@ def mapped_fields(attributes: Column, mapping: dict[str, str]) -> Column:
     named = F.filter(F.transform(entries, lambda e: F.struct(F.try_element_at(table, F.replace(F.lower(e["key"]), F.lit(" "), F.lit("_"))).alias("key"), e["value"].alias("value"))), lambda e: e["key"].isNotNull())
     last = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda x: x["key"] == e["key"]))
     return F.map_from_entries(last)
+
+
+def naive_fields(line: Column) -> Column:
+    r"""Fields of a line in the dialect of the seed files: a quote opens or closes wherever it stands, ``\"`` is a quote, commas outside quotes part.
+
+    The control characters 1 and 2 may not stand in a line.
+    """
+    quote, comma = F.lit("\x01"), F.lit("\x02")
+    parts = F.split(F.replace(line, F.lit('\\"'), quote), '"', -1)
+    # every second part is inside quotes
+    parted = F.transform(parts, lambda p, i: F.when(i % 2 == 0, F.replace(p, F.lit(","), comma)).otherwise(p))
+    return F.transform(F.split(F.array_join(parted, ""), "\x02", -1), lambda f: F.replace(f, quote, F.lit('"')))
+
+
+def read_naive_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A seed file, line by line: blank lines go, missing fields are '', all columns are text.
+
+    The first line that is not blank names the columns; quoted fields hold no line breaks.
+    """
+    lines = spark.read.text(path).where("value <> ''")
+    head = lines.select(naive_fields(F.col("value")).alias("f"), "value").first()
+    if head is None:
+        return spark.createDataFrame([], "value string")
+    fields = lines.where(F.col("value") != head.value).select(naive_fields(F.col("value")).alias("f"))
+    return fields.select(*(F.coalesce(F.get("f", F.lit(i)), F.lit("")).alias(name) for i, name in enumerate(head.f)))

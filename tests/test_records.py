@@ -5,7 +5,9 @@ from meridia.functions import payload as P
 from meridia.operators import analytics as A
 from meridia.operators import exchange as X
 from meridia.operators import lifecycle as L
+from meridia.operators import review as W
 from meridia.operators import rules as V
+from meridia.sources import readers
 from pyspark.sql import functions as F
 
 PAYLOADS = [
@@ -79,3 +81,67 @@ def test_taxonomy_findings(spark):
 def test_versions_are_reset(spark):
     pois = spark.createDataFrame([("a", 7), ("b", None)], "GlobalID string, review_version int")
     assert [r.review_version for r in L.reset_versions(pois).collect()] == [1, 1]
+
+
+def plain_fields(line):
+    """The seed dialect, a character at a time."""
+    out, now, inside, i = [], "", False, 0
+    while i < len(line):
+        c = line[i]
+        if c == '"':
+            inside = not inside
+        elif c == "," and not inside:
+            out.append(now)
+            now = ""
+        elif c == "\\" and line[i + 1 : i + 2] == '"':
+            now += '"'
+            i += 1
+        else:
+            now += c
+        i += 1
+    return [*out, now]
+
+
+def test_seed_lines_are_read_as_a_walk_reads_them(spark, tmp_path):
+    lines = ['a,"b,c",d', 'x\\"y,"p\\"q,r",', '"open, to the end', "", ",,", "\\\\,\\n", '"a""b",c', 'é,"日,本"', '"', "\\\\\"x,y\\\\\"", "a" * 20_000 + ',"' + "b," * 9_000 + '"']
+    got = {r.value: r.f for r in spark.createDataFrame([(x,) for x in lines], "value string").select("value", readers.naive_fields(F.col("value")).alias("f")).collect()}
+    assert got == {x: plain_fields(x) for x in lines}
+    (tmp_path / "seed.csv").write_text('id,"Name (EN)",note\r\n1,"A, B",x\r\n\r\n2,\\"q\\"\n', encoding="utf-8")
+    rows = readers.read_naive_csv(spark, str(tmp_path / "seed.csv")).collect()
+    assert [tuple(r) for r in rows] == [("1", "A, B", "x"), ("2", '"q"', "")] and rows[0].asDict().keys() == {"id", "Name (EN)", "note"}
+    (tmp_path / "none.csv").write_text("")
+    assert readers.read_naive_csv(spark, str(tmp_path / "none.csv")).count() == 0
+
+
+def test_form_constraints(spark):
+    rows = [("1", "24.7", "x", "Food", "Yes", "ab12"), ("2", "23.9", "y", "Food", "", "12"), ("3", "east", "q", "Bank", "No", None), ("4", None, "", None, None, ""), ("5", "25.5", "x", "Food", "maybe", "a1")]
+    pois = spark.createDataFrame(rows, "GlobalID string, Latitude string, kind string, Category string, Dine_In string, code string")
+    constraints = [
+        V.Constraint("Latitude", least=24, most=25.5), V.Constraint("kind", choices=("x", "y")), V.Constraint("code", pattern=r"[a-z]+\d+"),
+        V.Constraint("Dine_In", required=True, choices=("Yes", "No"), when=("Category", ("Food",))), V.Constraint("absent", least=1, required=True),
+    ]
+    got = {(r.GlobalID, r.field, r.problem) for r in V.form_findings(pois, constraints).collect() if r.field != "absent"}
+    assert got == {("2", "Latitude", "bounds"), ("3", "Latitude", "number"), ("3", "kind", "choice"), ("2", "code", "pattern"), ("2", "Dine_In", "missing"), ("3", "Dine_In", "relevance"), ("5", "Dine_In", "choice")}
+    assert V.form_findings(pois, constraints).where("field = 'absent' and problem = 'missing'").count() == 5
+    assert V.form_findings(pois, []).count() == 0
+
+
+def test_the_gate_counts_distinct_bad_ids(spark):
+    good = ("http://a/e.jpg", "http://a/i.jpg", None, None)
+    rows = [("1", "1010101010", "501234567", "Banks", *good), ("2", "LIC 7", "501234567", "Banks", *good), ("2", "LIC 7", "501234567", "Banks", "http://a/x.jpg", "http://a/x.jpg", None, None), ("3", None, "12", "Banks", *good), ("4", None, None, "Restaurants", None, None, None, None)]
+    pois = spark.createDataFrame(rows, "GlobalID string, Commercial_License string, Phone_Number string, Category string, Exterior_Photo_URL string, Interior_Photo_URL string, Menu_Photo_URL string, Video_URL string")
+    assert tuple(W.delivery_gate(pois).first()) == (5, 3, 2, 1, 40.0, False)
+    assert tuple(W.delivery_gate(pois.where("GlobalID = '1'")).first()) == (1, 0, 0, 0, 100.0, True)
+    assert tuple(W.delivery_gate(pois.where("false")).first()) == (0, 0, 0, 0, 0.0, False)
+
+
+def test_known_names_fall_back_to_arabic(spark):
+    places = spark.createDataFrame([("b", "Cafe", "م"), ("a", "Cafe", None), ("c", "", "ف"), ("d", None, "م")], "GlobalID string, Name_EN string, Name_AR string")
+    rows = spark.createDataFrame([(1, "Cafe", "ف"), (2, "None", "م"), (3, "", ""), (4, None, "ف"), (5, "None", None)], "n int, Name_EN string, Name_AR string")
+    assert {r.n: r.known for r in W.known_names(rows, places).collect()} == {1: "a", 2: "b", 3: None, 4: "c", 5: None}
+
+
+def test_new_places_get_the_same_ids_again(spark):
+    rows = spark.createDataFrame([(None, "A", None, None), ("", "B", "Reviewed", 3), ("x", "C", "", None)], "GlobalID string, Name_EN string, Review_Status string, review_version int").withColumn("draft_reason", F.lit(None).cast("string"))
+    once, again = (sorted((r.Name_EN, r.GlobalID, r.Review_Status, r.draft_reason, r.review_version) for r in W.create_defaults(rows.repartition(n)).collect()) for n in (1, 3))
+    assert once == again and once[2][1:] == ("x", "Draft", "new", 0) and once[0][2:] == ("Draft", "new", 0) and once[1][2:] == ("Reviewed", None, 3) and len({r[1] for r in once}) == 3
