@@ -47,3 +47,9 @@ def any_of(columns: list[Column]) -> Column:
 def compact(*columns: Column) -> Column:
     """The non-null ones as an array."""
     return F.array_compact(F.array(*columns))
+
+
+def guid_of(whole: Column) -> Column:
+    """An id in braces, in the form of a GUID, that follows from a text."""
+    digits = F.upper(F.substring(F.sha2(whole, 256), 1, 32))
+    return F.concat(F.lit("{"), F.regexp_replace(digits, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit("}"))

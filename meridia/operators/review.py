@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as X
-from ..functions.values import compact, is_blank, strip, text
+from ..functions.values import compact, guid_of, is_blank, strip, text
 from .analytics import long
 
 # Columns of the named views.
@@ -282,9 +282,8 @@ def create_defaults(rows: DataFrame) -> DataFrame:
     """
     fresh = is_blank(F.col("Review_Status"))
     whole = F.to_json(F.struct(*(F.col(c) for c in rows.columns if c != "GlobalID")), {"ignoreNullFields": "false"})
-    made = F.concat(F.lit("{"), F.upper(F.substring(F.sha2(whole, 256), 1, 32)), F.lit("}"))
     return rows.withColumns({
-        "GlobalID": F.when(is_blank(F.col("GlobalID")), made).otherwise(F.col("GlobalID")), "draft_reason": F.when(fresh, "new").otherwise(F.col("draft_reason")),
+        "GlobalID": F.when(is_blank(F.col("GlobalID")), guid_of(whole)).otherwise(F.col("GlobalID")), "draft_reason": F.when(fresh, "new").otherwise(F.col("draft_reason")),
         "review_version": F.when(fresh, 0).otherwise(F.coalesce("review_version", F.lit(0))), "Review_Status": F.when(fresh, "Draft").otherwise(F.col("Review_Status")),
     })
 

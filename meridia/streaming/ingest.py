@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.values import guid_of
 from ..operators.review import known_names
 
 FIELDS = ("Name_EN", "Name_AR", "Category", "Phone_Number")
@@ -49,8 +50,7 @@ def decide(events: DataFrame, places: DataFrame) -> DataFrame:
     name = lambda f: F.nullif(f, F.lit(""))
     found = known_names(events.where(given), places).withColumnRenamed("known", "_old")
     own = F.coalesce(name(F.col("Name_EN")), name(F.col("Name_AR")), F.concat(F.lit("\x00"), F.col("event_id").cast("string")))
-    made = F.concat(F.lit("{"), F.upper(F.substring(F.sha2(own, 256), 1, 32)), F.lit("}"))
-    found = found.withColumn("GlobalID", F.coalesce("_old", made))
+    found = found.withColumn("GlobalID", F.coalesce("_old", guid_of(own)))
     first = found.where("_old is null").groupBy("GlobalID").agg(F.min(F.struct("ts", "event_id")).alias("_first"))
     creates = F.struct("ts", "event_id") == F.col("_first")
     return found.join(first, "GlobalID", "left").withColumn("action", F.when(creates, "create").otherwise("update")).select(*events.columns, "GlobalID", "action")
