@@ -197,7 +197,18 @@ def by_status(poi):
     return R.match_pairs(poi).groupBy("match_status").agg(F.count("*").cast("long").alias("n"))
 
 
-@query("er_reasons", "poi")
+_PERCENT = lambda c: f"CAST(CAST(round({c}) AS INTEGER) AS VARCHAR)"
+REASONS = f"""CASE WHEN never THEN 'hard_reject_category_family,category_mismatch' ELSE array_to_string(list_filter([
+    CASE WHEN shared_phone THEN 'phone_shared_freq_' || greatest(a_phone_n, b_phone_n) END, CASE WHEN NOT identified AND dist > 0 THEN 'distance_gated_weak_identity' END,
+    CASE WHEN same_licence AND greatest(a_licence_n, b_licence_n) >= 3 THEN 'license_shared_freq_' || greatest(a_licence_n, b_licence_n) END,
+    CASE WHEN conflict THEN CASE WHEN sim < 85 THEN 'contradiction_category_name' ELSE 'category_conflict_penalty' END END,
+    CASE WHEN sim >= 90 THEN 'name_' || {_PERCENT('sim')} || 'pct' WHEN sim >= 75 THEN 'name_fuzzy_' || {_PERCENT('sim')} || 'pct' END,
+    CASE WHEN own_phone THEN 'phone_exact' WHEN shared_phone THEN 'phone_exact_shared' END, CASE WHEN own_licence THEN 'tier1_license_exact' END, CASE WHEN near_phone THEN 'tier1_phone_exact_near' END, CASE WHEN near_domain THEN 'tier1_website_domain' END,
+    CASE WHEN agree = 'same' THEN 'same_category' WHEN agree = 'compatible' THEN 'compatible_category' WHEN conflict THEN 'category_mismatch' END,
+    CASE WHEN aux > 0 THEN 'aux_' || {_PERCENT('aux')} END], lambda x: x IS NOT NULL), ',') END"""
+
+
+@query("er_reasons", "poi", sql=FULL + f" SELECT a_gid AS source_gid, b_gid AS candidate_gid, {REASONS} AS reasons FROM s9")
 def reasons(poi):
     return R.match_pairs(poi).select("source_gid", "candidate_gid", F.array_join("match_reasons", ",").alias("reasons"))
 
