@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,12 +24,14 @@ def word_count(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir`` of the session; only where that is unset
-    (tests in one process) a temporary folder is made and set.
+    It is ``spark.checkpoint.dir`` of the session; only where that is unset and
+    driver and executors are one process (tests) a temporary folder is made and set.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="meridia-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
