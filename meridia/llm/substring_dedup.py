@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Rolling, join_hot, materialise, mix64, split_hashes
@@ -70,10 +70,6 @@ def window_hashes(hashes: np.ndarray, at: np.ndarray, window: int = WINDOW) -> n
     return BLOCKS.of(BLOCKS.prefix(mix64(hashes)), at, at + window)
 
 
-def _tag(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "big", signed=True)
-
-
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
@@ -99,22 +95,17 @@ def _blocks_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for c, x in zip(cols, got):
                     c.append(_signed(x) if x.dtype == U64 else x)
             yield pa.record_batch(
-                [part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), *(_lists(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32())))],
-                names=["doc_id", "n_words", "digest", "anchor", "block", "first", "last"],
+                [part.column(0), part.column(2), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), *(_lists(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32())))],
+                names=["doc_id", "tag", "n_words", "digest", "anchor", "block", "first", "last"],
             )
 
 
 def _windows_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, blocks(tag, anchor, first, last) -> the windows of those blocks."""
+    """doc_id, tag, text, blocks(anchor, first, last) -> the windows of those blocks."""
     for batch in batches:
-        for doc, body, blocks in zip(*(c.to_pylist() for c in batch.columns)):
-            words = (body or b"").split()
-            tag = _tag(hashlib.sha256(b" ".join(words)).digest())
-            own = [b for b in blocks if b["tag"] == tag]
-            if not own:
-                continue
-            at = np.concatenate([np.arange(b["first"], b["last"] + 1) for b in own])
-            anchors = np.concatenate([np.full(b["last"] + 1 - b["first"], b["anchor"], np.int64) for b in own])
+        for doc, tag, body, blocks in zip(*(c.to_pylist() for c in batch.columns)):
+            at = np.concatenate([np.arange(b["first"], b["last"] + 1) for b in blocks])
+            anchors = np.concatenate([np.full(b["last"] + 1 - b["first"], b["anchor"], np.int64) for b in blocks])
             yield pa.record_batch(
                 [pa.array(anchors), pa.array(_signed(window_hashes(split_hashes([body])[0], at))), pa.array(np.full(len(at), doc, np.int64)), pa.array(np.full(len(at), tag, np.int64)), pa.array(at.astype(np.int32))],
                 names=["anchor", "window", "doc_id", "tag", "at"],
@@ -122,7 +113,7 @@ def _windows_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _remove_task(with_text: bool):
-    """doc_id, text, found(tag, first, last) -> spans, and on request what is left of the text."""
+    """doc_id, tag, text, found(first, last) -> spans, and on request what is left of the text."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,14 +124,12 @@ def _remove_task(with_text: bool):
 
 def _removed(batch: pa.RecordBatch, with_text: bool) -> pa.RecordBatch:
     out: tuple[list, ...] = ([], [], [], [], [], [])
-    for doc, body, found in zip(*(c.to_pylist() for c in batch.columns)):
+    for doc, tag, body, found in zip(*(c.to_pylist() for c in batch.columns)):
         words = (body or b"").split()
-        tag = _tag(hashlib.sha256(b" ".join(words)).digest())
         edges = np.zeros(len(words) + 1, np.int64)
         for f in found:
-            if f["tag"] == tag:
-                edges[f["first"]] += 1
-                edges[f["last"] + WINDOW] -= 1
+            edges[f["first"]] += 1
+            edges[f["last"] + WINDOW] -= 1
         gone = np.cumsum(edges)[:-1] > 0
         turns = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
         kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
@@ -150,12 +139,6 @@ def _removed(batch: pa.RecordBatch, with_text: bool) -> pa.RecordBatch:
     return pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], spans), pa.array(out[5], pa.string())], names=["doc_id", "tag", "n_removed", "kept_sha256", "spans", "kept"])
 
 
-def _tag_of(text: Column) -> Column:
-    """As :func:`_tag` of the words joined by one space."""
-    joined = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+", " ")
-    return F.conv(F.substring(F.sha2(joined, 256), 1, 16), 16, -10).cast("long")
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, spans (word ranges), with kept text on request.
 
@@ -165,11 +148,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     larger than any, so that document stays whole.  Rows that repeat an id are
     judged one by one and never against each other.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    # the tag tells the texts of an id apart
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(F.col(text_col)).alias("tag"))
     parsed = materialise(
-        texts.mapInArrow(_blocks_task, "doc_id long, n_words long, digest binary, anchor array<long>, block array<long>, first array<int>, last array<int>"),
+        texts.mapInArrow(_blocks_task, "doc_id long, tag long, n_words long, digest binary, anchor array<long>, block array<long>, first array<int>, last array<int>"),
         "rlz-blocks",
-    ).withColumn("tag", F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long"))
+    )
     # whole-document factors first: all but the smallest of equal documents go, and need no further look
     firsts = parsed.where((F.col("n_words") >= WINDOW) & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
     copies = materialise(join_hot(parsed.select("doc_id", "digest"), materialise(firsts, "rlz-firsts"), ["digest"], parsed.count()).where("doc_id > first_id").select("doc_id", "digest").distinct(), "rlz-copies")
@@ -189,15 +173,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged = materialise(join_hot(mixed, known, ["anchor", "block"], total), "rlz-judged")
     factors = hits.where("same").select("doc_id", "tag", "first", "last").unionByName(judged.where("doc_id > own").select("doc_id", "tag", "first", "last"))
     # borders: blocks that stand nowhere before as a whole; no more per text of a document than it has words
-    own = texts.withColumn("tag", _tag_of(F.col("text").cast("string")))
-    borders = judged.where("doc_id = own").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("tag", "anchor", "first", "last")).alias("blocks"))
+    borders = judged.where("doc_id = own").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("blocks"))
     windows = materialise(
-        own.join(borders, ["doc_id", "tag"]).select("doc_id", "text", "blocks").mapInArrow(_windows_task, "anchor long, window long, doc_id long, tag long, at int"), "rlz-windows"
+        texts.join(borders, ["doc_id", "tag"]).select("doc_id", "tag", "text", "blocks").mapInArrow(_windows_task, "anchor long, window long, doc_id long, tag long, at int"), "rlz-windows"
     )
     seen = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("own"), F.max("doc_id").alias("other"), F.count("*").alias("n")).where("other > own").drop("other")
     found = join_hot(windows, materialise(seen, "rlz-seen"), ["anchor", "window"], windows.count()).where("doc_id > own").select("doc_id", "tag", F.col("at").alias("first"), F.col("at").alias("last"))
-    spans = factors.unionByName(found).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("tag", "first", "last")).alias("found"))
-    removed = own.join(spans, ["doc_id", "tag"]).select("doc_id", "text", "found").mapInArrow(
+    spans = factors.unionByName(found).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    removed = texts.join(spans, ["doc_id", "tag"]).select("doc_id", "tag", "text", "found").mapInArrow(
         _remove_task(with_text), "doc_id long, tag long, n_removed long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, kept string"
     )
     removed = (removed if with_text else removed.drop("kept")).dropDuplicates(["doc_id", "tag"])
