@@ -77,9 +77,15 @@ FROM {events}
 TABLES = {"poi": (POI, ("customer", "nation")), "audit": (AUDIT, ("events",))}
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table's rows over all cores: a file of few bytes is one task otherwise, whatever is worked out from its rows."""
+    return table.repartition(3 * table.sparkSession.sparkContext.defaultParallelism)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql, tables = TABLES[name]
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+    read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
+    return spark.sql(sql, **{t: spread(df) if t == "customer" else df for t, df in read.items()})
 
 
 def oracle(name: str) -> str:
