@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
 
 #: Edges of a component that one task scans, at most, and edges that a task scans together.
-WHOLE, TOGETHER = 200_000, 50_000
+WHOLE, TOGETHER = 2_000_000, 50_000
 #: Edges that a task contracts at once before the rounds.
 LOCAL = 500_000
 
@@ -65,14 +68,23 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
 
-def _scan(edges: pd.DataFrame) -> pd.DataFrame:
+def _scan(edges: pa.Table) -> pa.Table:
     """The ascending scan over whole components: every node not yet in a group takes its larger neighbours not yet in one."""
-    used, owned = set(), []
-    for a, b in edges.sort_values(["a", "b"])[["a", "b"]].itertuples(index=False):
-        if a not in used and b not in used:
-            used.add(b)
-            owned.append((a, b))
-    return pd.DataFrame(owned, columns=["anchor", "member"])
+    nodes = pc.unique(pa.chunked_array([*edges["a"].chunks, *edges["b"].chunks]))
+    nodes = nodes.take(pc.sort_indices(nodes))
+    a, b = (pc.index_in(edges[c], value_set=nodes).to_numpy() for c in ("a", "b"))
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    used, anchors, members = np.zeros(len(nodes), bool), [], []
+    starts = np.flatnonzero(np.diff(a, prepend=-1))
+    for i, j in zip(starts, [*starts[1:], len(a)]):
+        if not used[a[i]]:
+            new = np.unique(b[i:j][~used[b[i:j]]])
+            used[new] = True
+            anchors.append(np.full(len(new), a[i]))
+            members.append(new)
+    take = lambda codes: nodes.take(pa.array(np.concatenate(codes) if codes else [], pa.int64()))
+    return pa.table({"anchor": take(anchors), "member": take(members)})
 
 
 def _rounds(edges: DataFrame) -> DataFrame:
@@ -95,17 +107,19 @@ def greedy_groups(edges: DataFrame, whole: int = WHOLE) -> DataFrame:
     """edges(a, b), a < b -> anchor, member: who an ascending scan would put into whose group.
 
     Components are found first and scanned whole, many to a task; one of more than
-    ``whole`` edges is settled in rounds instead.
+    ``whole`` edges is settled in rounds instead.  The edges are read twice, in the
+    order of their files: tasks contract best what lies together.  Repeated edges
+    change nothing.
     """
-    edges = written(edges.where("a is not null and b is not null").select("a", "b").distinct(), "edges")
+    edges = edges.where("a is not null and b is not null").select("a", "b")
     kind = edges.schema["a"].dataType.simpleString()
-    placed = written(edges.join(components(edges).withColumnRenamed("node", "a"), "a"), "edges")
+    placed = written(edges.join(components(edges).withColumnRenamed("node", "a").hint("merge"), "a"), "edges")
     sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     # at most one in ``whole`` rows is one of these
     giant = written(sizes.where(F.col("n") > whole).select("component"), "giants")
     buckets = placed.count() // TOGETHER + 1
-    fit = placed.join(F.broadcast(giant), "component", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)))
-    found = fit.groupBy("bucket").applyInPandas(_scan, f"anchor {kind}, member {kind}")
+    fit = placed.join(F.broadcast(giant), "component", "left_anti").select("a", "b", F.pmod(F.xxhash64("component"), F.lit(buckets)).alias("bucket"))
+    found = fit.groupBy("bucket").applyInArrow(_scan, f"anchor {kind}, member {kind}")
     if giant.isEmpty():
         return found
     return found.unionByName(_rounds(written(placed.join(F.broadcast(giant), "component").select("a", "b"), "edges")))
