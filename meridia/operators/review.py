@@ -52,10 +52,10 @@ def overlay(pois: DataFrame, edits: DataFrame, key: str = "GlobalID") -> DataFra
     return joined.select(*(F.coalesce(F.col(f"e.{c}"), F.col(f"p.{c}")).alias(c) if c in fields else F.col(f"p.{c}") for c in pois.columns))
 
 
-def filtered(pois: DataFrame, tab: str = "all", status: str = "all", category: str = "all", search: str = "") -> DataFrame:
+def filtered(pois: DataFrame, tab: str = "all", status: str = "all", category: str = "all", search: str = "", within: tuple[str, ...] = ("Name_EN", "Name_AR", "GlobalID", "Phone_Number", "Category")) -> DataFrame:
     """The conjunction of a page's tab, status, category and search.
 
-    Search is literal; the query is lower-cased, Arabic names and phones are not.
+    Search is literal, in any of the fields ``within``; the query is lower-cased, Arabic names and phones are not.
     """
     s = F.coalesce("Review_Status", F.lit(""))
     tabs = {"pending": s.isin("", "Draft", "Pending"), "reviewed": s.isin("Reviewed", "Approved"), "flagged": F.coalesce("flagged", F.lit(False)), "rejected": s == "Rejected"}
@@ -64,7 +64,7 @@ def filtered(pois: DataFrame, tab: str = "all", status: str = "all", category: s
     if search.strip():
         q = F.lit(search.lower())
         have = lambda c, low: F.contains(F.lower(F.coalesce(c, F.lit(""))) if low else F.coalesce(c, F.lit("")), q)
-        tests.append(have("Name_EN", True) | have("Name_AR", False) | have("GlobalID", True) | have("Phone_Number", False) | have("Category", True))
+        tests.append(reduce(lambda a, b: a | b, (have(c, c not in ("Name_AR", "Phone_Number")) for c in within)))
     return pois.where(reduce(lambda a, b: a & b, tests)) if tests else pois
 
 
