@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridia.operators.exchange import audit_log
-from meridia.plans.streams import run_to_end
+from meridia.plans.streams import replay, run_to_end
 from meridia.streaming import ingest, state
 
 START = dt.datetime(2024, 5, 1, 12, 0, 0)
@@ -51,6 +51,43 @@ def test_users_vanish_sixty_seconds_after_their_last_beat_and_survive_a_restart(
     assert gone == {("bob", 0, 1, ""), ("ann", 120, 3, "map"), ("cy", 2, 2, "x")} and here == {("bob", 0, 1, "map")}
 
 
+def test_users_of_one_bucket_keep_their_own_spans_and_late_beats_are_dropped(spark, tmp_path):
+    feeder = Feeder(spark, tmp_path, "user_id string, ts timestamp, view string, poi string")
+    make = lambda rows: state.presence(rows, buckets=1)
+    # within a span of a later end, an equal time, and a silence of just over a minute
+    feeder.add([("ann", at(0), "a", ""), ("bob", at(30), "b", ""), ("ann", at(60), "c", "2"), ("ann", at(60), "c", "1"), ("bob", at(90.001), "d", ""), ("cy", at(200), "e", "")])
+    gone = lambda df: sorted((r.user_id, (r.seen - r.since) // 1_000_000, r.beats, r.view, r.poi) for r in df.collect())
+    ended = [("ann", 60, 3, "c", "2"), ("bob", 0, 1, "b", ""), ("bob", 0, 1, "d", "")]
+    assert gone(feeder.run(make)) == ended
+    # the watermark is at 190: one beat is late, though another of its task is not
+    feeder.add([("cy", at(189), "l", ""), ("cy", at(195), "o", ""), ("ann", at(150), "l", "")])
+    assert gone(feeder.run(make)) == ended
+    assert gone(state.still_present(spark, f"{feeder.path}/state")) == [("cy", 5, 2, "e", "")]
+
+
+def test_consumers_of_one_bucket_have_feeds_of_their_own(spark, tmp_path):
+    feeder = Feeder(spark, tmp_path, "kind string, consumer string, row_id long, ts timestamp, ids array<long>")
+    make = lambda rows: state.feed(*(rows.where(F.col("kind") == k) for k in ("update", "ack", "poll")), buckets=1)
+    feeder.add([("update", "a", 1, at(1), None), ("update", "b", 2, at(2), None), ("poll", "a", 3, at(3), None)])
+    feeder.run(make)
+    feeder.add([("ack", "a", 4, at(4), None), ("poll", "a", 5, at(5), None), ("poll", "b", 6, at(6), None)])
+    assert {(r.consumer, r.poll_id, r.update_id) for r in feeder.run(make).collect()} == {("a", 3, 1), ("b", 6, 2)}
+
+
+def test_a_slice_is_written_by_many_tasks_and_is_one_trigger(spark, tmp_path):
+    from pathlib import Path
+
+    rows = spark.createDataFrame([(i, at(i)) for i in range(80)], "id long, ts timestamp").repartition(4)
+    seen = []
+
+    def run(stream):
+        batch = lambda df, _: seen.append({r.id // 20 for r in df.collect()})
+        stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+
+    replay(rows, f"{tmp_path}/in", run)
+    assert seen == [{0}, {1}, {2}, {3}] and len(list(Path(f"{tmp_path}/in").glob("*.parquet"))) == 16
+
+
 def test_updates_show_again_until_they_are_acknowledged(spark, tmp_path):
     feeder = Feeder(spark, tmp_path, "kind string, consumer string, row_id long, ts timestamp, ids array<long>")
     make = lambda rows: state.feed(*(rows.where(F.col("kind") == k) for k in ("update", "ack", "poll")), shown=3)
