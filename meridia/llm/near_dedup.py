@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, join_hot, materialise, mix64, split_hashes
+from .common import U64, join_hot, materialise, mix64, shuffles_dropped, split_hashes
 
 #: Values of a document's sketch, and how many of them two similar documents have in common at least.
 RETAINED = 64
@@ -337,6 +337,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
     what is linked with any of them is linked with the id, in whatever order the
     rows stand; rows of it without words are not.  Other columns are not read; an empty table gives no rows.
     """
+    with shuffles_dropped(docs.sparkSession):
+        return _near_duplicates(docs, words, similarity, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, words: int, similarity: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
     num, den = similarity
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     listed = materialise(texts.mapInArrow(_keys_task(words), "doc_id long, n long, node long, retained array<long>"), "near-keys")

@@ -368,3 +368,19 @@ def test_near_duplicates_in_long_lists(spark, monkeypatch):
     rows = list(enumerate(texts))
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near(rows, 2)
+
+
+def test_near_duplicates_leave_no_shuffle_files(spark):
+    import time
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in found.split("\n") if f.endswith(".data")}
+
+    before = files()
+    near_dedup.near_duplicates(spark.createDataFrame([(i, f"a b c d e f g {i % 7}") for i in range(60)], "doc_id long, text string"), words=2)
+    for _ in range(20):
+        if not files() - before:
+            break
+        time.sleep(0.5)
+    assert not files() - before
