@@ -20,17 +20,20 @@ of their list: the one that shares most of its values with others (of copies of
 one text, that text) and one that differs from list to list.  What is confirmed
 is joined to components.  In lists that are not of one component then, those
 outside the largest component are held against it and against each other, in
-blocks of bounded size and without a row for a pair that fails.
+blocks of bounded size and without a row for a pair that fails.  Short lists hold
+mostly documents that share one value by chance; of these, two are compared if
+they stand together in more than one.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, join_hot, materialise, mix64, shuffles_dropped, split_hashes
@@ -41,6 +44,8 @@ LEAST = 34
 #: Lists in which two similar documents meet at least.  Between components they meet in one of three ways, as member of
 #: the list's main component and other, the reverse, or as two others; so that in one of these they meet twice.
 MEETINGS = 4
+#: Rows of a list, outside its main component, up to which their pairs of ids take no more room than their sketches.
+SHORT = 32
 #: Documents on either side of a block in which members of lists are compared, and rows that a task takes together.
 GROUP = 512
 TOGETHER = 2_048
@@ -175,11 +180,11 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
 
-def _bytes_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = batch.column(1)
-        values = [rows.values[a:b].to_numpy().astype("<i8").tobytes() for a, b in zip(rows.offsets.to_pylist()[:-1], rows.offsets.to_pylist()[1:])]
-        yield pa.record_batch([batch.column(0), pa.array(values, pa.binary())], names=["node", "values"])
+def _values(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The values of each row: of sketches as lists, of full sets as bytes."""
+    if pa.types.is_binary(column.type):
+        return [np.frombuffer(b, "<u8") for b in column.to_pylist()]
+    return [x for rows in column.chunks for flat in [rows.values.to_numpy().view(U64)] for x in (flat[a:b] for a, b in itertools.pairwise(rows.offsets.to_pylist()))]
 
 
 def _ordered(x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -207,7 +212,7 @@ def _common(index: list[np.ndarray], probes: Iterator[np.ndarray]) -> Iterator[n
 def _blocks(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
     """Positions of index (side 0) and probe (side 1) rows of each block, and the values of all rows."""
     side = table.column("side").to_numpy()
-    values = [np.frombuffer(b, "<u8") for b in table.column("values").to_pylist()]
+    values = _values(table.column("values"))
     for _, rows in _ordered(table.column("gid").to_numpy()):
         index, probe = rows[side[rows] == 0], rows[side[rows] == 1]
         if len(index) and len(probe):
@@ -315,17 +320,24 @@ def _links(faced: DataFrame, sketches: DataFrame, texts: DataFrame, owners: Data
 
 def lists_of(nodes: DataFrame, similarity: float) -> DataFrame:
     """nodes (node, n, retained) -> key, node, known: the lists, with the number of the node's values that others retain too."""
-    entries = nodes.select("node", "n", F.explode("retained").alias("key")).repartition("key")
-    common = entries.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    entries = nodes.select("node", "n", F.explode("retained").alias("key"))
+    # counted where the rows lie, and not collected before their shuffle: either would write them once more
+    common = entries.withColumn("df", F.count("*").over(Window.partitionBy("key"))).where("df > 1").repartition("node")
     m = F.least("n", F.lit(RETAINED))
     least = F.when(F.col("n") <= int(similarity * RETAINED), F.ceil(F.col("n") * F.lit(similarity) - 1e-9)).otherwise(LEAST)
     # no more than RETAINED values for each node; those that no other retains come first and take places, but need no list
-    own = entries.join(common, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("values"))
+    own = common.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("values"))
     places = F.least(m - least + MEETINGS, m) - (m - F.size("values"))
     listed = own.where(places > 0).select("node", F.size("values").alias("known"), F.explode(F.slice("values", F.lit(1), places.cast("int"))).alias("v"))
     return listed.select(F.col("v.key").alias("key"), "node", "known")
 
 
+def _twice(rows: DataFrame) -> DataFrame:
+    """key, node, component -> a, b: nodes of different components that stand together in more than one list."""
+    a, b = (rows.select("key", F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
+    return a.join(b, "key").where("a < b and of_a <> of_b").groupBy("a", "b").agg(F.count("*").alias("lists")).where("lists > 1").select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -347,8 +359,8 @@ def _near_duplicates(docs: DataFrame, words: int, similarity: tuple[int, int], i
     listed = materialise(texts.mapInArrow(_keys_task(words), "doc_id long, n long, node long, retained array<long>"), "near-keys")
     full = listed.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
     # the document whose row, and later whose text, stands for a set
-    owners = materialise(full.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "near-owners")
-    each = full.join(owners, ["node", "doc_id"], "left_semi").select("node", "n", "retained").dropDuplicates(["node"])
+    each = materialise(full.groupBy("node").agg(F.min(F.struct("doc_id", "n", "retained")).alias("of")).select("node", "of.*"), "near-each")
+    owners = each.select("node", "doc_id")
     shared = materialise(lists_of(each, num / den), "near-shared")
     # one row per list, whatever its length
     hubs = shared.groupBy("key").agg(F.max(F.struct("known", (-F.col("node")).alias("node"))).alias("first"), F.min_by("node", F.xxhash64("node", "key")).alias("h2"), F.count("*").alias("n")).where("n > 1")
@@ -357,7 +369,7 @@ def _near_duplicates(docs: DataFrame, words: int, similarity: tuple[int, int], i
     # of the hubs of its lists, each member is held against the one that it meets in most of them
     met = stars.groupBy("node", "hub").agg(F.count("*").alias("lists")).where("lists > 1")
     best = materialise(met.groupBy("node").agg(F.max_by("hub", F.struct("lists", -F.col("hub"))).alias("group")), "near-stars")
-    sketches = materialise(each.select("node", "retained").join(shared.select("node").distinct(), "node", "left_semi").mapInArrow(_bytes_task, "node long, values binary"), "near-sketches")
+    sketches = each.select("node", F.col("retained").alias("values"))
     alone = lambda rows: rows.withColumn("component", F.col("node"))
     links = _links(_faced(alone(best.select("group", F.col("group").alias("node")).distinct()), alone(best.select("group", "node"))), sketches, texts, owners, words, num, den)
     first = materialise(components(links), "near-components")
@@ -367,12 +379,16 @@ def _near_duplicates(docs: DataFrame, words: int, similarity: tuple[int, int], i
     others = materialise(labelled.join(main, "key").select("key", "node", "component", F.col("main.component").alias("main")).where("component <> main"), "near-others")
     facing = materialise(others.groupBy(F.col("main").alias("group"), "node", "component").agg(F.count("*").alias("lists")).where("lists > 1").drop("lists"), "near-facing")
     members = labelled.select("node", "component").distinct().join(facing.select(F.col("group").alias("component")).distinct(), "component", "left_semi").select(F.col("component").alias("group"), "node", "component")
-    # lists of the same documents, told by two sums of hashes, are one
+    # two that meet twice as others do so in a long list, where they are compared at once, or twice in short ones
     mark = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
     mixed = others.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n"), *mark).where("c0 <> c1")
-    mixed = mixed.groupBy("n", "x0", "x1").agg(F.min("key").alias("key")).select("key")
+    short = others.join(mixed.where(F.col("n") <= SHORT).select("key"), "key", "left_semi")
+    pairs = materialise(_twice(short), "near-pairs")
+    paired = lambda of: pairs.select(F.xxhash64("a").alias("group"), F.col(of).alias("node")).distinct().join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # long lists of the same documents, told by two sums of hashes, are one
+    mixed = mixed.where(F.col("n") > SHORT).groupBy("n", "x0", "x1").agg(F.min("key").alias("key")).select("key")
     rest = materialise(others.join(mixed, "key", "left_semi").select(F.col("key").alias("group"), "node", "component"), "near-rest")
-    more = _links(_faced(members, facing).unionByName(_faced(rest, rest)), sketches, texts, owners, words, num, den)
+    more = _links(_faced(members, facing).unionByName(_faced(rest, rest)).unionByName(_faced(paired("a"), paired("b"))), sketches, texts, owners, words, num, den)
     # the sets of an id with several are of one component
     several = full.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).where("b <> high").drop("high")
     of_id = materialise(join_hot(full.select("doc_id", "node"), several, ["doc_id"], listed.count()).select(F.col("node").alias("a"), "b").where("a <> b").distinct(), "near-of-id")

@@ -370,6 +370,56 @@ def test_near_duplicates_in_long_lists(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near(rows, 2)
 
 
+@pytest.mark.parametrize("short", [0, 2, 32])
+def test_near_duplicates_in_short_lists(spark, monkeypatch, short):
+    """Links between components that meet as others of lists, whether these count as short or as long."""
+    monkeypatch.setattr(near_dedup, "SHORT", short)
+    rng = random.Random(12)
+    rows = list(corpus())
+    for _ in range(6):
+        base, other = prose(rng, 90).split(), prose(rng, 60)
+        for k in (0, 0, 4, 5, 6, 9, 12, 12):
+            w = list(base)
+            for i in rng.sample(range(len(w)), k):
+                w[i] = rng.choice(WORDS)
+            rows.append((10_000 + len(rows), " ".join(w)))
+        rows.append((10_000 + len(rows), other + " " + " ".join(base[:40])))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near(rows, 2)
+
+
+def test_near_duplicates_compare_nothing_that_meets_once(spark, monkeypatch):
+    """Each word is in three texts, and no two texts have two words in common."""
+    faced, materialise = [], near_dedup.materialise
+
+    def kept(df, name):
+        out = materialise(df, name)
+        if name == "near-faced":
+            faced.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialise", kept)
+    n, taken, steps = 331, set(), []
+    for d in range(1, n // 3):
+        own = {x % n for k in (1, 2, 3) for x in (k * d, -k * d)}
+        if not own & taken and len(steps) < 12:
+            taken |= own
+            steps.append(d)
+    rows = [(i, " ".join(f"w{d}x{(i - k * d) % n}" for d in steps for k in (0, 1, 3))) for i in range(n)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=1).collect()
+    assert len(steps) == 12 and len(got) == n and all(r.kept and r.n_shingles == 36 for r in got)
+    assert faced == [0, 0]
+
+
+def test_near_duplicates_shuffle_entries_once(spark):
+    """By value, to be counted, and by node; each further shuffle of entries is disk for all values of all documents."""
+    nodes = near_dedup.materialise(spark.range(100).selectExpr("id AS node", "3L AS n", "array(id, id + 1, id + 2) AS retained"), "test-nodes")
+    lists = near_dedup.lists_of(nodes, 0.8)
+    assert lists.count() == 98 * 3 + 4
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_near_duplicates_leave_no_shuffle_files(spark):
     import time
 
