@@ -20,7 +20,10 @@ of their list: the one that shares most of its values with others (of copies of
 one text, that text) and one that differs from list to list.  What is confirmed
 is joined to components.  In lists that are not of one component then, those
 outside the largest component are held against it and against each other, in
-blocks of bounded size and without a row for a pair that fails.  Short lists hold
+blocks of bounded size and without a row for a pair that fails.  Where both sides
+fill more than a block, shingles that only one of the documents has decide first who
+can face whom: variants of one text that each have more than a ninth of their
+shingles to themselves are not similar to each other.  Short lists hold
 mostly documents that share one value by chance; of these, two are compared if
 they stand together in more than one.
 """
@@ -115,17 +118,29 @@ def _bitmap(wanted: DataFrame, most: int = MOST_BITS) -> np.ndarray:
     return out
 
 
+def _wanted_sets(batches: Iterator[pa.RecordBatch], size: int, bitmap) -> Iterator[list[np.ndarray]]:
+    """The sets of documents whose bit is set, some at a time."""
+    words = bitmap.value
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = _bit(ids, len(words) << 6)
+        batch = batch.filter(pa.array((words[at >> 6] >> (at & 63).astype(U64)) & U64(1) == U64(1)))
+        for low in range(0, batch.num_rows, 1000):
+            yield list(_sets_of(batch.slice(low, 1000).column(1), size))
+
+
 def _sets_task(size: int, bitmap):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = bitmap.value
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = _bit(ids, len(words) << 6)
-            batch = batch.filter(pa.array((words[at >> 6] >> (at & 63).astype(U64)) & U64(1) == U64(1)))
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
-                sets = list(_sets_of(part.column(1), size))
-                yield pa.record_batch([pa.array(map(_node, sets), pa.int64()), pa.array([v.astype("<u8").tobytes() for v in sets], pa.binary())], names=["node", "values"])
+        for sets in _wanted_sets(batches, size, bitmap):
+            yield pa.record_batch([pa.array(map(_node, sets), pa.int64()), pa.array([v.astype("<u8").tobytes() for v in sets], pa.binary())], names=["node", "values"])
+
+    return task
+
+
+def _shingles_task(size: int, bitmap):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sets in _wanted_sets(batches, size, bitmap):
+            yield pa.record_batch([pa.array(map(_node, sets), pa.int64()), pa.array([v.view(np.int64) for v in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return task
 
@@ -297,6 +312,68 @@ def _faced(index: DataFrame, probe: DataFrame) -> DataFrame:
     return left.unionByName(right).select(F.xxhash64("group", "block", "part").alias("gid"), "side", "node", "component")
 
 
+def _united(lists: DataFrame) -> DataFrame:
+    """lists (group, node, component) -> the same with lists that are nearly alike made one, so that few pairs stand in several.
+
+    Lists of which one node is the least by hash are united if that makes no more pairs than they have apart.
+    """
+    for seed in range(2):
+        sizes = lists.groupBy("group").agg(F.min(F.xxhash64("node", F.lit(seed))).alias("sign"), F.count("*").cast("double").alias("n"))
+        signed = materialise(lists.join(sizes.select("group", "sign"), "group"), "near-signed")
+        whole = signed.select("sign", "node", "component").distinct()
+        apart = sizes.groupBy("sign").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+        alike = whole.groupBy("sign").agg(F.count("*").cast("double").alias("n")).join(apart, "sign").where("n * n <= pairs").select("sign")
+        alike = materialise(alike, "near-alike")
+        one = whole.join(alike, "sign", "left_semi").withColumnRenamed("sign", "group")
+        lists = materialise(one.unionByName(signed.join(alike, "sign", "left_anti").drop("sign")), "near-united")
+    return lists
+
+
+def _reaches(nodes: DataFrame, each: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """nodes (node) -> node, n, reach: of the nodes, those similar to this one have no more than ``reach`` shingles.
+
+    Two sets of n and m shingles are similar if they share num / (num + den) of
+    n + m at least, and neither shares what it has to itself.
+    """
+    sizes = materialise(each.join(nodes, "node").select("node", "n", "doc_id"), "near-sizes")
+    bitmap = texts.sparkSession.sparkContext.broadcast(_bitmap(sizes.select("doc_id")))
+    sets = texts.where("doc_id is not null").mapInArrow(_shingles_task(words, bitmap), "node long, shingles array<long>").join(nodes, "node", "left_semi")
+    own = sets.select("node", F.explode("shingles").alias("value")).groupBy("value").agg(F.min("node").alias("node"), F.max("node").alias("high")).where("node = high")
+    alone = own.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    most = F.expr(f"(n - coalesce(alone, 0)) * {num + den} div {num} - n")
+    reaches = materialise(sizes.join(alone, "node", "left").select("node", "n", most.alias("reach")), "near-reaches")
+    bitmap.destroy()
+    return reaches
+
+
+def _narrowed(index: DataFrame, probe: DataFrame, own: DataFrame, each: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """index, probe, and own, which faces itself (group, node, component) -> index, probe, without what can't be similar in crowded groups.
+
+    A node reaches far if its reach is no less than its size.  Of two similar nodes one does at least, for
+    both sizes are within the other's reach.  So in groups that fill more than a block on both sides only
+    those that reach far face all others, and only sizes within reach of the other side stay.
+    """
+    parts = lambda x: [F.xxhash64(F.lit(x), "group").alias("group"), "node", "component"]
+    index, probe, own = index.select(*parts(0)), probe.select(*parts(0)), own.select(*parts(1))
+    count = lambda frame, name: frame.groupBy("group").agg(F.count("*").alias(name))
+    crowded = count(index, "i").join(count(probe, "p"), "group").where(F.least("i", "p") > GROUP).select("group").unionByName(count(own, "n").where(F.col("n") > GROUP).select("group"))
+    crowded = materialise(crowded, "near-crowded")
+    index_all, probe_all = index.unionByName(own), probe.unionByName(own)
+    if crowded.isEmpty():
+        return index_all, probe_all
+    within = lambda frame: frame.join(crowded, "group", "left_semi")
+    nodes = materialise(within(index_all.unionByName(probe_all)).select("node").distinct(), "near-crowd")
+    reaches = _reaches(nodes, each, texts, words, num, den)
+    far = F.col("reach") >= F.col("n")
+    sides = lambda frame, side, kind: within(frame).join(reaches, "node").select(F.xxhash64("group", F.lit(kind)).alias("group"), "node", "component", "n", "reach", F.lit(side).alias("side"))
+    rows = sides(index_all, 0, 0).where(far).unionByName(sides(probe_all, 1, 0)).unionByName(sides(index, 0, 1).where(~far)).unionByName(sides(probe, 1, 1).where(far))
+    rows = materialise(rows, "near-sides")
+    bounds = rows.groupBy("group", (1 - F.col("side")).alias("side")).agg(F.min("n").alias("least"), F.max("reach").alias("most"))
+    rows = materialise(rows.join(bounds, ["group", "side"]).where("n <= most and least <= reach").select("group", "node", "component", "side"), "near-narrowed")
+    rest = lambda frame: frame.join(crowded, "group", "left_anti")
+    return tuple(rest(frame).unionByName(rows.where(F.col("side") == side).drop("side")) for side, frame in enumerate((index_all, probe_all)))
+
+
 def _links(faced: DataFrame, sketches: DataFrame, texts: DataFrame, owners: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """faced rows -> a, b: links between components that the full sets confirm, enough to join what is similar.
 
@@ -387,8 +464,9 @@ def _near_duplicates(docs: DataFrame, words: int, similarity: tuple[int, int], i
     paired = lambda of: pairs.select(F.xxhash64("a").alias("group"), F.col(of).alias("node")).distinct().join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # long lists of the same documents, told by two sums of hashes, are one
     mixed = mixed.where(F.col("n") > SHORT).groupBy("n", "x0", "x1").agg(F.min("key").alias("key")).select("key")
-    rest = materialise(others.join(mixed, "key", "left_semi").select(F.col("key").alias("group"), "node", "component"), "near-rest")
-    more = _links(_faced(members, facing).unionByName(_faced(rest, rest)).unionByName(_faced(paired("a"), paired("b"))), sketches, texts, owners, words, num, den)
+    rest = _united(others.join(mixed, "key", "left_semi").select(F.col("key").alias("group"), "node", "component"))
+    faced = _faced(*_narrowed(members, facing, rest, each, texts, words, num, den))
+    more = _links(faced.unionByName(_faced(paired("a"), paired("b"))), sketches, texts, owners, words, num, den)
     # the sets of an id with several are of one component
     several = full.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).where("b <> high").drop("high")
     of_id = materialise(join_hot(full.select("doc_id", "node"), several, ["doc_id"], listed.count()).select(F.col("node").alias("a"), "b").where("a <> b").distinct(), "near-of-id")

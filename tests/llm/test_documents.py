@@ -411,6 +411,62 @@ def test_near_duplicates_compare_nothing_that_meets_once(spark, monkeypatch):
     assert faced == [0, 0]
 
 
+def variants(rng, n, changed):
+    """Texts of 160 words of one template, of which so many are changed into words of their own."""
+    out = []
+    for i in range(n):
+        w = [f"t{j}" for j in range(160)]
+        for j in rng.sample(range(160), changed):
+            w[j] = f"own{i}x{j}"
+        out.append(w)
+    return out
+
+
+def test_near_duplicates_face_no_variants_with_words_of_their_own(spark, monkeypatch):
+    """Rows that face each other grow with a group of variants, not with its square and its number of lists."""
+    faced, materialise = [], near_dedup.materialise
+
+    def kept(df, name):
+        out = materialise(df, name)
+        if name == "near-faced":
+            faced.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialise", kept)
+    monkeypatch.setattr(near_dedup, "GROUP", 10)
+    for n in (80, 160):
+        rows = list(enumerate(map(" ".join, variants(random.Random(n), n, 24))))
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=1).collect()
+        assert len(got) == n and all(r.kept for r in got)
+    assert all(x <= 8 * n for x, n in zip(faced, (80, 80, 160, 160), strict=True)), faced
+
+
+@pytest.mark.parametrize("group", [4, 512])
+def test_near_duplicates_of_variants_in_crowded_groups(spark, monkeypatch, group):
+    """Links of variants to shorter ones within them, to ones with the same changes, and of those with few changes."""
+    monkeypatch.setattr(near_dedup, "GROUP", group)
+    rng = random.Random(21)
+    texts = variants(rng, 50, 24) + variants(rng, 20, 9)
+    texts += [w[: int(160 * share)] for w in texts[:24] for share in (0.78, 0.83)]
+    texts += [[f"new{i}" if x.startswith("own") and rng.random() < 0.3 else x for x in w] for i, w in enumerate(texts[30:50])]
+    rng.shuffle(texts)
+    rows = list(enumerate(map(" ".join, texts)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=1).collect()
+    assert sum(not r.kept for r in got) > 30
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near(rows, 1)
+
+
+def test_near_duplicates_unite_lists_that_are_nearly_alike(spark):
+    """Each pair of a list is still in one; lists with one document in common stay apart."""
+    lists = {k: [x for x in range(100) if x % 23 != k] for k in range(8)} | {100 + k: [0, *range(1000 * (k + 1), 1000 * (k + 1) + 60)] for k in range(4)}
+    frame = spark.createDataFrame([(k, x, x) for k, nodes in lists.items() for x in nodes], "group long, node long, component long")
+    found = {}
+    for r in near_dedup._united(frame).collect():
+        found.setdefault(r.group, set()).add(r.node)
+    assert all(any(set(nodes) <= x for x in found.values()) for nodes in lists.values())
+    assert len(found) <= 8 and sum(map(len, found.values())) < 0.7 * sum(map(len, lists.values()))
+
+
 def test_near_duplicates_shuffle_entries_once(spark):
     """By value, to be counted, and by node; each further shuffle of entries is disk for all values of all documents."""
     nodes = near_dedup.materialise(spark.range(100).selectExpr("id AS node", "3L AS n", "array(id, id + 1, id + 2) AS retained"), "test-nodes")
