@@ -455,7 +455,8 @@ def _near_duplicates(docs: DataFrame, words: int, similarity: tuple[int, int], i
     main = labelled.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "component")).alias("main"), F.count("*").alias("k")).where("k > 1")
     others = materialise(labelled.join(main, "key").select("key", "node", "component", F.col("main.component").alias("main")).where("component <> main"), "near-others")
     facing = materialise(others.groupBy(F.col("main").alias("group"), "node", "component").agg(F.count("*").alias("lists")).where("lists > 1").drop("lists"), "near-facing")
-    members = labelled.select("node", "component").distinct().join(facing.select(F.col("group").alias("component")).distinct(), "component", "left_semi").select(F.col("component").alias("group"), "node", "component")
+    members = labelled.select("node", "component").distinct().join(facing.select(F.col("group").alias("component")).distinct(), "component", "left_semi")
+    members = materialise(members.select(F.col("component").alias("group"), "node", "component"), "near-members")
     # two that meet twice as others do so in a long list, where they are compared at once, or twice in short ones
     mark = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
     mixed = others.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n"), *mark).where("c0 <> c1")
