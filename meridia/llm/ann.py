@@ -18,6 +18,7 @@ queries.
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,7 +144,8 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, t
     non-finite components take no part.  Ties go to the smaller id.  Repeated
     rows count once, an id with several vectors has each of them; other columns
     are not read, whatever their names, and an empty table gives no rows.  All
-    rows may be queries: blocks of a leaf meet blocks of its queries.
+    rows may be queries: blocks of a leaf meet blocks of its queries.  Sides that
+    grow with the table are joined by shuffle, for the driver builds what is broadcast.
     """
     spark = vectors.sparkSession
     v = F.col("v")
@@ -161,8 +163,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, t
     few = rows.distinct().withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
     distinct = materialise(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "ann-rows")
     n = distinct.count()
-    fitted = _sampled(distinct, n, sample, seed)
-    forest = spark.sparkContext.broadcast(Forest(fitted, trees, max(LEAF * len(fitted) // max(n, LEAF), len(fitted) // LEAVES, 1) if n > LEAF else LEAF, seed))
+    forest = spark.sparkContext.broadcast(_fitted(distinct, n, sample, trees, seed))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +183,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, t
     indexed = distinct.mapInArrow(put, "v array<double>, ids array<long>, leaf array<long>").select("v", "ids", F.explode("leaf").alias("leaf"))
     counts = indexed.groupBy("leaf").count()  # a row per leaf of the forest, whose size the sample bounds
     blocks = counts.select("leaf", F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks"))
-    asked = rows if queries is None else rows.join(queries.select(F.col(id_col).cast("long").alias("id")).distinct(), "id", "left_semi")
+    asked = rows if queries is None else rows.join(queries.select(F.col(id_col).cast("long").alias("id")).distinct().hint("merge"), "id", "left_semi")
     asked = asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")).distinct()
     groups = materialise(asked.groupBy("q").agg(F.min("query_id").alias("query")), "ann-queries")
     parts = groups.count() // (64 * BLOCK) + 1
@@ -209,7 +210,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, t
         walks = asking.mapInArrow(ask, "query long, q array<double>, leaf array<long>").select("query", "q", F.explode("leaf").alias("leaf"))
         # queries are cut into groups as well, so that neither side of a leaf can outgrow a task
         right = walks.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts))).groupBy("leaf", "part").agg(F.collect_list("query").alias("queries"), F.collect_list("q").alias("qs"))
-        return left.join(right, "leaf").select("vs", "idss", "queries", "qs").mapInArrow(rank, "query long, score double, ids array<long>")
+        return left.join(right.hint("merge"), "leaf").select("vs", "idss", "queries", "qs").mapInArrow(rank, "query long, score double, ids array<long>")
 
     def best_of(found: DataFrame) -> DataFrame:
         return (
@@ -222,15 +223,24 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, t
     # at k + 1 ids, its own among them, a query knows how far it must look; with fewer, at everything
     reached = first.groupBy("query").agg(F.sum(F.size("ids")).alias("ids"), F.max("score").alias("score"))
     reached = reached.select("query", F.when(F.col("ids") > k, F.col("score")).otherwise(float("inf")).alias("far"))
-    more = ranked(groups.join(reached, "query", "left").select("q", "query", F.coalesce("far", F.lit(float("inf"))).alias("far")))
+    more = ranked(groups.join(reached.hint("merge"), "query", "left").select("q", "query", F.coalesce("far", F.lit(float("inf"))).alias("far")))
     best = best_of(first.unionByName(more)).groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("near"))
     flat = F.flatten(F.transform("near", lambda x: F.transform(x["ids"], lambda i: F.struct(x["score"].alias("score"), i.alias("vec_id")))))
-    own = asked.join(groups, "q").select("query_id", "query").join(best, "query")
+    own = asked.join(groups.hint("merge"), "q").select("query_id", "query").join(best.hint("merge"), "query")
     top = own.select("query_id", F.slice(F.array_sort(F.filter(flat, lambda x: x["vec_id"] != F.col("query_id"))), 1, k).alias("top"))
     return top.select("query_id", F.posexplode("top").alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
-def _sampled(distinct: DataFrame, n: int, bound: int, seed: int) -> np.ndarray:
-    """At most ``bound`` vectors for fitting the trees, those with the smallest hashes."""
+def _fitted(distinct: DataFrame, n: int, bound: int, trees: int, seed: int) -> Forest:
+    """The forest of at most ``bound`` vectors, those with the smallest hashes; one task holds these, the driver gets the planes."""
     few = distinct if n <= bound else distinct.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int((1 << 30) * 0.98 * bound / n)).limit(bound)
-    return np.array([list(r[0]) for r in few.select("v").orderBy(F.xxhash64("v")).collect()])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [_matrix(batch.column("v")) for batch in batches if batch.num_rows]
+        if parts:
+            fitted = np.concatenate(parts)
+            leaf = max(LEAF * len(fitted) // max(n, LEAF), len(fitted) // LEAVES, 1) if n > LEAF else LEAF
+            yield pa.record_batch([pa.array([pickle.dumps(Forest(fitted, trees, leaf, seed))], pa.binary())], names=["forest"])
+
+    ordered = few.select("v").repartition(1).sortWithinPartitions(F.xxhash64("v"))
+    return pickle.loads(ordered.mapInArrow(fit, "forest binary").first()[0])

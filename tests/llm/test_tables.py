@@ -151,3 +151,18 @@ def test_nearest_odd_rows(spark):
     got = ann.nearest(frame, frame.where("vec_id % 100 = 0").select("vec_id")).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 100, 0.0), (0, 2, 9, 1.0), (100, 1, 0, 0.0), (100, 2, 9, 1.0)]
     assert ann.nearest(frame.where("false")).count() == 0
+
+
+def test_the_driver_collects_no_vectors(spark, monkeypatch):
+    """However many vectors the trees are fitted on, the driver gets one row of planes."""
+    frame = _vectors(spark)
+    kind, sizes = type(frame), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: sizes.append(len(rows := collect(self))) or rows)
+    found = ann.nearest(frame, frame.where("vec_id % 100 = 0").select("vec_id"))
+    assert sizes and max(sizes) == 1 and not [c for c in ("BroadcastHashJoin", "BroadcastNestedLoopJoin") if c in found._jdf.queryExecution().executedPlan().toString()]
+
+
+def _vectors(spark):
+    x = np.random.default_rng(5).normal(size=(1200, 6))
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
