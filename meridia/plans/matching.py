@@ -195,7 +195,7 @@ def edges(poi):
 
 @query("er_14", "poi", sql=FULL + " SELECT CASE WHEN final >= 85 THEN 'MATCH' WHEN final >= 70 THEN 'POSSIBLE_MATCH' ELSE 'NO_MATCH' END AS match_status, count(*) AS n FROM s9 GROUP BY 1")
 def by_status(poi):
-    return R.match_pairs(poi).groupBy("match_status").agg(F.count("*").cast("long").alias("n"))
+    return R.score_counts(poi).groupBy("match_status").agg(F.sum("n").alias("n"))
 
 
 _PERCENT = lambda c: f"CAST(CAST(round({c}) AS INTEGER) AS VARCHAR)"
