@@ -184,9 +184,11 @@ def page_with_total(rows: DataFrame, order: list[Column], number_: int = 0, size
     return page(rows, order, number_, size, most).crossJoin(F.broadcast(total))
 
 
-def score_distribution(scores: Column, bins: list[tuple[float, float]]) -> list[Column]:
-    """Aggregates of a score: least, greatest, mean (of one digit) and the number in each bin, its upper end excluded."""
+def score_distribution(scores: Column, bins: list[tuple[float, float]], n: Column | None = None) -> list[Column]:
+    """Aggregates of a score: least, greatest, mean (of one digit) and the number in each bin, its upper end excluded; a row may stand for ``n``."""
+    mean = F.avg(scores) if n is None else F.sum(scores * n) / F.sum(n)
+    inside = lambda where: F.count_if(where) if n is None else F.coalesce(F.sum(F.when(where, n)), F.lit(0)).cast("long")
     return [
-        F.min(scores).alias("least"), F.max(scores).alias("greatest"), F.round(F.avg(scores), 1).alias("mean"),
-        *(F.count_if((scores >= low) & (scores < high)).alias(f"from_{low}_to_{high}") for low, high in bins),
+        F.min(scores).alias("least"), F.max(scores).alias("greatest"), F.round(mean, 1).alias("mean"),
+        *(inside((scores >= low) & (scores < high)).alias(f"from_{low}_to_{high}") for low, high in bins),
     ]

@@ -100,7 +100,7 @@ BINS = [(90, 100), (85, 90), (80, 85), (75, 80), (70, 75)]
 
 @query("agg_19_scores", "poi", sql=FULL + ", g AS (SELECT round(final, 1) AS s FROM s9 WHERE round(final, 1) >= 70) SELECT min(s) AS least, max(s) AS greatest, round(avg(s), 1) AS mean, " + ", ".join(f"count(*) FILTER (s >= {a} AND s < {b}) AS from_{a}_to_{b}" for a, b in BINS) + " FROM g")
 def distribution_of_scores(poi):
-    return R.qualifying(R.match_pairs(poi)).agg(*A.score_distribution(F.col("final_score"), BINS))
+    return R.qualifying(R.score_counts(poi)).agg(*A.score_distribution(F.col("final_score"), BINS, F.col("n")))
 
 
 _TAXONOMY = "SELECT DISTINCT Category AS category, CASE WHEN Category LIKE 'H%' THEN CASE {k} % 2 WHEN 0 THEN 'Fast Food' ELSE 'Clinic' END WHEN Category = 'Mosques' THEN 'Jami' END AS subcategory, CASE WHEN Category LIKE 'H%' THEN concat('L', CAST({k} % 3 AS STRING)) END AS level3 FROM {poi} WHERE coalesce(Category, '') NOT IN ('', 'Corporate')"
